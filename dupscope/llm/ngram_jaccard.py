@@ -226,19 +226,50 @@ def _tree_pairs(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
         .select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "n", "bitmap")
     )
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        i, j = int(x["i"].iat[0]), int(x["j"].iat[0])
-        trees = [Tree(*(part[c].to_numpy() for c in ("doc_id", "n", "comp")), _bits(part["bitmap"])) for part in ([x] if i == j else [x[x["own"] == i], x[x["own"] == j]]) if len(part)]
+    def one(x: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own, ids, comp, n = (x.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n"))
+        bits = np.frombuffer(b"".join(x.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        i, j = x.column("i")[0].as_py(), x.column("j")[0].as_py()
         if i == j:
-            made = traverse(trees[0], trees[0], t, True)
-        elif len(trees) == 2:
-            made = traverse(trees[0], trees[1], t, False)
-        else:
-            made = (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": np.minimum(*made), "b": np.maximum(*made)})
-
-    return dealt.groupBy("gid", "i", "j").applyInPandas(run, "a long, b long")
+            tree = Tree(ids, n, comp, bits)
+            return traverse(tree, tree, t, True)
+        if own.min() == own.max():
+            return ids[:0], ids[:0]
+        return traverse(*(Tree(ids[m], n[m], comp[m], bits[m]) for m in (own == i, own == j)), t, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at in sorted_groups(batches, ("gid", "i", "j")):
+            made = [one(block.slice(p, q - p)) for p, q in zip(at[:-1], at[1:])]
+            a, b = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    keys = ["gid", "i", "j"]
+    return dealt.repartition(scratch.partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows sorted by integer keys: tables of whole groups, with the groups' bounds.  A group waits until it ends."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(x: pa.Table) -> np.ndarray:
+        new = np.zeros(len(x), bool)
+        for c in keys:
+            v = x.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        x = pa.Table.from_batches(held)
+        cuts = bounds(x)
+        if len(cuts):
+            yield x.slice(0, cuts[-1]), np.concatenate([[0], cuts])
+            held = x.slice(cuts[-1]).to_batches()
+    if held:
+        x = pa.Table.from_batches(held)
+        yield x, np.concatenate([[0], bounds(x), [len(x)]])
 
 
 def join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
