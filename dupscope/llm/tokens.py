@@ -97,6 +97,8 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    return Encoder(path)
+def encoder(path: str, literal: bool = False) -> Encoder:
+    """One for each worker process and file; literal: special tokens' strings in a text are ordinary text."""
+    made = Encoder(path)
+    made.whole.encode_special_tokens = literal
+    return made
