@@ -87,9 +87,16 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def _bitmap(own: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(own >> words.U(54)).astype(np.int64)] = 1
-    return np.packbits(bits)
+    """Two to four bits for each shingle, a power of two of them; halves folded together give a smaller one."""
+    size = max(BITS, 1 << (2 * len(own) - 1).bit_length() if len(own) else 0)
+    bits = np.zeros(size, np.uint8)
+    bits[(own & words.U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _folded(bitmap: bytes, size: int = BITS // 64) -> np.ndarray:
+    """A bitmap folded to so many 64-bit words."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size), 0)
 
 
 def sketch(docs: DataFrame, k: int, t: tuple[int, int], common: np.ndarray) -> DataFrame:
@@ -117,10 +124,6 @@ def sketch(docs: DataFrame, k: int, t: tuple[int, int], common: np.ndarray) -> D
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bitmap binary, prefix array<long>")
 
 
-def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
-
-
 def _screen(pairs: DataFrame, sizes: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs whose sizes and bitmaps allow the similarity; with both sizes."""
     one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
@@ -129,11 +132,13 @@ def _screen(pairs: DataFrame, sizes: DataFrame, t: tuple[int, int]) -> DataFrame
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            if len(x):
-                a, b = _bits(x["ba"]), _bits(x["bb"])
-                both = np.bitwise_count(a & b).sum(1, dtype=np.int64)
-                slack = np.minimum(x["na"] - np.bitwise_count(a).sum(1, dtype=np.int64), x["nb"] - np.bitwise_count(b).sum(1, dtype=np.int64))
-                x = x[(both + slack) * (t[0] + t[1]) >= t[0] * (x["na"] + x["nb"])]
+            keep = []
+            for p, q, m, n in zip(x["ba"], x["bb"], x["na"], x["nb"]):
+                size = min(len(p), len(q)) // 8
+                p, q = _folded(p, size), _folded(q, size)
+                both, one, two = (int(np.bitwise_count(v).sum(dtype=np.int64)) for v in (p & q, p, q))
+                keep.append((both + min(m - one, n - two)) * (t[0] + t[1]) >= t[0] * (m + n))
+            x = x.loc[keep]
             yield x[["a", "b"]]
 
     return near.mapInPandas(run, "a long, b long")
@@ -148,7 +153,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, t: tuple[int, int]) -> Da
             sets = [own.tobytes() for own in words.shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(hashes, "doc_id long, shingles binary")
+    sets = scratch.cut(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(hashes, "doc_id long, shingles binary"), "sets")
 
     def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -228,7 +233,7 @@ def _tree_pairs(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
 
     def one(x: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own, ids, comp, n = (x.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n"))
-        bits = np.frombuffer(b"".join(x.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bits = np.stack([_folded(v) for v in x.column("bitmap").to_pylist()])
         i, j = x.column("i")[0].as_py(), x.column("j")[0].as_py()
         if i == j:
             tree = Tree(ids, n, comp, bits)
@@ -278,10 +283,12 @@ def join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> Da
     common = common_shingles(docs, k)
     sketches = scratch.cut(sketch(docs, k, t, common), "sketch")
     filled = sketches.where("n > 0 and doc_id is not null")
+    light = scratch.cut(sketches.select("doc_id", "n", "digest"), "documents")
     classes = scratch.cut(filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "digest", "n")
     chosen = sketches.join(reps, ["doc_id", "digest", "n"], "left_semi").dropDuplicates(["doc_id", "digest"])
     sizes = scratch.cut(chosen.select("doc_id", "n", "bitmap", "prefix"), "reps")
+    scratch.drop(sketches)
 
     rows = sizes.select(F.explode("prefix").alias("key"), "doc_id").repartition(scratch.partitions(spark), "key")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lead"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("size > 1")
@@ -301,7 +308,7 @@ def join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> Da
     final = graph.components(first.union(second))
 
     labelled = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("digest")).alias("digest")).join(labelled, ["digest", "n"], "left")
+    out = light.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("digest")).alias("digest")).join(labelled, ["digest", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
