@@ -1,11 +1,562 @@
-"""The query catalogue: name -> (spark, sf_dir) -> DataFrame, and the same rows in SQL."""
+"""The query catalogue: name -> (spark, sf_dir) -> DataFrame, and the same rows in SQL.
+
+Every query runs over its whole derived table.  Limits stand only where paging is the feature.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths, rules, text
+from ..operators import diff, dirs, export, files, groups, panels, plan, sessions
+from ..sources import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# -- the same fixtures in SQL -------------------------------------------------------------------
+
+A0 = """a0 AS (SELECT '/corpus/' || lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size,
+  1700000000 + doc_id % 97 AS mtime, doc_id % 3 AS device, doc_id AS inode, sha256(text) AS hash FROM documents)"""
+A = A0 + """, a AS (SELECT path, size, mtime, device, inode, CASE WHEN count(*) OVER (PARTITION BY size) >= 2 THEN hash END AS hash FROM a0)"""
+G = A + """, g0 AS (SELECT hash, count(*) AS file_count, min(size) AS size, min(size) * (count(*) - 1) AS reclaim FROM a WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) >= 2),
+  g AS (SELECT row_number() OVER (ORDER BY reclaim DESC, hash) - 1 AS rank, hash, file_count, size, reclaim FROM g0)"""
+M = G + """, m0 AS (SELECT a.*, g.rank, row_number() OVER (PARTITION BY a.hash ORDER BY path) = 1 AS first FROM a JOIN g USING (hash)),
+  m1 AS (SELECT path, first AND rank % 4 <> 3 AS is_keeper, CASE WHEN first THEN NULL WHEN inode % 4 = 0 THEN 'delete' WHEN inode % 4 = 1 THEN 'hardlink' WHEN inode % 4 = 2 THEN 'reflink' END AS action FROM m0),
+  m AS (SELECT * FROM m1 WHERE is_keeper OR action IS NOT NULL)"""
+P = M + """, keep AS (SELECT a.hash, a.path, a.device, a.inode FROM a JOIN m USING (path) WHERE is_keeper QUALIFY row_number() OVER (PARTITION BY a.hash ORDER BY a.path) = 1),
+  p AS (SELECT m.action AS kind, a.path AS target, keep.path AS keeper, a.size, a.hash, a.device AS target_device, keep.device AS keeper_device
+    FROM a JOIN m USING (path) JOIN keep USING (hash) WHERE NOT is_keeper AND action IS NOT NULL AND (a.device <> keep.device OR a.inode <> keep.inode))"""
+C = """c AS (SELECT '/conv/' || CAST(conv_id % 10 AS VARCHAR) || '/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path, CAST(octet_length(encode(role)) AS BIGINT) AS size, {hash} AS hash FROM conversations)"""
+C1 = C.format(hash="sha256(role)")
+C0 = C.format(hash="CASE WHEN NOT (conv_id % 7 = 0 AND turn = 0) THEN sha256(role) END")
+UP = """, up AS (SELECT path, size, hash, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: CASE WHEN n = 1 THEN '/' ELSE array_to_string(list_slice(string_split(path, '/'), 1, n), '/') END)) AS dir FROM {t})"""
+SIG = UP.format(t="c") + """, s AS (SELECT dir, sha256(string_agg((CASE WHEN dir = '/' THEN substr(path, 2) ELSE substr(path, length(dir) + 2) END) || chr(0) || hash || chr(0), '' ORDER BY CASE WHEN dir = '/' THEN substr(path, 2) ELSE substr(path, length(dir) + 2) END)) AS signature,
+  count(*) AS file_count, CAST(sum(size) AS BIGINT) AS size_per_dir FROM up GROUP BY dir HAVING count(*) = count(hash))"""
+S = A0 + """, old AS (SELECT path, size, CAST(1000 AS BIGINT) AS mtime, CAST(1 AS BIGINT) AS device, inode, hash, inode % 5 <> 0 AS verified FROM a0 WHERE inode % 10 <> 3),
+  new AS (SELECT CASE inode % 10 WHEN 0 THEN path || '.mv' WHEN 1 THEN '/corpus/moved/' || CAST(inode AS VARCHAR) ELSE path END AS path, size, CAST(CASE WHEN inode % 10 = 2 THEN 2000 ELSE 1000 END AS BIGINT) AS mtime,
+    CAST(CASE WHEN inode % 10 = 1 THEN 2 ELSE 1 END AS BIGINT) AS device, CASE WHEN inode % 10 = 1 THEN inode + 1000000 ELSE inode END AS inode, hash FROM a0 WHERE inode % 10 <> 4)"""
+D = S + """, b AS (SELECT CASE WHEN o.size = n.size AND o.mtime = n.mtime THEN 'unchanged' ELSE 'modified' END AS kind, path AS old_path, path AS new_path FROM old o JOIN new n USING (path)),
+  o1 AS (SELECT *, row_number() OVER (PARTITION BY device, inode, size ORDER BY path) AS k FROM old WHERE path NOT IN (SELECT path FROM new)),
+  n1 AS (SELECT *, row_number() OVER (PARTITION BY device, inode, size ORDER BY path) AS k FROM new WHERE path NOT IN (SELECT path FROM old)),
+  i AS (SELECT o1.path AS old_path, n1.path AS new_path FROM o1 JOIN n1 USING (device, inode, size, k)),
+  o2 AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM o1 WHERE path NOT IN (SELECT old_path FROM i)),
+  n2 AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM n1 WHERE path NOT IN (SELECT new_path FROM i)),
+  h AS (SELECT o2.path AS old_path, n2.path AS new_path FROM o2 JOIN n2 USING (hash, k)),
+  d AS (SELECT kind, old_path, new_path FROM b UNION ALL SELECT 'moved_inode', old_path, new_path FROM i UNION ALL SELECT 'moved_hash', old_path, new_path FROM h
+    UNION ALL SELECT 'deleted', path, NULL FROM o2 WHERE path NOT IN (SELECT old_path FROM h)
+    UNION ALL SELECT CASE WHEN hash IN (SELECT hash FROM old) THEN 'new_dup' ELSE 'new' END, NULL, path FROM n2 WHERE path NOT IN (SELECT new_path FROM h))"""
+T = """t AS (SELECT user_id AS id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, list_extract(['walking', 'hashing', 'complete', 'complete_with_warnings', 'aborted'], user_id % 5 + 1) AS status,
+  list_extract(['/corpus', '/conv', '/corpus/en'], user_id % 3 + 1) AS root, user_id % 7 = 0 AS trashed, count(*) AS files, CAST(floor(sum(value)) AS BIGINT) AS bytes FROM events GROUP BY user_id)"""
+DS = """ds AS (SELECT * FROM (VALUES (0, 'pool0/d0', 'pool0', '/corpus'), (1, 'pool0/d1', 'pool0', '/corpus'), (2, 'pool1/d2', 'pool1', '/corpus')) v(device, name, pool, mountpoint))"""
+DONE = "status IN ('complete', 'complete_with_warnings')"
+LISTING = """SELECT name, CASE WHEN is_file THEN 'file' ELSE 'dir' END AS kind, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime, max(CASE WHEN is_file THEN hash END) AS hash
+  FROM (SELECT split_part(substr(path, {n}), '/', 1) AS name, position('/' IN substr(path, {n})) = 0 AS is_file, size, mtime, hash FROM a WHERE path >= '{d}/' AND path < '{d}0') GROUP BY name, is_file"""
+
+
+def _listing(directory: str) -> str:
+    return LISTING.format(d=directory, n=len(directory) + 2)
+
+
+def _query(name: str, ctes: str = "", sql: str | None = None):
+    """Register a query; ctes and sql make its oracle."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = (f"WITH {ctes} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m = fx.manifest(spark, d)
+    return m, groups.summaries(m)
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return groups.members(*_groups(spark, d))
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    return fx.marks(*_groups(spark, d))
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return plan.rows(fx.manifest(spark, d), _marks(spark, d))
+
+
+# -- manifest -----------------------------------------------------------------------------------
+
+
+@_query("manifest", A, "SELECT path, size, mtime, device, inode, hash FROM a")
+def manifest(spark, d):
+    return fx.manifest(spark, d)
+
+
+@_query("manifest_count", A0, "SELECT count(*) AS files FROM a0")
+def manifest_count(spark, d):
+    return fx.unblanked(spark, d).agg(F.count(F.lit(1)).alias("files"))
+
+
+@_query("filter_size_ext", A0, "SELECT path, size FROM a0 WHERE size BETWEEN 500 AND 5000 AND path LIKE '%.txt'")
+def filter_size_ext(spark, d):
+    return files.filtered(fx.unblanked(spark, d), 500, 5000, ("txt", "md")).select("path", "size")
+
+
+@_query("exclude_globs", A0, "SELECT path FROM a0 WHERE NOT (path LIKE '%/src1/%' OR regexp_matches(path, '^/corpus/[^/]*/src2[0-9]*/'))")
+def exclude_globs(spark, d):
+    return files.filtered(fx.unblanked(spark, d), 0, exclude=["**/src1/**", "/corpus/*/src2*/**"]).select("path")
+
+
+@_query("candidate_files", A0, "SELECT path, size FROM a0 WHERE size IN (SELECT size FROM a0 GROUP BY size HAVING count(*) >= 2)")
+def candidate_files(spark, d):
+    return files.candidates(fx.unblanked(spark, d).withColumn("hash", F.lit(None).cast("string"))).select("path", "size")
+
+
+@_query("candidate_stats", A, "SELECT count(*) AS files_total, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_total, count(hash) AS files_hashed, CAST(coalesce(sum(CASE WHEN hash IS NOT NULL THEN size END), 0) AS BIGINT) AS bytes_hashed FROM a WHERE size IN (SELECT size FROM a GROUP BY size HAVING count(*) >= 2)")
+def candidate_stats(spark, d):
+    return files.candidate_stats(fx.manifest(spark, d))
+
+
+@_query("path_prefix", A0, "SELECT path, size FROM a0 WHERE path >= '/corpus/en/' AND path < '/corpus/en0'")
+def path_prefix(spark, d):
+    return fx.unblanked(spark, d).where(paths.below(F.col("path"), "/corpus/en")).select("path", "size")
+
+
+@_query("path_parts", A0, "SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(path, '[^/]*$') AS name, 'txt' AS extension, CAST(len(string_split(path, '/')) - 1 AS BIGINT) AS above FROM a0")
+def path_parts(spark, d):
+    p = F.col("path")
+    return fx.unblanked(spark, d).select("path", paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.extension(p).alias("extension"), F.size(paths.ancestors(p)).cast("long").alias("above"))
+
+
+@_query("path_order", A0, "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM a0")
+def path_order(spark, d):
+    from pyspark.sql import Window
+
+    return fx.unblanked(spark, d).select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("place"))
+
+
+@_query("listing_sorted", A, f"SELECT name, kind, size, mtime FROM ({_listing('/corpus/en')})")
+def listing_sorted(spark, d):
+    return files.sorted_listing(files.listing(fx.manifest(spark, d), "/corpus/en"), "size").select("name", "kind", "size", "mtime")
+
+
+# -- groups -------------------------------------------------------------------------------------
+
+
+@_query("group_summaries", G, "SELECT rank, hash, file_count, size, reclaim FROM g")
+def group_summaries(spark, d):
+    return _groups(spark, d)[1]
+
+
+@_query("group_members", M, "SELECT g.rank, a.hash, a.path, a.size, coalesce(m.is_keeper, false) AS is_keeper, m.action FROM a JOIN g USING (hash) LEFT JOIN m ON a.path = m.path")
+def group_members(spark, d):
+    m, g = _groups(spark, d)
+    return groups.members(m, g, fx.marks(m, g)).select("rank", "hash", "path", "size", "is_keeper", "action")
+
+
+@_query("group_page", G, "SELECT path, size FROM a WHERE hash = (SELECT hash FROM g WHERE rank = 0) ORDER BY path LIMIT 50 OFFSET 1")
+def group_page(spark, d):
+    m, g = _groups(spark, d)
+    return groups.page(m.join(g.where("rank = 0").select("hash"), "hash", "left_semi"), 1, 50).select("path", "size")
+
+
+@_query("group_summary_for_hash", G, "SELECT rank, file_count, reclaim FROM g WHERE hash = (SELECT max(hash) FROM g)")
+def group_summary_for_hash(spark, d):
+    g = _groups(spark, d)[1]
+    return g.join(g.agg(F.max("hash").alias("hash")), "hash", "left_semi").select("rank", "file_count", "reclaim")
+
+
+@_query("reclaim_total", G, "SELECT CAST(coalesce(sum(reclaim), 0) AS BIGINT) AS reclaim, count(*) AS groups FROM g")
+def reclaim_total(spark, d):
+    return _groups(spark, d)[1].agg(F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim"), F.count(F.lit(1)).alias("groups"))
+
+
+@_query("scan_summary", G, "SELECT (SELECT count(*) FROM a) AS files, (SELECT count(*) FROM g) AS groups, CAST((SELECT coalesce(sum(reclaim), 0) FROM g) AS BIGINT) AS reclaim, (SELECT count(hash) FROM a) AS hashed")
+def scan_summary(spark, d):
+    m, g = _groups(spark, d)
+    return m.agg(F.count(F.lit(1)).alias("files"), F.count("hash").alias("hashed")).join(g.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim")))
+
+
+_KEEPER = "SELECT a.hash, a.path FROM a JOIN g USING (hash) QUALIFY row_number() OVER (PARTITION BY a.hash ORDER BY {by}) = 1"
+
+
+@_query("keeper_auto", G, _KEEPER.format(by="mtime DESC, octet_length(encode(path)), path DESC"))
+def keeper_auto(spark, d):
+    return groups.keepers(_members(spark, d), "auto").select("hash", "path")
+
+
+@_query("keeper_export", G, _KEEPER.format(by="mtime DESC, path DESC"))
+def keeper_export(spark, d):
+    return groups.keepers(_members(spark, d), "export").select("hash", "path")
+
+
+@_query("keeper_display", G, _KEEPER.format(by="path"))
+def keeper_display(spark, d):
+    return groups.keepers(_members(spark, d), "first").select("hash", "path")
+
+
+@_query("keeper_marked", P, "SELECT hash, path FROM keep")
+def keeper_marked(spark, d):
+    m = fx.manifest(spark, d)
+    return groups.keepers(m.join(_marks(spark, d).where("is_keeper").select("path"), "path", "left_semi"), "first").select("hash", "path")
+
+
+@_query("auto_marks", G, "SELECT path, r = 1 AS is_keeper, CASE WHEN r > 1 THEN 'delete' END AS action FROM (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY mtime DESC, octet_length(encode(path)), path DESC) AS r FROM a JOIN g USING (hash))")
+def auto_marks(spark, d):
+    return groups.auto_marks(_members(spark, d))
+
+
+@_query("verify_groups", G, "SELECT hash, path, file_count FROM a JOIN g USING (hash)")
+def verify_groups(spark, d):
+    m = fx.unblanked(spark, d)
+    docs = fx.table(spark, d, "documents")
+    content = docs.select(F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return groups.verified(groups.members(fx.manifest(spark, d), groups.summaries(m)).drop("file_count"), content).select("hash", "path", "file_count")
+
+
+@_query("name_palette", G + ", n AS (SELECT a.hash, regexp_extract(path, '[^/]*$') AS name, min(path) AS seen FROM a JOIN g USING (hash) GROUP BY ALL)", "SELECT hash, name, CAST((row_number() OVER (PARTITION BY hash ORDER BY seen) - 1) % 5 AS BIGINT) AS colour FROM n QUALIFY count(*) OVER (PARTITION BY hash) >= 2")
+def name_palette(spark, d):
+    return groups.palette(_members(spark, d))
+
+
+@_query("csv_rows", G, "SELECT rank AS \"group\", row_number() OVER (PARTITION BY a.hash ORDER BY mtime DESC, path DESC) = 1 AS keep, a.size AS size_bytes, a.hash, a.path FROM a JOIN g USING (hash)")
+def csv_rows(spark, d):
+    return export.csv_rows(_members(spark, d))
+
+
+# -- status -------------------------------------------------------------------------------------
+
+
+@_query("dedup_status", A, """SELECT path, CASE WHEN hash IS NULL AND twins >= 2 THEN 'likely_duplicate' WHEN hash IS NULL THEN 'unhashed' WHEN copies >= 2 AND devices > 1 THEN 'dangerous_dup' WHEN copies >= 2 THEN 'verified_dup' ELSE 'hashed_unique' END AS status
+  FROM (SELECT path, hash, count(*) OVER (PARTITION BY hash) AS copies, CASE WHEN min(device) OVER (PARTITION BY hash) = max(device) OVER (PARTITION BY hash) THEN 1 ELSE 2 END AS devices, count(*) OVER (PARTITION BY size, mtime) AS twins FROM a)""")
+def dedup_status(spark, d):
+    a = files.dedup_attributes(fx.manifest(spark, d))
+    return a.select("path", rules.dedup_status(F.lit(True), F.col("hash"), F.col("copies"), F.col("devices"), F.col("twins")).alias("status"))
+
+
+@_query("directory_status", A, "SELECT path, CASE WHEN count(*) OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1), hash) >= 2 THEN 'verified_dup' ELSE 'hashed_unique' END AS status FROM a WHERE hash IS NOT NULL")
+def directory_status(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(paths.parent(F.col("path")), "hash")
+    return fx.manifest(spark, d).where("hash is not null").select("path", F.when(F.count(F.lit(1)).over(w) >= 2, "verified_dup").otherwise("hashed_unique").alias("status"))
+
+
+_PANELS = A + f", l AS ({_listing('/corpus/en/src1')}), r AS ({_listing('/corpus/fr/src1')}), cmp AS (SELECT l.name, l.kind, CASE WHEN l.kind <> 'file' THEN ' ' WHEN r.name IS NULL THEN '+' WHEN l.hash IS NOT NULL AND r.hash IS NOT NULL THEN CASE WHEN l.hash = r.hash THEN '=' ELSE '~' END WHEN l.size = r.size AND l.mtime = r.mtime THEN '≈' ELSE '~' END AS glyph FROM l LEFT JOIN r USING (name))"
+
+
+def _two(spark, d):
+    m = fx.manifest(spark, d)
+    return files.listing(m, "/corpus/en/src1"), files.listing(m, "/corpus/fr/src1")
+
+
+@_query("panel_compare", _PANELS, "SELECT name, kind, glyph FROM cmp")
+def panel_compare(spark, d):
+    return panels.compared(*_two(spark, d))
+
+
+@_query("panel_match_percent", _PANELS, "SELECT CAST(CASE WHEN count(*) > 0 THEN count(CASE WHEN glyph IN ('=', '≈') THEN 1 END) * 100 // count(*) END AS BIGINT) AS match_percent FROM cmp WHERE kind = 'file'")
+def panel_match_percent(spark, d):
+    return panels.match_percent(panels.compared(*_two(spark, d)))
+
+
+@_query("panel_confidence", _PANELS, "SELECT CAST(CASE WHEN count(*) > 0 THEN count(hash) * 100 // count(*) END AS BIGINT) AS confidence FROM l WHERE kind = 'file'")
+def panel_confidence(spark, d):
+    return panels.confidence(_two(spark, d)[0])
+
+
+@_query("panel_match_count", A, "SELECT count(*) AS matches FROM a WHERE path LIKE '/corpus/en/%' AND hash IN (SELECT hash FROM a WHERE path LIKE '/corpus/fr/%' AND hash IS NOT NULL)")
+def panel_match_count(spark, d):
+    m = fx.manifest(spark, d)
+    return panels.match_count(m.where(paths.below(F.col("path"), "/corpus/en")), m.where(paths.below(F.col("path"), "/corpus/fr")))
+
+
+@_query("cross_panel", A, "SELECT hash, count(DISTINCT split_part(path, '/', 4)) AS panels FROM a WHERE hash IS NOT NULL GROUP BY hash HAVING count(DISTINCT split_part(path, '/', 4)) >= 2")
+def cross_panel(spark, d):
+    return panels.across(fx.manifest(spark, d).withColumn("panel", F.split("path", "/")[3]))
+
+
+# -- directories --------------------------------------------------------------------------------
+
+
+@_query("dir_sizes", A0 + UP.format(t="a0"), "SELECT dir, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM up GROUP BY dir HAVING sum(size) > 0")
+def dir_sizes(spark, d):
+    return dirs.sizes(fx.unblanked(spark, d))
+
+
+@_query("dir_signatures", C1 + SIG, "SELECT dir, signature, file_count, size_per_dir FROM s")
+def dir_signatures(spark, d):
+    return dirs.signatures(fx.tree(spark, d), only_twins=False)
+
+
+_TW = "SELECT s.* FROM s JOIN (SELECT signature FROM s GROUP BY signature HAVING count(*) >= 2) USING (signature)"
+
+
+@_query("dir_groups", C1 + SIG, "SELECT signature, array_to_string(list(dir ORDER BY dir), ' ') AS paths, min(file_count) AS file_count, min(size_per_dir) AS size_per_dir FROM s GROUP BY signature HAVING count(*) >= 2")
+def dir_groups(spark, d):
+    return dirs.groups(dirs.signatures(fx.tree(spark, d))).withColumn("paths", F.array_join("paths", " "))
+
+
+@_query("dir_group_summaries", C1 + SIG, "SELECT row_number() OVER (ORDER BY reclaim DESC, signature) AS rank, * FROM (SELECT signature, count(*) AS dirs, min(file_count) AS file_count, min(size_per_dir) AS size_per_dir, min(size_per_dir) * (count(*) - 1) AS reclaim FROM s GROUP BY signature HAVING count(*) >= 2)")
+def dir_group_summaries(spark, d):
+    return dirs.group_summaries(dirs.signatures(fx.tree(spark, d)))
+
+
+@_query("dir_groups_merkle", C0 + SIG, "SELECT paths, file_count, size_per_dir FROM (SELECT array_to_string(list(dir ORDER BY dir), ' ') AS paths, min(file_count) AS file_count, min(size_per_dir) AS size_per_dir FROM s GROUP BY signature HAVING count(*) >= 2)")
+def dir_groups_merkle(spark, d):
+    return dirs.groups(dirs.merkle(fx.tree(spark, d, incomplete=True), 3)).select(F.array_join("paths", " ").alias("paths"), "file_count", "size_per_dir")
+
+
+@_query("dir_incomplete", C0 + UP.format(t="c"), "SELECT dir FROM up GROUP BY dir HAVING count(*) > count(hash)")
+def dir_incomplete(spark, d):
+    every = dirs.contained(fx.tree(spark, d, incomplete=True))
+    return every.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("h")).where("n > h").select("dir")
+
+
+@_query("dir_twins", C1 + SIG, "SELECT dir, signature FROM s WHERE signature IN (SELECT signature FROM s GROUP BY signature HAVING count(*) >= 2) AND signature = (SELECT signature FROM s WHERE dir = '/conv/1/1')")
+def dir_twins(spark, d):
+    return dirs.twins_of(dirs.signatures(fx.tree(spark, d)), "/conv/1/1")
+
+
+@_query("dup_files_inside", G, "SELECT path, hash FROM a WHERE path >= '/corpus/de/' AND path < '/corpus/de0' AND hash IN (SELECT hash FROM g)")
+def dup_files_inside(spark, d):
+    m, g = _groups(spark, d)
+    return dirs.duplicates_inside(m, g, "/corpus/de").select("path", "hash")
+
+
+@_query("path_in_scan", A0, "SELECT path, path IN ('/corpus', '/corpus/en', '/') OR path IN (SELECT path FROM a0) AS covered FROM (VALUES ('/corpus'), ('/corpus/en'), ('/corp'), ('/'), ('/nowhere/x')) v(path)")
+def path_in_scan(spark, d):
+    asked = spark.createDataFrame([("/corpus",), ("/corpus/en",), ("/corp",), ("/",), ("/nowhere/x",)], "path string")
+    return dirs.covered(fx.unblanked(spark, d), asked)
+
+
+# -- snapshots ----------------------------------------------------------------------------------
+
+
+@_query("inherit_hashes", S, "SELECT n.path, o.hash, o.hash IS NOT NULL AS inherited FROM new n LEFT JOIN (SELECT * FROM old WHERE verified) o ON n.path = o.path AND n.size = o.size AND n.mtime = o.mtime")
+def inherit_hashes(spark, d):
+    old, new = fx.snapshots(spark, d)
+    blank = new.withColumn("hash", F.lit(None).cast("string"))
+    return files.inherit(blank, old.withColumn("scan_id", F.lit(1)), ("path", "size", "mtime")).select("path", "hash", "inherited")
+
+
+@_query("commit_hashes", S, "SELECT count(*) AS files, CAST(coalesce(sum(n.size), 0) AS BIGINT) AS bytes FROM new n JOIN old o USING (path, size, mtime, device, inode)")
+def commit_hashes(spark, d):
+    old, new = fx.snapshots(spark, d)
+    key = ("path", "size", "mtime", "device", "inode")
+    done = files.commit(new.withColumn("hash", F.lit(None).cast("string")), old.select(*key, F.col("hash").alias("new_hash")), key)
+    return done.where("committed").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+@_query("scan_diff", D, "SELECT kind, old_path, new_path FROM d")
+def scan_diff(spark, d):
+    return diff.changes(*fx.snapshots(spark, d))
+
+
+@_query("scan_diff_counts", D, "SELECT kind, count(*) AS files FROM d GROUP BY kind")
+def scan_diff_counts(spark, d):
+    return diff.changes(*fx.snapshots(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
+
+
+@_query("new_dup_peers", D, "SELECT n.path AS new_path, o.path AS peer FROM d JOIN new n ON d.new_path = n.path JOIN old o ON o.hash = n.hash WHERE kind = 'new_dup'")
+def new_dup_peers(spark, d):
+    return diff.peers(*fx.snapshots(spark, d))
+
+
+# -- plans --------------------------------------------------------------------------------------
+
+
+@_query("plan_rows", P, "SELECT kind, target, keeper, size, hash FROM p")
+def plan_rows(spark, d):
+    return _plan(spark, d).select("kind", "target", "keeper", "size", "hash")
+
+
+@_query("plan_digest", P, "SELECT kind, count(*) AS actions, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY kind")
+def plan_digest(spark, d):
+    return plan.digest(_plan(spark, d)).select("kind", "actions", "bytes")
+
+
+@_query("plan_verify_bytes", P, "SELECT CAST(coalesce(sum(2 * size), 0) AS BIGINT) AS strict, CAST(coalesce(sum(size), 0) + coalesce((SELECT sum(s) FROM (SELECT max(size) AS s FROM p GROUP BY keeper)), 0) AS BIGINT) AS once FROM p")
+def plan_verify_bytes(spark, d):
+    return plan.verify_bytes(_plan(spark, d))
+
+
+@_query("plan_legality", P + ", " + DS, "SELECT target, kind, CASE WHEN t.name IS NULL THEN 'dataset unknown' WHEN kind = 'hardlink' AND target_device <> keeper_device THEN 'other device' WHEN kind = 'reflink' AND t.pool <> k.pool THEN 'other pool' END AS reason FROM p LEFT JOIN ds t ON t.device = target_device LEFT JOIN ds k ON k.device = keeper_device")
+def plan_legality(spark, d):
+    return plan.legality(_plan(spark, d), fx.datasets(spark), True).select("target", "kind", "reason")
+
+
+@_query("plan_revalidation", P + ", cur AS (SELECT path, size + CASE WHEN inode % 5 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN inode % 5 = 1 THEN 'x' ELSE hash END AS hash FROM a WHERE inode % 5 <> 2)", "SELECT target, CASE WHEN t.path IS NULL THEN 'target missing' WHEN t.size <> p.size THEN 'target size' WHEN t.hash IS DISTINCT FROM p.hash THEN 'target content' WHEN k.path IS NULL THEN 'keeper missing' WHEN k.size <> p.size THEN 'keeper size' WHEN k.hash IS DISTINCT FROM p.hash THEN 'keeper content' END AS mismatch FROM p LEFT JOIN cur t ON t.path = target LEFT JOIN cur k ON k.path = keeper")
+def plan_revalidation(spark, d):
+    i = F.col("inode") % 5
+    now = fx.manifest(spark, d).where(i != 2).select("path", (F.col("size") + (i == 0).cast("long")).alias("size"), F.when(i == 1, "x").otherwise(F.col("hash")).alias("hash"))
+    return plan.revalidated(_plan(spark, d), now).select("target", "mismatch")
+
+
+@_query("plan_outcomes", P, "SELECT count(CASE WHEN size % 3 <> 0 THEN 1 END) AS succeeded, count(CASE WHEN size % 3 = 0 THEN 1 END) AS failed, CAST(coalesce(sum(CASE WHEN size % 3 <> 0 THEN size END), 0) AS BIGINT) AS bytes_reclaimed, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_planned FROM p")
+def plan_outcomes(spark, d):
+    return plan.outcome_totals(_plan(spark, d).withColumn("ok", F.col("size") % 3 != 0))
+
+
+@_query("affected_datasets", P + ", " + DS, "SELECT name, min(target) AS first_target FROM p JOIN ds ON device = target_device GROUP BY name")
+def affected_datasets(spark, d):
+    return plan.affected_datasets(_plan(spark, d), fx.datasets(spark))
+
+
+@_query("script_lines", P, "SELECT target, CASE kind WHEN 'delete' THEN 'mv -n -- ''' || target || ''' ''/corpus/.quarantine/20240101/' || substr(target, 9) || '''' WHEN 'hardlink' THEN 'ln -f -- ''' || keeper || ''' ''' || target || '''' ELSE 'cp --reflink=always -- ''' || keeper || ''' ''' || target || '''' END AS line FROM p")
+def script_lines(spark, d):
+    return plan.script_lines(_plan(spark, d), "20240101", fx.datasets(spark))
+
+
+@_query("quarantine_totals", P + ", " + DS, "SELECT coalesce(name, 'total') AS dataset, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM p JOIN ds ON device = target_device WHERE kind = 'delete' GROUP BY ROLLUP (name)")
+def quarantine_totals(spark, d):
+    one = fx.datasets(spark).select(F.col("device_id").alias("target_device"), "name")
+    rows = _plan(spark, d).where("kind = 'delete'").join(one, "target_device")
+    return rows.rollup("name").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).select(F.coalesce("name", F.lit("total")).alias("dataset"), "files", "bytes")
+
+
+_CHANGED = ", ch AS (SELECT path, inode % 2 = 0 AS is_keeper, CASE WHEN inode % 2 = 1 AND inode % 3 = 0 THEN 'delete' END AS action FROM m0 WHERE inode % 3 <> 1)"
+
+
+def _changed(spark, d):
+    i = F.col("inode")
+    return _members(spark, d).where(i % 3 != 1).select("path", (i % 2 == 0).alias("is_keeper"), F.when((i % 2 == 1) & (i % 3 == 0), "delete").alias("action"))
+
+
+@_query("save_marks_merge", M + _CHANGED, "SELECT path, is_keeper, action FROM (SELECT * FROM ch UNION ALL SELECT * FROM m WHERE path NOT IN (SELECT path FROM ch)) WHERE is_keeper OR action IS NOT NULL")
+def save_marks_merge(spark, d):
+    return plan.save_marks(_marks(spark, d), _changed(spark, d))
+
+
+@_query("reconcile_marks", P, "SELECT path, is_keeper, action FROM m WHERE path NOT IN (SELECT target FROM p WHERE size % 2 = 0)")
+def reconcile_marks(spark, d):
+    return plan.reconcile(_marks(spark, d), _plan(spark, d).where("size % 2 = 0"), cancelled=True)
+
+
+@_query("marked_count", M, "SELECT count(*) AS marked FROM m WHERE NOT is_keeper AND action IS NOT NULL")
+def marked_count(spark, d):
+    return _marks(spark, d).where("not is_keeper and action is not null").agg(F.count(F.lit(1)).alias("marked"))
+
+
+# -- sessions -----------------------------------------------------------------------------------
+
+
+@_query("session_list", T, "SELECT id, created_at, status, root FROM t WHERE NOT trashed")
+def session_list(spark, d):
+    return sessions.listed(fx.sessions(spark, d)).select("id", "created_at", "status", F.col("roots")[0].alias("root"))
+
+
+@_query("retention", T, f"SELECT id, NOT ({DONE}) OR place > 2 AS to_trash FROM (SELECT *, sum(CASE WHEN {DONE} THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS place FROM t WHERE NOT trashed)")
+def retention(spark, d):
+    return sessions.retention(fx.sessions(spark, d)).select("id", "to_trash")
+
+
+@_query("resume_probe", T, f"SELECT root, max(CASE WHEN status IN ('walking', 'hashing') THEN id END) AS unfinished, max(CASE WHEN {DONE} THEN id END) AS completed FROM t WHERE NOT trashed GROUP BY root")
+def resume_probe(spark, d):
+    return sessions.resume_probe(fx.sessions(spark, d)).select(F.col("roots")[0].alias("root"), "unfinished", "completed")
+
+
+@_query("scan_coverage", T, f"SELECT max(id) AS scan_id FROM t WHERE {DONE} AND root IN ('/corpus', '/corpus/en')")
+def scan_coverage(spark, d):
+    return sessions.coverage(fx.sessions(spark, d), "/corpus/en/src1")
+
+
+@_query("scan_stats_report", T, "SELECT id, status, files, bytes, CAST(CASE WHEN bytes > 0 THEN files * 100 // bytes END AS BIGINT) AS percent FROM t")
+def scan_stats_report(spark, d):
+    return fx.sessions(spark, d).select("id", "status", "files", "bytes", rules.progress_percent(F.col("files"), F.col("bytes")).alias("percent")).orderBy(F.desc("id"))
+
+
+@_query("newest_scan", T, "SELECT max(id) AS newest, max(id) AS newest_known FROM t")
+def newest_scan(spark, d):
+    return sessions.newest(fx.sessions(spark, d))
+
+
+@_query("db_counts", T, "SELECT count(*) AS scans, count(CASE WHEN trashed THEN 1 END) AS trashed, (SELECT count(*) FROM documents) AS files FROM t")
+def db_counts(spark, d):
+    return sessions.counts(fx.sessions(spark, d), fx.unblanked(spark, d))
+
+
+@_query("resume_choice", T, f"SELECT root, CASE WHEN u IS NULL AND c IS NULL THEN 'new_scan' WHEN c IS NULL THEN 'resume' WHEN u IS NULL THEN 'open_results' WHEN u > c THEN 'resume' ELSE 'open_results' END AS choice FROM (SELECT root, max(CASE WHEN status IN ('walking', 'hashing') THEN created_at END) AS u, max(CASE WHEN {DONE} THEN created_at END) AS c FROM t GROUP BY root)")
+def resume_choice(spark, d):
+    s = fx.sessions(spark, d)
+    at = lambda names: F.max(F.when(F.col("status").isin(*names), F.col("created_at")))
+    return s.groupBy("roots").agg(at(rules.RESUMABLE).alias("u"), at(rules.COMPLETED).alias("c")).select(F.col("roots")[0].alias("root"), rules.resume_choice(F.col("u"), F.col("c")).alias("choice"))
+
+
+@_query("environment_reduction", T, "SELECT root, CASE WHEN count(status) = 0 THEN 'unknown' WHEN min(status) = max(status) THEN min(status) ELSE 'mixed' END AS status FROM t GROUP BY root")
+def environment_reduction(spark, d):
+    return fx.sessions(spark, d).groupBy(F.col("roots")[0].alias("root")).agg(rules.reduced(F.col("status")).alias("status"))
+
+
+@_query("throughput_ema")
+def throughput_ema(spark, d):
+    from pyspark.sql import Window
+
+    e = fx.table(spark, d, "events").where("value is not null")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.sum("value").over(w).alias("done"), F.sum("value").over(Window.partitionBy("user_id")).alias("total"))
+    return files.progress(rows.withColumn("at", F.col("us") / 1e6), "user_id", "at", "done", "total")
+
+
+# -- moves and formats --------------------------------------------------------------------------
+
+_MOVE = A0 + """, mv AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, size, hash FROM a0 WHERE path LIKE '/corpus/en/%'),
+  th AS (SELECT CASE WHEN inode % 2 = 0 THEN CAST(inode - 1 AS VARCHAR) || '.txt' ELSE regexp_extract(path, '[^/]*$') END AS name, size, hash FROM a0 WHERE path NOT LIKE '/corpus/en/%'),
+  dec AS (SELECT path, mv.name, CASE WHEN EXISTS (SELECT 1 FROM th WHERE th.size = mv.size AND th.hash = mv.hash) THEN 'duplicate' WHEN mv.name IN (SELECT name FROM th) THEN 'renamed' ELSE 'moved' END AS decision FROM mv)"""
+
+
+def _moving(spark, d):
+    m = fx.unblanked(spark, d).withColumn("name", paths.name(F.col("path")))
+    inside = paths.below(F.col("path"), "/corpus/en")
+    there = m.where(~inside).withColumn("name", F.when(F.col("inode") % 2 == 0, F.concat((F.col("inode") - 1).cast("string"), F.lit(".txt"))).otherwise(F.col("name")))
+    return m.where(inside).select("path", "name", "size", "hash"), there.select("name", "size", "hash")
+
+
+@_query("move_decision", _MOVE, "SELECT path, decision, CASE decision WHEN 'moved' THEN name WHEN 'duplicate' THEN replace(name, '.txt', '.dup1.txt') ELSE name || '.1' END AS new_name FROM dec")
+def move_decision(spark, d):
+    return panels.move_decisions(*_moving(spark, d)).select("path", "decision", "new_name")
+
+
+@_query("collision_names", "", "SELECT doc_id, source || '.' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) AS new_name FROM documents")
+def collision_names(spark, d):
+    docs = fx.table(spark, d, "documents")
+    rows = docs.select("doc_id", F.format_string("%012d", "doc_id").alias("path"), F.col("source").alias("name"), F.lit("renamed").alias("decision"))
+    return panels.numbered_names(rows, docs.select(F.col("source").alias("name")).distinct()).select("doc_id", "new_name")
+
+
+@_query("move_undo", A0, "SELECT max(inode) OVER () - inode + 1 AS seq, '/moved/' || CAST(inode AS VARCHAR) AS source, path AS target FROM a0")
+def move_undo(spark, d):
+    m = fx.unblanked(spark, d)
+    moves = m.select(F.lit(1).alias("batch"), F.col("inode").alias("seq"), F.col("path").alias("source"), F.concat(F.lit("/moved/"), F.col("inode").cast("string")).alias("target"))
+    return panels.undone(moves).select("seq", "source", "target")
+
+
+@_query("csv_guard", "", """SELECT doc_id, CASE WHEN regexp_matches(g, '[",\\n\\r]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS g FROM (SELECT doc_id, list_extract(['', '=', '+', '-', '@', chr(9)], doc_id % 6 + 1) || substr(text, 1, 40) AS c FROM documents))""")
+def csv_guard(spark, d):
+    lead = F.element_at(F.array(*map(F.lit, ("", "=", "+", "-", "@", "\t"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return fx.table(spark, d, "documents").select("doc_id", text.csv_cell(F.concat(lead, F.substring("text", 1, 40))).alias("cell"))
+
+
+@_query("format_functions", "", """SELECT doc_id, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) ELSE printf('%.1f GiB', b / 1073741824.0) END AS human,
+  CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS took,
+  strftime(make_timestamp((1700000000 + s * 86400) * 1000000), '%Y-%m-%d') AS day,
+  CASE WHEN length(source || lang) <= 5 THEN source || lang ELSE substr(source || lang, 1, 4) || '…' END AS short
+  FROM (SELECT doc_id, source, lang, doc_id * doc_id * 1024 + n_chars AS b, doc_id * 7 AS s FROM documents)""")
+def format_functions(spark, d):
+    b, s = F.col("doc_id") * F.col("doc_id") * 1024 + F.col("n_chars"), F.col("doc_id") * 7
+    return fx.table(spark, d, "documents").select("doc_id", text.human_bytes(b).alias("human"), text.duration(s).alias("took"), text.short_date(s * 86400 + 1700000000).alias("day"), text.truncate_right(F.concat("source", "lang"), 5).alias("short"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
