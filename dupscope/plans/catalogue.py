@@ -541,7 +541,7 @@ def move_undo(spark, d):
 @_query("csv_guard", "", """SELECT doc_id, CASE WHEN regexp_matches(g, '[",\\n\\r]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS g FROM (SELECT doc_id, list_extract(['', '=', '+', '-', '@', chr(9)], doc_id % 6 + 1) || substr(text, 1, 40) AS c FROM documents))""")
 def csv_guard(spark, d):
     lead = F.element_at(F.array(*map(F.lit, ("", "=", "+", "-", "@", "\t"))), (F.col("doc_id") % 6 + 1).cast("int"))
-    return fx.table(spark, d, "documents").select("doc_id", text.csv_cell(F.concat(lead, F.substring("text", 1, 40))).alias("cell"))
+    return fx.table(spark, d, "documents").select("doc_id", text.csv_cell(F.concat(lead, F.col("text"))).alias("cell"))
 
 
 @_query("format_functions", "", """SELECT doc_id, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) ELSE printf('%.1f GiB', b / 1073741824.0) END AS human,

@@ -1,0 +1,18 @@
+"""Queries that must take in the whole of every text, against plain Python."""
+
+from dupscope.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+def cell(value):
+    if value[:1] and value[0] in "=+-@\t\r":
+        value = "'" + value
+    return '"' + value.replace('"', '""') + '"' if any(c in value for c in ',"\n\r') else value
+
+
+def test_csv_guard_quotes_whole_texts(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert any(not set(t[:40]) & set(',"\n\r') and set(t) & set(',"\n\r') for t in docs.values())
+    got = {r.doc_id: r.cell for r in catalogue.queries()["csv_guard"](spark, SF).collect()}
+    assert got == {i: cell(("", "=", "+", "-", "@", "\t")[i % 6] + t) for i, t in docs.items()}
