@@ -4,7 +4,8 @@ A text's lines are its ``\\n``-separated parts; lines without a word are passed
 kept and never counted in a window).  Three lines in a row make a window, known by a 128-bit
 hash.  Windows found more than once in the corpus are repeated; the first occurrence (smallest
 doc_id, then position) stays, and the lines covered by any later occurrence go, merged over
-overlapping windows, unless a first occurrence of a repeated window covers them too.
+overlapping windows, unless a first occurrence of a repeated window covers them too.  Texts that
+share a doc_id, or have none, are told apart by a 128-bit hash, and ordered by it.
 
 Texts with fewer than three such lines have no window and stay as they are.  Null text stays
 null.  Rows with the same doc_id and text are one text here: both stay or lose the same lines.
@@ -36,8 +37,12 @@ def _worded(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0, i)), lambda i: i.isNotNull())
 
 
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, at (number among the lines with a word), k1, k2."""
+    """doc_id, t1, t2 (hash of the text), at (number among the lines with a word), k1, k2."""
 
     def of(lines: Column) -> Column:
         def keyed(at: Column) -> Column:
@@ -51,26 +56,29 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
         return let(_worded(lines), keyed)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(let(_lines(F.col("text")), of)).alias("w")).select("doc_id", "w.*")
+    t1, t2 = _hashes(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.explode(let(_lines(F.col("text")), of)).alias("w")).select("doc_id", "t1", "t2", "w.*")
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, gone: numbers (among the lines with a word) of the lines that go, for texts that lose any."""
+    """doc_id, t1, t2, gone: numbers (among the lines with a word) of the lines that go, for texts that lose any."""
     all_windows = scratch.cut(windows(docs.where("text is not null"), width), "windows")
-    first = all_windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = all_windows.join(first, ["k1", "k2"]).select("doc_id", "at", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))).alias("stays"))
-    spans = met.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("later"), F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("kept"))
+    first = all_windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "t2", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stays = F.struct("doc_id", "t1", "t2", "at").eqNullSafe(F.col("first"))
+    met = all_windows.join(first, ["k1", "k2"]).select("doc_id", "t1", "t2", "at", stays.alias("stays"))
+    spans = met.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("later"), F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("kept"))
 
     def lines(starts: Column) -> Column:
         return F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (width - 1))))
 
-    return spans.select("doc_id", F.array_except(lines(F.col("later")), lines(F.col("kept"))).alias("gone")).where("size(gone) > 0")
+    return spans.select("doc_id", "t1", "t2", F.array_except(lines(F.col("later")), lines(F.col("kept"))).alias("gone")).where("size(gone) > 0")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The same rows with the lines gone from text, and n_lines_ and n_removed_ added."""
-    gone = covered(docs, width).select(F.col("doc_id").alias("id_"), "gone")
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")), "left")
+    gone = covered(docs, width).select(F.col("doc_id").alias("id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), "gone")
+    t1, t2 = _hashes(F.col("text"))
+    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (t1 == F.col("t1_")) & (t2 == F.col("t2_")), "left")
 
     def rest(lines: Column) -> Column:
         return let(
