@@ -154,14 +154,20 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The mix itself: each document as many times as it is taken.  Rows of one doc_id are told apart by their text."""
-    keyed = docs.withColumn("key_", F.xxhash64("text", "source"))
+    """The mix itself: each document as many times as it is taken.  Rows of one doc_id are told apart by all their columns."""
+    told = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumns({"key_": told, "id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words.word_counts(batch.column(3)))], ["doc_id", "source", "key", "size"])
 
     sized = scratch.cut(keyed.select(F.col("doc_id").cast("long"), "source", "key_", "text").mapInArrow(run, "doc_id long, source string, key long, size long"), "sizes")
-    times = mix(sized, weights, most, seed).groupBy("doc_id", "key").agg((F.sum("times") / F.count(F.lit(1))).alias("times_")).select(F.col("doc_id").alias("id_"), F.col("key").alias("k_"), F.round("times_").cast("int").alias("times_")).where("times_ > 0")
-    out = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")))
+    units = mix(sized, weights, most, seed).groupBy(F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("key").alias("key_"))
+    taken = scratch.cut(units.agg(F.sum("times").alias("sum_"), F.count(F.lit(1)).alias("rows_")).where("sum_ > 0"), "times")
+    out, times = keyed.join(taken, ["id_", "key_"]), F.col("sum_").cast("int")
+    if not taken.where("rows_ > 1").isEmpty():  # equal rows share the sum of their times, the first ones one more than the others
+        w = Window.partitionBy("id_", "key_").orderBy("key_")
+        out, times = out.withColumn("row_", F.row_number().over(w)), F.expr("cast(sum_ div rows_ + if(row_ <= sum_ % rows_, 1, 0) as int)")
+    out = out.withColumn("times_", times).where("times_ > 0")
     return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)

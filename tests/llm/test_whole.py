@@ -1,6 +1,8 @@
 """Rows that the operators must treat whole and apart: null and shared ids, repeats."""
 
-from dupscope.llm import line_dedup
+import collections
+
+from dupscope.llm import line_dedup, mixing
 
 
 def test_line_dedup_tells_texts_of_one_id_apart(spark):
@@ -10,3 +12,18 @@ def test_line_dedup_tells_texts_of_one_id_apart(spark):
     want = [(1, 0, f"0\n{seen}"), (9, 3, "x"), (9, 3, ""), (9, 3, "k\nl\nm"), (None, 0, f"h\n{own}"), (None, 0, "d\ne\nf\ng"), (None, 0, "d\ne\nf\ng"), (None, 0, None)]
     first = ([(None, 0, "a\nb\nc"), (None, 3, "h")], [(None, 3, ""), (None, 0, "h\na\nb\nc")])  # by hash
     assert sorted(map(repr, out)) in [sorted(map(repr, want + x)) for x in first]
+
+
+def test_mix_emits_the_times_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s0", "en")] * 1000 + [(2, "a b", "s1", "en")] * 400 + [(2, "a b", "s1", "de")] * 3 + [(None, "k", "s2", None)] * 500 + [(0, "k", "s2", None), (0, None, "s2", None), (0, "s2", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    units, out = mixing.taken(docs).collect(), collections.Counter(map(tuple, mixing.mixed(docs).collect()))
+    target, size = {}, collections.Counter()
+    for r in units:
+        target[r.source] = r.target
+    for (_, text, source, _), n in out.items():
+        size[source] += n * len((text or "").split())
+    assert any(0 < t / s % 1 < 0.5 for t, s in ((r.target, r.source_size) for r in units))
+    assert all(abs(size[s] - target[s]) <= 3 for s in target)
+    assert sum(out.values()) == sum(r.times for r in units)
+    assert all(n <= 3 * rows.count(x) for x, n in out.items()) and set(out) <= set(rows)
