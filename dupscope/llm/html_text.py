@@ -43,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("head script style noscript template title svg math iframe object canvas select option button textarea audio video datalist map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr".split())
+#: What a head may hold; any other start tag ends it.
+HEAD = frozenset("head title meta link base style script noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body table ul ol dl div article section main td th form".split())
@@ -127,6 +129,10 @@ def parse(page: str) -> list[Node]:
             if k:
                 close(k)
             continue
+        if silent and tag not in HEAD and tag != "html":
+            k = next((k for k in range(1, len(stack)) if stack[k][0] == "head"), 0)
+            if k:
+                close(k)
         if tag in ("html", "body"):
             flush()
             if tag == "body" and len(stack) > 1:

@@ -2,7 +2,7 @@
 
 import collections
 
-from dupscope.llm import line_dedup, mixing
+from dupscope.llm import html_text, line_dedup, mixing
 
 
 def test_line_dedup_tells_texts_of_one_id_apart(spark):
@@ -27,3 +27,12 @@ def test_mix_emits_the_times_of_repeated_rows(spark):
     assert all(abs(size[s] - target[s]) <= 3 for s in target)
     assert sum(out.values()) == sum(r.times for r in units)
     assert all(n <= 3 * rows.count(x) for x, n in out.items()) and set(out) <= set(rows)
+
+
+def test_html_head_ends_at_the_first_tag_of_the_body():
+    leaves = lambda page: [x.text for x in html_text.parse(page) if x.leaf]
+    head = "<html><head><title>t</title><meta charset=x><script>var a='<p>';</script><link href=y><style>p{}</style>"
+    for end in ("", "</head>", "</head><body>", "<body>"):
+        assert leaves(f"{head}{end}<article><p>text") == ["text"]
+    assert leaves("<head><title>t</title><p>one</head><p>two") == ["one", "two"]
+    assert leaves("<head><head><title>t</title><div>one<select><option>no</select>") == ["one"]
