@@ -5,15 +5,18 @@ Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path:
 path prefix and fits that host and its subdomains; the longest rule wins.
 
 Method: trees over length, depth, digit ratio, character entropy, parameter counts and suffix
-statistics, trained on a bounded sample of labelled URLs (``TRAIN_ROWS``, in hash order) and
+statistics (share and smoothed bad rate of the labelled URLs of a suffix, the last label of the
+host; those of a row that trains come from other rows), trained on a bounded sample of labelled URLs (``TRAIN_ROWS``, in hash order) and
 compiled into one SQL expression, so scoring is DataFrame operations only.  A quarter of the
 sample only watches: trees that don't lower the loss there aren't kept.  Without labels of
 both kinds the trees are empty and the base rate decides; without any label everything is allowed.
-Empty and null URLs get the verdict of their (all zero) features like any other.
+Empty and null URLs get the verdict of their features (all zero, the base rate as suffix rate) like any other.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from . import boosting
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
+#: Suffixes with statistics of their own, the most frequent ones; rows that the base rate counts as in a smoothed one.
+SUFFIXES, PRIOR = 256, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +43,27 @@ def _count(text: Column, what: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, what, ""))).cast("double")
 
 
+def suffix(url: Column) -> Column:
+    return F.regexp_extract(host(url), r"([^.]*)$", 1)
+
+
+def suffix_stats(rows: list[tuple[str, float]]) -> dict[str | None, tuple[float, float]]:
+    """suffix -> bad rate, share of the rows (suffix, bad); under None those of any other suffix."""
+    seen, bad = Counter(k for k, _ in rows), Counter(k for k, b in rows if b)
+    mean = sum(bad.values()) / len(rows) if rows else 0.5
+    top = sorted(seen, key=lambda k: (-seen[k], k))[:SUFFIXES]
+    return {None: (mean, 0.0)} | {k: ((bad[k] + PRIOR * mean) / (seen[k] + PRIOR), seen[k] / len(rows)) for k in top}
+
+
+def suffix_features(url: Column, stats: dict[str | None, tuple[float, float]]) -> dict[str, Column]:
+    def of(i: int) -> Column:
+        known = [F.lit(x) for k, v in stats.items() if k is not None for x in (k, v[i])]
+        other = F.lit(stats[None][i])
+        return F.coalesce(F.try_element_at(F.create_map(*known), suffix(url)), other) if known else other
+
+    return {"f_suffix_rate": of(0), "f_suffix_share": of(1)}
+
+
 def features(url: Column) -> dict[str, Column]:
     u = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
@@ -66,13 +92,17 @@ def features(url: Column) -> dict[str, Column]:
     }
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[float, list]:
-    """Trees for the odds that a URL is to be blocked; labelled: url, bad (0 or 1)."""
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[float, list], dict[str | None, tuple[float, float]]]:
+    """Trees for the odds that a URL is to be blocked, and the suffix statistics they read; labelled: url, bad (0 or 1)."""
     f = features(F.col("url"))
-    sample = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows).select(F.col("bad").cast("double"), *[c.alias(k) for k, c in f.items()]).collect()
+    known = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
+    sample = known.select(F.col("bad").cast("double"), F.coalesce(suffix(F.col("url")), F.lit("")), *[c.alias(k) for k, c in f.items()]).collect()
+    pairs = [(r[1], r[0]) for r in sample]
     if not sample:
-        return -30.0, []
-    return boosting.fit([list(r[1:]) for r in sample], [r[0] for r in sample], patience=5)
+        return (-30.0, []), suffix_stats(pairs)
+    others = [suffix_stats([x for i, x in enumerate(pairs) if i % 4 not in (k, 3)]) for k in range(4)]  # rows 3, 7, ... only watch
+    own = [others[i % 4].get(k, others[i % 4][None]) for i, (k, _) in enumerate(pairs)]
+    return boosting.fit([[*r[2:], *o] for r, o in zip(sample, own)], [b for _, b in pairs], patience=5), suffix_stats(pairs)
 
 
 def rule_of(h: Column, p: Column, rules=RULES) -> Column:
@@ -86,8 +116,8 @@ def rule_of(h: Column, p: Column, rules=RULES) -> Column:
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> DataFrame:
     """pages with host, path, rule, score (chance of being bad by the trees) and verdict added; a url column is read."""
-    model = fit(labelled, rows)
-    f = features(F.col("url"))
+    model, stats = fit(labelled, rows)
+    f = features(F.col("url")) | suffix_features(F.col("url"), stats)
     verdicts = F.lit(None).cast("string")
     for verdict, rule_host, rule_path in rules:
         verdicts = F.when(F.col("rule") == rule_host + rule_path, verdict).otherwise(verdicts)

@@ -2,7 +2,7 @@
 
 import collections
 
-from dupscope.llm import html_text, line_dedup, mixing
+from dupscope.llm import html_text, line_dedup, mixing, url_filter
 
 
 def test_line_dedup_tells_texts_of_one_id_apart(spark):
@@ -36,3 +36,11 @@ def test_html_head_ends_at_the_first_tag_of_the_body():
         assert leaves(f"{head}{end}<article><p>text") == ["text"]
     assert leaves("<head><title>t</title><p>one</head><p>two") == ["one", "two"]
     assert leaves("<head><head><title>t</title><div>one<select><option>no</select>") == ["one"]
+
+
+def test_urls_that_differ_by_suffix_are_told_apart(spark):
+    urls = [f"http://h{i % 10}{i // 10 % 10}{i // 100}.{('biz', 'edu', 'gov')[i % 3]}/a" for i in range(600)]
+    labelled = spark.createDataFrame([(u, int(".biz/" in u)) for u in urls], "url string, bad int")
+    pages = spark.createDataFrame([(0, "http://h999.biz/a"), (1, "http://h999.edu/a"), (2, "http://h999.gov/a")], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled).collect()}
+    assert out == {0: "block", 1: "allow", 2: "allow"}
