@@ -10,12 +10,14 @@ then finished with a bit mixer.  A shingle's hash combines its words' hashes by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 M64 = (1 << 64) - 1
 RADIX = 0x9E3779B97F4A7C15 | 1
@@ -39,13 +41,30 @@ FOLDED = BYTES.copy()
 FOLDED[65:91] = BYTES[97:123]  # A-Z as a-z
 PLACES = mix(np.arange(101, 117, dtype=U)) | U(1)
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, which gives the memory that its task no longer needs back to the system: workers are kept for later tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def _powers_of(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.empty(max(n, SLICE + (SLICE >> 2)), U)
+        out = np.empty(max(n, SLICE + 1), U)
         out[0] = 1
         done = 1
         while done < len(out):  # doubling: the next run is the first times base**done
@@ -53,6 +72,8 @@ def _powers_of(base: int, n: int) -> np.ndarray:
             with np.errstate(over="ignore"):
                 out[done : done + k] = out[:k] * U(pow(base, done, 1 << 64))
             done += k
+        if len(out) > SLICE + 1:  # a longer text's powers are not kept
+            return out
         _powers[base] = have = out
     return have
 

@@ -65,19 +65,80 @@ def test_jaccard_join(docs):
     assert sorted(r.doc_id for r in ngram_jaccard.keep_one(docs).collect()) == sorted({c for _, c in want.values()})
 
 
-def test_tree_misses_nothing():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 60)).astype(np.uint64)) for _ in range(60)]
-    sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 1 << 63, 1).astype(np.uint64)])) for s in sets]
-    bits = np.stack([ngram_jaccard._folded(ngram_jaccard._bitmap(s)) for s in sets])
-    n, ids = np.array(list(map(len, sets))), np.arange(len(sets))
-    tree = ngram_jaccard.Tree(ids, n, ids, bits)
-    found = {(min(a, b), max(a, b)) for a, b in zip(*ngram_jaccard.traverse(tree, tree, (3, 4), True))}
-    for a in ids:
-        for b in ids[a + 1 :]:
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if 4 * both >= 3 * (n[a] + n[b] - both):
-                assert (a, b) in found
+def brute_links(sets):
+    """The smallest index reachable from each set by links of similarity 3/4 or more."""
+    top = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if ngram_jaccard.similar(sets[a], sets[b], (3, 4)) and top[a] != top[b]:
+                lo, hi = sorted((top[a], top[b]))
+                top = [lo if x == hi else x for x in top]
+    return top
+
+
+def reached(links, n):
+    found = ngram_jaccard.Links(np.arange(n))
+    for i, j in links:
+        found.add(i, j)
+    return found.roots().tolist()
+
+
+def random_sets(rng, n, size, edits):
+    """n unrelated sets and an edited copy of each."""
+    new = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    sets = [np.unique(new(size)) for _ in range(n)]
+    return sets + [np.unique(np.concatenate([s[e:], new(e)])) for s in sets for e in [int(rng.integers(0, edits))]]
+
+
+@pytest.mark.parametrize("n, size, edits", [(60, 12, 4), (40, 300, 90), (12, 2500, 700), (8, 6000, 1800)])
+def test_trees_link_what_is_similar(n, size, edits):
+    sets = random_sets(np.random.default_rng(size), n, size, edits)
+    links = ngram_jaccard.connect(sets, np.arange(len(sets)), (3, 4))
+    assert len(links) < len(sets) and all(ngram_jaccard.similar(sets[i], sets[j], (3, 4)) for i, j in links)
+    assert reached(links, len(sets)) == brute_links(sets)
+
+
+@pytest.mark.parametrize("size", [50, 500, 2000, 5000])
+def test_inner_nodes_are_pruned(size):
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(128)]
+    order = np.argsort([s[0] for s in sets])
+    tree = ngram_jaccard.Tree(order, sets, 1 << (4 * size - 1).bit_length())
+    done = ngram_jaccard.traverse(tree, tree, sets, (3, 4), ngram_jaccard.Links(np.arange(len(sets))))
+    assert done["compared"] == 0 and done["opened"] < done["met"] / 2 and done["met"] < 128 * 127 / 2
+
+
+def test_copies_are_linked_once():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, 8)), rng.integers(0, 1 << 63, 8).astype(np.uint64)])) for _ in range(1500)]
+    tree = ngram_jaccard.Tree(np.argsort([s[0] for s in sets]), sets, 1024)
+    links = ngram_jaccard.Links(np.arange(len(sets)))
+    done = ngram_jaccard.traverse(tree, tree, sets, (3, 4), links)
+    assert len(links.made) == 1499 and done["compared"] < 3000
+
+
+def test_jaccard_large_neighbourhoods(spark, monkeypatch):
+    """Blocks of a few shingles: neighbourhoods and groups are cut, and meet again in leaders and block pairs."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(6):
+        base = [f"w{family}x{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(25):
+            w = base[:]
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 400)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_repeated_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (5, y), (7, z), (None, y), (9, y + " more"), (8, None), (11, "")]
+    got = sorted(map(tuple, ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 26, 3), (5, 26, 3), (5, 26, 3), (5, 26, 3), (7, 26, 7), (None, 26, None), (9, 27, 3), (8, 0, 8), (11, 0, 11)], key=str)
 
 
 def test_empty_tables(spark, docs):
