@@ -22,9 +22,9 @@ How texts meet in a tree, without losing a pair:
    neighbours, and what hangs together is a neighbourhood.  Only shingles and ids are shuffled up to here; after that a text's
    words go to the place of its neighbourhood.
 4. A neighbourhood of up to ``BLOCK`` shingles is one tree.  A larger one is cut by the smallest shared shingle (and
-   by hash, where that is still too large).  Its groups around a shingle that are still unconnected then meet through one text of each
-   component, as long as that links any, and at last in block pairs; texts of a group's largest component only
-   meet those outside it.
+   by hash, where that is still too large).  Then its groups around one shingle, or all of it as one group where that
+   copies fewer texts, meet through one text of each component, as long as that links any, and
+   at last in block pairs, where they are still unconnected; texts of a group's largest component only meet those outside it.
 
 Null, empty texts: an empty set, linked with nothing.  Rows with a null doc_id keep a row with
 a null component.  Rows that share a doc_id are one document: their component holds what any of their
@@ -47,7 +47,7 @@ CELLS, COMMON = 1 << 24, 1 << 18
 #: A task reports a cell when so many texts of one block of so many shingles have it.
 COMMON_IN_BLOCK, BLOCK_SHINGLES = 8, 2_000_000
 #: Shingles of one tree (8 bytes each, and up to as much again for bitmaps).
-BLOCK = 1_000_000
+BLOCK = 3_000_000
 LEAF, FAN = 4, 4
 #: Node pairs opened at once.
 OPEN = 2048
@@ -250,10 +250,7 @@ class Tree:
     def __init__(self, at: np.ndarray, sets: list[np.ndarray], width: int):
         self.at, self.width = at, width
         n = np.array([len(sets[i]) for i in at], np.int64)
-        bits = np.zeros((len(at), width), np.uint8)
-        row = np.repeat(np.arange(len(at)), n)
-        bits[row, (np.concatenate([sets[i] for i in at]) & words.U(width - 1)).astype(np.int64)] = 1
-        bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        bits = np.concatenate([self._bitmaps([sets[i] for i in at[p : p + 64]], width) for p in range(0, len(at), 64)])
         level = (bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64))
         self.levels, self.fans, self.cuts, fan = [level], [], [], LEAF
         while len(level[1]) > 1:
@@ -265,6 +262,12 @@ class Tree:
             fan = FAN
         self.spans: list[tuple[np.ndarray, np.ndarray]] = []
 
+    @staticmethod
+    def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+        bits = np.zeros((len(sets), width), np.uint8)
+        bits[np.repeat(np.arange(len(sets)), list(map(len, sets))), (np.concatenate(sets) & words.U(width - 1)).astype(np.int64)] = 1
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
     def mark(self, roots: np.ndarray) -> None:
         """The range of components below each node."""
         lo = hi = roots[self.at]
@@ -427,8 +430,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(wanted.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h")
 
 
-def _blocks(shingles: Column, size: int = BLOCK) -> Column:
-    return F.ceil(shingles / size).cast("long")
+def _blocks(shingles: Column, parts: int = 1) -> Column:
+    """How many blocks, each of so many parts of BLOCK."""
+    return F.ceil(shingles / (BLOCK // parts)).cast("long")
 
 
 def _own(blocks: Column) -> Column:
@@ -446,8 +450,9 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame, k: int, t: tup
         placed = scratch.cut(_with_components(members, links), "placed")
         apart = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid")
         placed = scratch.cut(placed.join(apart, "gid", "left_semi"), "apart")
-        leads = placed.groupBy("gid", "comp").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("lead")).select("gid", "comp", "lead.*")
-        total = leads.groupBy("gid").agg(F.sum("n").alias("total"))
+        one = placed.groupBy("gid", "comp").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("lead"), F.sum("n").alias("all"))
+        leads = one.select("gid", "comp", "lead.*", "all")
+        total = leads.groupBy("gid").agg(F.sum("n").alias("total"), F.sum("all").alias("all")).where("total * 2 <= all").drop("all")  # else they would be most of the group
         dealt = leads.join(total, "gid").select(F.col("gid").alias("unit"), _own(_blocks(F.col("total"))).alias("salt"), "doc_id", "comp")
         more = scratch.cut(match(dealt, texts, k, t), "links")
         if more.isEmpty():
@@ -456,8 +461,7 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame, k: int, t: tup
 
     sums = placed.groupBy("gid", "comp").agg(F.sum("n").alias("n"))
     core = sums.groupBy("gid").agg(F.max(F.struct("n", "comp")).alias("core"), F.sum("n").alias("total"))
-    half = BLOCK // 2
-    sized = core.select("gid", F.col("core.comp").alias("core"), _blocks(F.col("total") - F.col("core.n"), half).alias("outer"), _blocks(F.col("core.n"), half).alias("inner"))
+    sized = core.select("gid", F.col("core.comp").alias("core"), _blocks(F.col("total") - F.col("core.n"), 2).alias("outer"), _blocks(F.col("core.n"), 2).alias("inner"))
     inside = F.col("comp") == F.col("core")
     own = F.when(inside, F.col("outer") + _own(F.col("inner"))).otherwise(_own(F.col("outer")))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
@@ -500,7 +504,12 @@ def join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> Da
     texts = scratch.cut(_texts(docs, sized), "texts")
     links = scratch.cut(match(dealt, texts, k, t), "links")
     if not large.isEmpty():
-        wide = scratch.cut(members.join(split.select("doc_id"), "doc_id", "left_semi").select("gid", "doc_id", "n"), "wide")
+        # A neighbourhood's groups around its shingles, or all of it as one group: what copies fewer texts.
+        groups = members.join(split.select("doc_id", "component"), "doc_id").groupBy("component").agg(F.sum("n").alias("copied"))
+        whole = groups.join(large, "component").where(F.col("total") * _blocks(F.col("total"), 2) <= F.col("copied")).select("component")
+        at_once = split.join(whole, "component", "left_semi").select(F.col("component").alias("gid"), "doc_id", "n")
+        by_shingle = members.join(split.join(whole, "component", "left_anti").select("doc_id"), "doc_id", "left_semi").select("gid", "doc_id", "n")
+        wide = scratch.cut(at_once.union(by_shingle), "wide")
         links = _rest(wide, links, texts, k, t)
     final = graph.components(links.union(alike))
 

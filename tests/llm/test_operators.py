@@ -118,7 +118,8 @@ def test_copies_are_linked_once():
     assert len(links.made) == 1499 and done["compared"] < 3000
 
 
-def test_jaccard_large_neighbourhoods(spark, monkeypatch):
+@pytest.mark.parametrize("block", [200, 700])
+def test_jaccard_large_neighbourhoods(spark, monkeypatch, block):
     """Blocks of a few shingles: neighbourhoods and groups are cut, and meet again in leaders and block pairs."""
     rng = random.Random(8)
     rows = []
@@ -129,7 +130,7 @@ def test_jaccard_large_neighbourhoods(spark, monkeypatch):
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(w)))
-    monkeypatch.setattr(ngram_jaccard, "BLOCK", 400)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
 
