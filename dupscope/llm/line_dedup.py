@@ -4,13 +4,14 @@ A text's lines are its ``\\n``-separated parts; lines without a word are passed
 kept and never counted in a window).  Three lines in a row make a window, known by a 128-bit
 hash.  Windows found more than once in the corpus are repeated; the first occurrence (smallest
 doc_id, then position) stays, and the lines covered by any later occurrence go, merged over
-overlapping windows, unless a first occurrence of a repeated window covers them too.  Texts that
+overlapping windows.  So each line that goes has an earlier copy that stays.  Texts that
 share a doc_id, or have none, are told apart by a 128-bit hash, and ordered by it.
 
 Texts with fewer than three such lines have no window and stay as they are.  Null text stays
 null.  Rows with the same doc_id and text are one text here: both stay or lose the same lines.
 Only hashes and positions are shuffled to find repeats; a window that a third of the rows
 share is counted before the shuffle and met in a plain equi-join, which AQE can split.
+Other columns keep their names and values, whatever they are called, but n_lines_ and n_removed_, which are replaced.
 """
 
 from __future__ import annotations
@@ -64,32 +65,31 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, t1, t2, gone: numbers (among the lines with a word) of the lines that go, for texts that lose any."""
     all_windows = scratch.cut(windows(docs.where("text is not null"), width), "windows")
     first = all_windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "t2", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stays = F.struct("doc_id", "t1", "t2", "at").eqNullSafe(F.col("first"))
-    met = all_windows.join(first, ["k1", "k2"]).select("doc_id", "t1", "t2", "at", stays.alias("stays"))
-    spans = met.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("later"), F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("kept"))
-
-    def lines(starts: Column) -> Column:
-        return F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (width - 1))))
-
-    return spans.select("doc_id", "t1", "t2", F.array_except(lines(F.col("later")), lines(F.col("kept"))).alias("gone")).where("size(gone) > 0")
+    later = all_windows.join(first, ["k1", "k2"]).where(~F.struct("doc_id", "t1", "t2", "at").eqNullSafe(F.col("first")))
+    lines = F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + (width - 1))))
+    return later.groupBy("doc_id", "t1", "t2").agg(F.array_distinct(lines).alias("gone"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The same rows with the lines gone from text, and n_lines_ and n_removed_ added."""
-    gone = covered(docs, width).select(F.col("doc_id").alias("id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), "gone")
+    gone = covered(docs, width)
     t1, t2 = _hashes(F.col("text"))
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (t1 == F.col("t1_")) & (t2 == F.col("t2_")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), t1.alias("h1"), t2.alias("h2"))
+    both = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left")
 
     def rest(lines: Column) -> Column:
-        return let(
-            F.transform(_worded(lines), lambda i, n: F.when(F.array_contains(F.col("gone"), n), i)),
-            lambda dropped: F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.filter(dropped, lambda d: d.isNotNull()), i), F.lit(False))), "\n"),
-        )
+        def without(at: Column) -> Column:
+            stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(F.col("gone"), lambda n: F.get(at, n)))
+            return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+        return let(_worded(lines), without)
 
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(_lines(F.col("text")), rest))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
-    added = both.withColumns({"n_lines_": n_lines.cast("long"), "n_removed_": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "new_": text})
-    return added.select(*[F.col("new_").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines_", "n_removed_")
+    text = F.col("row.text")
+    new = F.when(F.col("gone").isNull(), text).otherwise(let(_lines(text), rest)).alias("text")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("n_lines_")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_")
+    kept = [c for c in docs.columns if c not in ("n_lines_", "n_removed_")]
+    return both.select(*[new if c == "text" else F.col("row").getField(c).alias(c) for c in kept], n_lines, n_removed)
 
 
 #: DuckDB SQL for the same rows: doc_id, n_lines, n_removed, text of documents.
@@ -104,8 +104,7 @@ win AS (
 ranked AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY a, b, c) AS n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r FROM win WHERE c IS NOT NULL),
 later AS (SELECT DISTINCT doc_id, i + k AS i FROM ranked, range(3) t(k) WHERE n > 1 AND r > 1),
-kept AS (SELECT DISTINCT doc_id, i + k AS i FROM ranked, range(3) t(k) WHERE n > 1 AND r = 1),
-gone AS (SELECT w.doc_id, w.pos FROM worded w JOIN (SELECT * FROM later EXCEPT SELECT * FROM kept) g USING (doc_id, i)),
+gone AS (SELECT w.doc_id, w.pos FROM worded w JOIN later USING (doc_id, i)),
 made AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
