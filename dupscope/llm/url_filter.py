@@ -8,7 +8,8 @@ Method: trees over length, depth, digit ratio, character entropy, parameter coun
 statistics (share and smoothed bad rate of the labelled URLs of a suffix, the last label of the
 host; those of a row that trains come from other rows), trained on a bounded sample of labelled URLs (``TRAIN_ROWS``, in hash order) and
 compiled into one SQL expression, so scoring is DataFrame operations only.  A quarter of the
-sample only watches: trees that don't lower the loss there aren't kept.  Without labels of
+sample only watches, and sets the cut: the lowest score from which on most of the watched URLs are bad
+(``WATCHED`` of them at least); where the trees order the watched URLs too badly for that, the cut is ``CUT``.  Without labels of
 both kinds the trees are empty and the base rate decides; without any label everything is allowed.
 Empty and null URLs get the verdict of their features (all zero, the base rate as suffix rate) like any other.
 """
@@ -16,7 +17,9 @@ Empty and null URLs get the verdict of their features (all zero, the base rate a
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 TRAIN_ROWS = 20_000
 #: Suffixes with statistics of their own, the most frequent ones; rows that the base rate counts as in a smoothed one.
 SUFFIXES, PRIOR = 256, 20
+#: Trees; watched URLs that a cut must block at least; the cut where none holds.
+ROUNDS, WATCHED, CUT = 30, 5, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,17 +97,45 @@ def features(url: Column) -> dict[str, Column]:
     }
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[float, list], dict[str | None, tuple[float, float]]]:
-    """Trees for the odds that a URL is to be blocked, and the suffix statistics they read; labelled: url, bad (0 or 1)."""
+def cut_of(scores: list[float], bad: list[float]) -> float:
+    """The lowest score from which on more than half of the watched rows are bad; CUT if there's none."""
+    best, seen, wrong = CUT, 0, 0.0
+    rows = sorted(zip(scores, bad), reverse=True)
+    for i, (x, y) in enumerate(rows):
+        seen, wrong = seen + 1, wrong + y
+        if (i + 1 == len(rows) or rows[i + 1][0] < x) and seen >= WATCHED and 2 * wrong > seen:
+            best = x
+    return best
+
+
+class Fitted(NamedTuple):
+    model: tuple[float, list]
+    stats: dict[str | None, tuple[float, float]]
+    cut: float
+    #: Of the watched rows: log loss of the base rate alone and of the trees, and area under the ROC curve.
+    base_loss: float
+    loss: float
+    auc: float
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Fitted:
+    """Trees for the odds that a URL is to be blocked, the suffix statistics they read and the cut; labelled: url, bad (0 or 1)."""
     f = features(F.col("url"))
     known = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
     sample = known.select(F.col("bad").cast("double"), F.coalesce(suffix(F.col("url")), F.lit("")), *[c.alias(k) for k, c in f.items()]).collect()
     pairs = [(r[1], r[0]) for r in sample]
     if not sample:
-        return (-30.0, []), suffix_stats(pairs)
+        return Fitted((-30.0, []), suffix_stats(pairs), CUT, 0.0, 0.0, 0.5)
     others = [suffix_stats([x for i, x in enumerate(pairs) if i % 4 not in (k, 3)]) for k in range(4)]  # rows 3, 7, ... only watch
     own = [others[i % 4].get(k, others[i % 4][None]) for i, (k, _) in enumerate(pairs)]
-    return boosting.fit([[*r[2:], *o] for r, o in zip(sample, own)], [b for _, b in pairs], patience=5), suffix_stats(pairs)
+    x, y = np.array([[*r[2:], *o] for r, o in zip(sample, own)]), np.array([b for _, b in pairs])
+    watch = np.arange(len(y)) % 4 == 3
+    model = boosting.fit(x[~watch], y[~watch], rounds=ROUNDS, rate=0.1, least=5.0)
+    odds, seen = boosting.log_odds(model, x[watch]), y[watch]
+    loss = lambda z: float(np.mean(np.logaddexp(0, z) - seen * z)) if len(seen) else 0.0
+    good, bad = odds[seen == 0], odds[seen == 1]
+    auc = float(np.mean((bad[:, None] > good) + 0.5 * (bad[:, None] == good))) if len(good) and len(bad) else 0.5
+    return Fitted(model, suffix_stats(pairs), cut_of((1 / (1 + np.exp(-odds))).tolist(), seen.tolist()), loss(model[0]), loss(odds), auc)
 
 
 def rule_of(h: Column, p: Column, rules=RULES) -> Column:
@@ -115,16 +148,22 @@ def rule_of(h: Column, p: Column, rules=RULES) -> Column:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> DataFrame:
-    """pages with host, path, rule, score (chance of being bad by the trees) and verdict added; a url column is read."""
-    model, stats = fit(labelled, rows)
-    f = features(F.col("url")) | suffix_features(F.col("url"), stats)
+    """pages with host, path, rule, score (chance of being bad by the trees) and verdict added; a url column is read.
+
+    Columns of pages with one of the five names are replaced; all others keep their names and values.  Repeated rows each get a row.
+    """
+    fitted = fit(labelled, rows)
+    url = F.col("row.url")
+    f = features(url) | suffix_features(url, fitted.stats)
     verdicts = F.lit(None).cast("string")
     for verdict, rule_host, rule_path in rules:
         verdicts = F.when(F.col("rule") == rule_host + rule_path, verdict).otherwise(verdicts)
-    own = pages.select("*", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), *[c.alias(k) for k, c in f.items()])
-    odds = F.expr(boosting.sql(model, list(f)))
+    own = pages.select(F.struct("*").alias("row")).select("row", host(url).alias("host"), path(url).alias("path"), *[c.alias(k) for k, c in f.items()])
+    odds = F.expr(boosting.sql(fitted.model, list(f)))
     out = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("verdict", F.coalesce(verdicts, F.when(F.col("score") > 0.5, "block").otherwise("allow"))).drop(*f)
+    out = out.withColumn("verdict", F.coalesce(verdicts, F.when(F.col("score") >= fitted.cut, "block").otherwise("allow")))
+    made = ("host", "path", "rule", "score", "verdict")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c not in made], *made)
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
