@@ -4,15 +4,17 @@ Base figures of a text, over words ``[^\\x20\\x09-\\x0D]+``: words, code points
 lines equal to an earlier one, words in repeated 8-word windows.  Two fixed rules reject
 (``base_failed``).  The other rules compare a ratio with a cutoff.
 
-Method: risk control.  Labelled rows that passed the fixed rules are the holdout.  For each
-stratum (lang; null is one), rule and candidate cutoff, the good rows it would reject are
-counted, and the exact (Clopper-Pearson) upper bound of that share at level
-``DELTA / number of tests`` (Bonferroni over strata, rules and cutoffs) is held against
-``ALPHA / number of rules``.  The strictest cutoff that holds, with all looser ones, is used;
-where none holds (too few labels) the rule rejects nothing in that stratum.  With
-probability 1 - DELTA no stratum loses more than ALPHA of its good rows to all rules together.
-
-All of it is DataFrame operations; the driver sees one row of counts for each stratum.
+Method: risk control.  Labelled rows that passed the fixed rules are the holdout.  In each
+stratum (lang; null is one) the rules' cutoffs are tightened together, one level at a time, and at each level the
+good rows that any rule would reject are counted.  The exact (Clopper-Pearson) upper bound of their share is held
+against ``ALPHA`` at level ``DELTA / strata``.  Levels are tested in a fixed order, loosest first, up to the first that
+doesn't hold, so that only the strata need a correction (Bonferroni): the first level that is truly too strict passes with
+probability ``DELTA / strata`` at most.  The strictest level before it is used; where none holds (too few labels) the rules
+reject nothing in that stratum.  With probability 1 - DELTA no stratum loses more than ALPHA of its good rows.
+
+All of it is DataFrame operations.  A stratum needs at least log(DELTA) / log(1 - ALPHA) = 149 labelled rows, so the rows of
+counts that the driver sees are at most one for so many labels.  The cutoffs join the documents as a table.
+Repeated rows each get a row.  Columns other than doc_id and lang are not returned.
 Null and empty texts have zero figures and fail the first fixed rule.
 """
 
@@ -28,6 +30,8 @@ from .line_dedup import let
 
 ALPHA, DELTA = 0.02, 0.05
 WINDOW = 8
+#: Strata up to which the cutoffs are broadcast.
+STRATA = 10_000
 #: rule -> candidate cutoffs, strictest first; rows above the cutoff are rejected.
 CUTOFFS = {
     "symbols": (0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0),
@@ -107,23 +111,27 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
+LEVELS = 8
+
+
 def cutoffs(figured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """stratum -> rule -> certified cutoff."""
+    """stratum -> rule -> certified cutoff, for strata where a level holds."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    held = figured.where(~base_failed()).join(good, "doc_id", "left_semi")
     rule = ratios()
-    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(rule[r] > c, 1)).alias(f"{r}_{i}") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)]).collect()
-    tests = max(1, len(counts)) * sum(map(len, CUTOFFS.values()))
-    found: dict[str | None, dict[str, float]] = {}
-    for row in counts:
-        own = found.setdefault(row["lang"], {})
-        for r, cs in CUTOFFS.items():
-            for i in reversed(range(len(cs))):  # loosest first; stop at the first that doesn't hold
-                k = row[f"{r}_{i}"]
-                if k > row["n"] * alpha / len(CUTOFFS) or upper_bound(k, row["n"], delta / tests) > alpha / len(CUTOFFS):
-                    break
-                own[r] = cs[i]
-    return found
+    held = figured.where(~base_failed()).select("doc_id", "lang", *[c.alias(r) for r, c in rule.items()]).join(good, "doc_id", "left_semi")
+    over = [" or ".join(f"{r} > {CUTOFFS[r][i]!r}D" for r in rule) for i in range(LEVELS)]
+    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.expr(x), 1)).alias(f"k{i}") for i, x in enumerate(over)])
+    strata = max(1, counts.count())
+    enough = math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+    return {row["lang"]: {r: CUTOFFS[r][i] for r in rule} for row in counts.where(F.col("n") >= enough).collect() for i in [strictest([row[f"k{i}"] for i in range(LEVELS)], row["n"], alpha, delta / strata)] if i < LEVELS}
+
+
+def strictest(rejected: list[int], n: int, alpha: float, level: float) -> int:
+    """The first of the levels (strictest first) of which it and all looser ones hold; LEVELS if none does."""
+    i = LEVELS
+    while i and rejected[i - 1] <= n * alpha and upper_bound(rejected[i - 1], n, level) <= alpha:
+        i -= 1
+    return i
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -131,8 +139,10 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     keep = [c for c in docs.columns if c in ("doc_id", "lang", "text")]
     figured = scratch.cut(figures(docs.select(*keep)), "figures")
     found = cutoffs(figured, labels, alpha, delta)
-    rule, rejected = ratios(), F.lit(False)
-    for lang, own in found.items():
-        for r, c in own.items():
-            rejected = rejected | (F.col("lang").eqNullSafe(F.lit(lang)) & (rule[r] > c))
-    return figured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    rule = ratios()
+    table = docs.sparkSession.createDataFrame([(lang, *[own[r] for r in rule]) for lang, own in found.items()], "stratum string, " + ", ".join(f"most_{r} double" for r in rule))
+    judged = figured.withColumn("base_failed", base_failed()).join(F.broadcast(table) if len(found) <= STRATA else table, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    rejected = F.lit(False)
+    for r in rule:
+        rejected = rejected | F.coalesce(rule[r] > F.col(f"most_{r}"), F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", *[f"most_{r}" for r in rule])
