@@ -8,7 +8,8 @@ then over the runs, so that one huge file isn't one task).
 
 Blocks come from :func:`write` (a table of raw little-endian uint16 ids made from texts) or from
 :func:`read_files` (flat files of uint16 or uint32 ids in any store that Spark reads).
-Null or empty text: no ids, an end id only, count 0.  Ids after a file's last end id are a
+:func:`write` refuses tokenizers whose ids need more than 16 bits.
+Null or empty text: no ids, an end id only, count 0.  Repeated rows are counted once each.  Ids after a file's last end id are a
 document that isn't ended; it is returned with ``ended`` false.  Empty files have no rows.
 """
 
@@ -36,6 +37,9 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END) -> D
     file in order, to name the counts.
     """
     path = tokenizer or tokens.default_path()
+    largest = max(tokens.largest_id(path), end_id)
+    if largest > 0xFFFF:
+        raise ValueError(f"ids up to {largest} don't fit in the 16 bits of a token file")
     end = np.array([end_id], "<u2").tobytes()
     types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
     names = ["file", "block", "ids", "doc_ids"]
@@ -58,7 +62,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END) -> D
         if held:
             yield row(file, block, bytes(held), None)
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file long, block int, ids binary, doc_ids array<long>")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.tidy(run), "file long, block int, ids binary, doc_ids array<long>")
     return scratch.cut(made, "tokens")
 
 
