@@ -26,6 +26,8 @@ from . import scratch, tokens, words
 
 #: Rows of one ranking task.
 RANKED = 50_000
+#: Runs up to which they are broadcast (40 bytes each); beyond, lengths join in a shuffle.
+BROADCAST = 200_000
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -46,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -111,9 +113,10 @@ def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = ranked.join(before, ["length", "salt"]).withColumn("r", F.col("r") + F.col("before")).drop("salt", "before")
-    # Each superstep leaves a few runs: a few thousand rows at most for this capacity, whatever the corpus.
     table = spark.createDataFrame(runs, "run_length long, r0 long, r1 long, bin0 long, offset long")
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("run_length")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")))
+    if len(runs) <= BROADCAST:
+        table = F.broadcast(table)
+    placed = ranked.join(table, (F.col("length") == F.col("run_length")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")))
     return placed.withColumn("sequence_id", F.col("bin0") + F.col("r") - F.col("r0")).drop("run_length", "r0", "r1", "bin0", "r")
 
 

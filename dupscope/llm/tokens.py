@@ -19,7 +19,7 @@ import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 #: Chunks and stems (lower-cased letters of a chunk) that a worker remembers; beyond, they are encoded each time.
-CHUNKS, STEMS = 400_000, 800_000
+CHUNKS, STEMS = 100_000, 150_000
 PLAIN = re.compile(r"([A-Za-zÀ-ɏ]+)([.,!?;:]*)\Z")
 
 
@@ -29,6 +29,12 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 class Encoder(dict):
     """chunk (bytes) -> ids as little-endian uint32 bytes; a missing chunk is encoded."""
 
