@@ -142,9 +142,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """The labels that a model may learn from."""
+    return labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled rows that aren't held out."""
-    sample = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = known(labels).groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
-    """docs' columns, held_out_, score_, predicted_ (1 if score_ >= cut)."""
+    """docs' columns, held_out_, score_, predicted_ (1 if score_ >= cut).
+
+    Columns of docs with one of the three names are replaced.  Repeated rows each get a row.  Without labelled
+    rows nothing is known: all scores are 0.5, which is below CUT.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
-    names = docs.columns
+    made = ("held_out_", "score_", "predicted_")
+    names = [c for c in docs.columns if c not in made]
+    docs = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(Model(*held.value), batch.column(names.index("text"))))], [*names, "score_"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = docs.mapInArrow(run, f"{schema}, score_ double")
+    scored = docs.mapInArrow(words.tidy(run), f"{schema}, score_ double")
     return scored.withColumns({"held_out_": held_out(F.col("doc_id")), "predicted_": (F.col("score_") >= cut).cast("int")})
