@@ -1,7 +1,7 @@
 """Tables that cut lineage: Parquet in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session.  Only where it is unset, as in
-tests, one of our own is made.  Parquet replicated by the store survives a lost executor;
+The folder is ``spark.checkpoint.dir`` of the session.  Only where it is unset on a local
+master, as in tests, one of our own is made; on a cluster it must be set.  Parquet replicated by the store survives a lost executor;
 nothing here is kept in executors' memory or on their local disks.
 """
 
@@ -28,6 +28,8 @@ def root(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="dupscope-")
             spark.conf.set("spark.checkpoint.dir", base)
         _roots[app] = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -59,7 +61,7 @@ def drop(df: DataFrame) -> None:
     """Delete the table behind a frame from :func:`cut`, once nothing reads it any more."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(root(spark)) or root(spark) in path or path.split(":", 1)[-1].lstrip("/") in root(spark):
+        if f"/{root(spark).rsplit('/', 1)[-1]}/" in path:  # a table below this application's own folder
             _delete(spark, path)
 
 
