@@ -1,12 +1,14 @@
 """A corpus from documents to packed sequences, in stages.  Each stage reads what the one before wrote.
 
-1. quality: documents that the classifier rejects go.
+1. quality: documents that the classifier rejects go; without a label to learn from none does.
 2. lines: later occurrences of repeated three-line windows go from the texts.
 3. near_duplicates: of each group of near copies the document with the smallest doc_id stays.
 4. mix: documents are taken as often as the target weights of their sources ask, 0 to 3 times.
 5. pack: the rows that are left, cut into pieces and packed into sequences.
 
-All stages but the last return the columns of documents; n_chars follows the text.
+All stages but the last return the columns of documents; n_chars follows the text.  Null texts count as
+empty ones, and stay null; repeated rows are documents of their own up to near_duplicates, which keeps all rows of the
+doc_id that it keeps; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if quality_classifier.known(labels).isEmpty():
+        return docs
     return quality_classifier.classify(docs, labels).where("predicted_ = 1").select(*docs.columns)
 
 
