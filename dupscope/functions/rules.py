@@ -38,7 +38,7 @@ def completion(failures: Column) -> Column:
 
 
 def progress_percent(done: Column, total: Column) -> Column:
-    return F.when(total > 0, F.floor(done * 100 / total).cast("long"))
+    return F.when(total > 0, F.call_function("div", done * 100, total))
 
 
 def vacuum_due(hours: Column, since_hours: Column) -> Column:

@@ -112,3 +112,12 @@ def base_device(device: Column) -> Column:
 
 def virtual_device(device: Column) -> Column:
     return device.rlike(r"^(loop|ram|zram|dm-|sr|md)")
+
+
+def hex_encode(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
+def hex_decode(digits: Column) -> Column:
+    """The bytes; null for an odd length or a character that isn't a digit."""
+    return F.when(digits.rlike(r"\A(?:[0-9a-fA-F]{2})*\z"), F.unhex(digits))

@@ -46,7 +46,11 @@ def changes(old: DataFrame, new: DataFrame, root: str = "/") -> DataFrame:
 
 
 def peers(old: DataFrame, new: DataFrame, root: str = "/") -> DataFrame:
-    """new_path, peer: for newly duplicated files, the old files with the same content."""
+    """new_path, peers, first_peer: for newly duplicated files, how many old files have the content, and the first of them.
+
+    The peers themselves are the old files of the hash; they are never paired with each new file.
+    """
     dup = changes(old, new, root).where("kind = 'new_dup'").select(F.col("new_path").alias("path"))
     hashed = new.join(dup, "path", "left_semi").select(F.col("path").alias("new_path"), "hash")
-    return hashed.join(old.where(paths.under_root(F.col("path"), root)).select(F.col("path").alias("peer"), "hash"), "hash").select("new_path", "peer")
+    known = old.where(paths.under_root(F.col("path"), root)).groupBy("hash").agg(F.count(F.lit(1)).alias("peers"), F.min("path").alias("first_peer"))
+    return hashed.join(known, "hash").select("new_path", "peers", "first_peer")

@@ -7,10 +7,11 @@ twice, which the root and most upper directories do not survive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import ranks
 
 
 def contained(manifest: DataFrame) -> DataFrame:
@@ -40,17 +41,18 @@ def signatures(manifest: DataFrame, only_twins: bool = True) -> DataFrame:
     return listed.select("dir", F.sha2(text.cast("binary"), 256).alias("signature"), "file_count", "size_per_dir")
 
 
-def merkle(manifest: DataFrame, max_depth: int) -> DataFrame:
+def merkle(manifest: DataFrame) -> DataFrame:
     """The same classes bottom-up: a directory's signature from its children's names and signatures.
 
-    One grouping for each level; a level is hung on the one below by the parent path, so plans
-    stay linear in the depth, which the caller knows.
+    One grouping for each level of the deepest directory (one number, asked for first); a level is hung on the one
+    below by the parent path, and reuses its exchange.
     """
     name, parent = paths.name(F.col("path")), paths.parent(F.col("path"))
     depth = F.when(parent == "/", 0).otherwise(F.size(F.split(parent, "/")) - 1)
     files = manifest.select(parent.alias("dir"), depth.alias("depth"), name.alias("name"), F.col("hash").alias("sign"), F.lit(1).cast("long").alias("files"), "size")
     done, carried = None, None
-    for level in range(max_depth, -1, -1):
+    deepest = files.agg(F.max("depth")).first()[0]
+    for level in range(deepest or 0, -1, -1):
         here = files.where(F.col("depth") == level).select("dir", "name", "sign", "files", "size")
         rows = here if carried is None else here.unionByName(carried)
         entry = F.struct("name", "sign")
@@ -71,7 +73,44 @@ def group_summaries(signed: DataFrame) -> DataFrame:
     """rank (from 1), signature, dirs, file_count, size_per_dir, reclaim."""
     g = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("dirs"), F.min("file_count").alias("file_count"), F.min("size_per_dir").alias("size_per_dir")).where("dirs >= 2")
     g = g.withColumn("reclaim", F.col("size_per_dir") * (F.col("dirs") - 1))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("reclaim"), "signature")).cast("long"))
+    return ranks.by_benefit(g, "reclaim", "signature", 1)
+
+
+def signatures_of(manifest: DataFrame, asked: DataFrame, algorithm: str = "old") -> DataFrame:
+    """dir, signature of the asked directories (dir) by the scan's algorithm; empty and incomplete ones are absent."""
+    if algorithm == "merkle":
+        return merkle(manifest).join(asked.select("dir").distinct(), "dir", "left_semi").select("dir", "signature")
+    below = contained(manifest).join(asked.select("dir").distinct(), "dir", "left_semi").select("path").distinct()
+    signed = signatures(manifest.join(below, "path", "left_semi"), only_twins=False)
+    return signed.join(asked.select("dir").distinct(), "dir", "left_semi").select("dir", "signature")
+
+
+def resolved(manifest: DataFrame, group_rows: DataFrame, signed: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (path, is_dir) with outcome and size: what a cursor there shows.
+
+    file_group: the files of its group; dir_group: its twins; inner_dupes: the duplicates below it;
+    else no_duplicates, or not_in_scan.
+    """
+    own = manifest.select("path", "hash").join(group_rows.select("hash", "file_count"), "hash", "left")
+    twin = twins(signed).select(F.col("dir").alias("path"), "dirs")
+    inside = contained(manifest).join(group_rows.select("hash"), "hash", "left_semi").groupBy(F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("inner"))
+    out = covered(manifest, asked).join(own, "path", "left").join(twin, "path", "left").join(inside, "path", "left")
+    outcome = (
+        F.when(~F.col("is_dir") & F.col("hash").isNull(), "not_in_scan")
+        .when(~F.col("is_dir") & F.col("file_count").isNotNull(), "file_group")
+        .when(F.col("is_dir") & F.col("dirs").isNotNull(), "dir_group")
+        .when(F.col("is_dir") & F.col("inner").isNotNull(), "inner_dupes")
+        .when(F.col("covered"), "no_duplicates")
+        .otherwise("not_in_scan")
+    )
+    size = F.when(F.col("is_dir"), F.coalesce("dirs", "inner")).otherwise(F.col("file_count"))
+    return out.select("path", outcome.alias("outcome"), size.alias("size"))
+
+
+def live_size(entries: DataFrame, root: str, depth: int = 64) -> DataFrame:
+    """bytes of the files up to so many levels below root; entries: path, size, is_symlink.  Links are passed over."""
+    level = F.size(F.split("path", "/")) - (1 if root == "/" else len(root.split("/")))
+    return entries.where(paths.below(F.col("path"), root) & ~F.col("is_symlink") & (level <= depth)).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def groups(signed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -101,11 +101,13 @@ def progress(rows: DataFrame, by: str, at: str, done: str, total: str) -> DataFr
 
 def dedup_attributes(manifest: DataFrame) -> DataFrame:
     """manifest with copies (rows of its hash), devices (1, or 2 for more than one) and twins (rows of its size and mtime)."""
-    same = Window.partitionBy("hash")
-    stat = Window.partitionBy("size", "mtime")
-    n = F.count(F.lit(1)).over(same)
-    return manifest.withColumns({
-        "copies": F.when(F.col("hash").isNull(), F.lit(0).cast("long")).otherwise(n),
-        "devices": F.when(F.min("device").over(same) == F.max("device").over(same), 1).otherwise(2),
-        "twins": F.count(F.lit(1)).over(stat),
-    })
+    copies = manifest.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.when(F.min("device") == F.max("device"), 1).otherwise(2).alias("devices"))
+    stat = manifest.groupBy("size", "mtime").agg(F.count(F.lit(1)).alias("twins"))
+    same = F.col("size").eqNullSafe(F.col("size_")) & F.col("mtime").eqNullSafe(F.col("mtime_"))
+    out = manifest.join(copies, "hash", "left").join(stat.withColumnsRenamed({"size": "size_", "mtime": "mtime_"}), same, "left")
+    return out.select(*manifest.columns, F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("devices", F.lit(1)).alias("devices"), "twins")
+
+
+def hash_of(manifest: DataFrame, path: str) -> DataFrame:
+    """The hash of one path; no row if it isn't known."""
+    return manifest.where((F.col("path") == path) & F.col("hash").isNotNull()).select("hash")

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def summaries(manifest: DataFrame) -> DataFrame:
-    """rank (from 0), hash, file_count, size, reclaim; by reclaim, then hash.  Only groups are ranked together."""
+
+def sets(manifest: DataFrame) -> DataFrame:
+    """hash, file_count, size, reclaim of each group."""
     g = manifest.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("file_count"), F.min("size").alias("size")).where("file_count >= 2")
-    g = g.withColumn("reclaim", F.col("size") * (F.col("file_count") - 1))
-    rank = F.row_number().over(Window.orderBy(F.desc("reclaim"), "hash")) - 1
-    return g.select(rank.cast("long").alias("rank"), "hash", "file_count", "size", "reclaim")
+    return g.withColumn("reclaim", F.col("size") * (F.col("file_count") - 1))
+
+
+def summaries(manifest: DataFrame) -> DataFrame:
+    """rank (from 0), hash, file_count, size, reclaim; by reclaim, then hash."""
+    return ranks.by_benefit(sets(manifest), "reclaim", "hash", 0).select("rank", "hash", "file_count", "size", "reclaim")
 
 
 def members(manifest: DataFrame, groups: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    out = manifest.join(groups.select("rank", "hash", "file_count", "reclaim"), "hash")
+    out = manifest.join(groups.select(*[c for c in ("rank", "hash", "file_count", "reclaim") if c in groups.columns]), "hash")
     if marks is not None:
         out = out.join(marks.select("path", "is_keeper", "action"), "path", "left").withColumn("is_keeper", F.coalesce("is_keeper", F.lit(False)))
     return out
@@ -25,34 +30,33 @@ def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.orderBy("path").offset(offset).limit(limit)
 
 
-#: How a keeper is chosen among the members of a group.
+#: How a keeper is chosen among the members of a group: the largest of these.
 KEEPERS = {
-    "auto": lambda: [F.desc("mtime"), F.octet_length("path"), F.desc("path")],
-    "export": lambda: [F.desc("mtime"), F.desc("path")],
-    "first": lambda: [F.col("path")],
+    "auto": lambda: F.struct("mtime", -F.octet_length("path"), "path"),
+    "export": lambda: F.struct("mtime", "path"),
 }
 
 
 def keepers(members_: DataFrame, how: str) -> DataFrame:
-    """One row of each group."""
-    place = F.row_number().over(Window.partitionBy("hash").orderBy(*KEEPERS[how]()))
-    return members_.withColumn("place", place).where("place = 1").drop("place")
+    """One row of each group; combined before the shuffle, so that the copies of one content never meet in a task."""
+    row = F.struct(*[F.col(c) for c in members_.columns])
+    best = F.min_by(row, "path") if how == "first" else F.max_by(row, KEEPERS[how]())
+    return members_.groupBy("hash").agg(best.alias("row")).select("row.*")
 
 
 def auto_marks(members_: DataFrame) -> DataFrame:
     """path, is_keeper, action: the keeper of each group, everything else to delete."""
-    place = F.row_number().over(Window.partitionBy("hash").orderBy(*KEEPERS["auto"]()))
-    keep = place == 1
-    return members_.select("path", keep.alias("is_keeper"), F.when(~keep, "delete").alias("action"))
+    keep = members_.select("path", "hash").join(keepers(members_, "auto").select("hash", F.col("path").alias("keeper")), "hash")
+    is_keeper = F.col("path") == F.col("keeper")
+    return keep.select("path", is_keeper.alias("is_keeper"), F.when(~is_keeper, "delete").alias("action"))
 
 
 def verified(members_: DataFrame, content: DataFrame) -> DataFrame:
     """Members equal, byte for byte, to the first of their group; groups of two or more.  content: path, content."""
-    w = Window.partitionBy("hash")
     whole = members_.join(content, "path")
     first = whole.groupBy("hash").agg(F.min_by("content", "path").alias("reference"))
     kept = whole.join(first, "hash").where(F.col("content") == F.col("reference")).drop("content", "reference")
-    return kept.withColumn("file_count", F.count(F.lit(1)).over(w)).where("file_count >= 2")
+    return kept.join(kept.groupBy("hash").agg(F.count(F.lit(1)).alias("file_count")).where("file_count >= 2"), "hash")
 
 
 def palette(members_: DataFrame) -> DataFrame:

@@ -18,13 +18,12 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def match_percent(compared_: DataFrame) -> DataFrame:
     files = F.count(F.when(F.col("kind") == "file", 1))
-    equal = F.count(F.when((F.col("kind") == "file") & F.col("glyph").isin("=", "≈"), 1))
-    return compared_.agg(F.when(files > 0, F.floor(equal * 100 / files)).alias("match_percent"))
+    return compared_.agg(F.when(files > 0, F.expr("count(case when kind = 'file' and glyph in ('=', '≈') then 1 end) * 100 div count(case when kind = 'file' then 1 end)")).alias("match_percent"))
 
 
 def confidence(rows: DataFrame) -> DataFrame:
     files = F.count(F.when(F.col("kind") == "file", 1))
-    return rows.agg(F.when(files > 0, F.floor(F.count(F.when(F.col("kind") == "file", F.col("hash"))) * 100 / files)).alias("confidence"))
+    return rows.agg(F.when(files > 0, F.expr("count(case when kind = 'file' then hash end) * 100 div count(case when kind = 'file' then 1 end)")).alias("confidence"))
 
 
 def match_count(active: DataFrame, other: DataFrame) -> DataFrame:
@@ -46,6 +45,17 @@ def move_decisions(moved: DataFrame, there: DataFrame) -> DataFrame:
     return numbered_names(out.withColumn("decision", decision), there)
 
 
+def _numbered(name):
+    """The forms (head_, tail_, n_) that a taken name may have: ``stem.dupN.ext``, ``stem.dupN``, ``name.N``."""
+
+    def form(pattern: str, tail: int | None):
+        at = lambda i: F.regexp_extract(name, pattern, i)
+        return F.when(at(2) != "", F.struct(at(1).alias("head_"), (at(tail) if tail else F.lit("")).alias("tail_"), at(2).cast("int").alias("n_")))
+
+    forms = F.array(form(r"(?s)^(.*\.dup)(\d{1,9})(\.[^.]*)$", 3), form(r"(?s)^(.*\.dup)(\d{1,9})$", None), form(r"(?s)^(.*\.)(\d{1,9})$", None))
+    return F.filter(forms, lambda f: f.isNotNull())
+
+
 def numbered_names(rows: DataFrame, there: DataFrame) -> DataFrame:
     """rows (path, name, decision) with new_name: the first free ``stem.dupN.ext`` for duplicates, ``name.N`` for renamed."""
     stem, ext = F.regexp_extract("name", r"(?s)^(.+)\.[^.]*$", 1), F.regexp_extract("name", r"(?s)^.+(\.[^.]*)$", 1)
@@ -58,7 +68,7 @@ def numbered_names(rows: DataFrame, there: DataFrame) -> DataFrame:
     most = F.max("place_").over(Window.partitionBy("head_", "tail_"))
     # Free numbers: as many candidates as there are rows and taken names of the same form together.
     forms = wanted.where("decision <> 'moved'").withColumn("rows_", most).select("head_", "tail_", "rows_").distinct()
-    used = there.select("name").distinct().join(forms, F.col("name").startswith(F.col("head_")) & F.col("name").endswith(F.col("tail_"))).withColumn("n_", F.expr("try_cast(substr(name, length(head_) + 1, length(name) - length(head_) - length(tail_)) as int)")).where("n_ > 0")
+    used = there.select("name").distinct().select(F.explode(_numbered(F.col("name"))).alias("f")).select("f.*").join(forms, ["head_", "tail_"], "left_semi").where("n_ > 0")
     held = used.groupBy("head_", "tail_").agg(F.collect_set("n_").alias("held_"))
     free = forms.join(held, ["head_", "tail_"], "left").withColumn("held_", F.coalesce("held_", F.array().cast("array<int>")))
     free = free.select("head_", "tail_", F.posexplode(F.array_except(F.sequence(F.lit(1), F.col("rows_") + F.size("held_")), F.col("held_"))).alias("k_", "number_")).withColumn("place_", F.col("k_") + 1)
@@ -69,4 +79,5 @@ def numbered_names(rows: DataFrame, there: DataFrame) -> DataFrame:
 
 def undone(moves: DataFrame) -> DataFrame:
     """seq, source, target of the moves that take a batch back, in order."""
-    return moves.select((F.max("seq").over(Window.partitionBy("batch")) - F.col("seq") + 1).alias("seq"), "batch", F.col("target").alias("source"), F.col("source").alias("target"))
+    last = moves.groupBy("batch").agg(F.max("seq").alias("last"))
+    return moves.join(last, "batch").select((F.col("last") - F.col("seq") + 1).alias("seq"), "batch", F.col("target").alias("source"), F.col("source").alias("target"))

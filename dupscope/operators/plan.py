@@ -93,9 +93,42 @@ def save_marks(stored: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.where("is_keeper or action is not null")
 
 
-def set_keeper(marks: DataFrame, path: str) -> DataFrame:
-    here = F.col("path") == path
-    return marks.withColumn("action", F.when(~here, F.col("action"))).withColumn("is_keeper", here)
+def set_keeper(marks: DataFrame, group: DataFrame, path: str) -> DataFrame:
+    """marks with path as the only keeper of its group (path of each file), its own action cleared; other groups stay."""
+    one = group.select("path").distinct().withColumn("here", F.lit(True))
+    both = marks.join(one, "path", "full")
+    chosen = F.col("path") == path
+    out = both.select("path", F.when(F.col("here"), chosen).otherwise(F.col("is_keeper")).alias("is_keeper"), F.when(~(F.coalesce("here", F.lit(False)) & chosen), F.col("action")).alias("action"))
+    return out.where("is_keeper or action is not null")
+
+
+def mark(marks: DataFrame, group: DataFrame, path: str, action: str | None) -> DataFrame:
+    """marks with an action for path, a file of group (place, path).
+
+    A keeper can't be marked: nothing changes.  An action where the group has no keeper makes its first other file the keeper.
+    """
+    now = group.select("place", "path").join(marks, "path", "left").select("place", "path", F.coalesce("is_keeper", F.lit(False)).alias("is_keeper"), "action")
+    state = now.agg(F.bool_or("is_keeper").alias("any"), F.bool_or(F.col("is_keeper") & (F.col("path") == path)).alias("kept"), F.min_by(F.when(F.col("path") != path, F.col("path")), F.when(F.col("path") != path, F.col("place"))).alias("default"))
+    here, free = F.col("path") == path, ~F.col("kept")
+    keeper = F.col("is_keeper") | (free & ~F.col("any") & F.lit(action is not None) & (F.col("path") == F.col("default")))
+    new = now.join(F.broadcast(state)).select("path", keeper.alias("is_keeper"), F.when(here & free, F.lit(action)).otherwise(F.col("action")).alias("action"))
+    rest = marks.join(group.select("path"), "path", "left_anti").select("path", "is_keeper", "action")
+    return rest.union(new.where("is_keeper or action is not null"))
+
+
+def from_groups(files: DataFrame) -> DataFrame:
+    """Plan rows from files of groups (hash, place, path, size, device, inode, is_keeper, action); the first keeper by place counts."""
+    keep = files.where("is_keeper").groupBy("hash").agg(F.min_by(F.struct("path", "device", "inode"), "place").alias("k"))
+    targets = files.where(~F.col("is_keeper") & F.col("action").isin(*ACTIONS)).join(keep, "hash")
+    other = (F.col("device") != F.col("k.device")) | (F.col("inode") != F.col("k.inode"))
+    return targets.where(other).select(F.col("action").alias("kind"), F.col("path").alias("target"), F.col("k.path").alias("keeper"), "size", "hash", F.col("device").alias("target_device"), F.col("k.device").alias("keeper_device"))
+
+
+def from_panels(marked: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plan rows, one row no_hash) from files marked in panels (path, size, device, inode, is_keeper, action), grouped by the manifest's hash."""
+    named = marked.join(manifest.select("path", "hash"), "path", "left")
+    known = named.where("hash is not null").withColumn("place", F.col("path"))
+    return from_groups(known), named.agg(F.count(F.when(F.col("hash").isNull(), 1)).alias("no_hash"))
 
 
 def reconcile(marks: DataFrame, attempted: DataFrame, cancelled: bool) -> DataFrame:

@@ -40,3 +40,88 @@ def newest(scans: DataFrame) -> DataFrame:
 def counts(scans: DataFrame, manifest: DataFrame) -> DataFrame:
     own = scans.agg(F.count(F.lit(1)).alias("scans"), F.count(F.when(F.col("trashed"), 1)).alias("trashed"))
     return own.join(manifest.agg(F.count(F.lit(1)).alias("files")))
+
+
+# -- with the table of statistics -----------------------------------------------------------------
+
+CANDIDATES = ("cand_files_total", "cand_files_hashed", "cand_bytes_total", "cand_bytes_hashed")
+
+
+def with_statistics(scans: DataFrame, stats: DataFrame, trashed: bool = False) -> DataFrame:
+    """Sessions in or out of the trash with their figures, 0 where a scan has no statistics; newest first."""
+    figures = (*CANDIDATES, "files_scanned", "reclaimable_bytes")
+    out = listed(scans, trashed).join(stats.select(F.col("scan_id").alias("id"), *figures), "id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in figures}).orderBy(F.desc("id"))
+
+
+def report(scans: DataFrame, stats: DataFrame) -> DataFrame:
+    """All scans that have statistics, in the trash or not, newest first."""
+    return scans.join(stats.withColumnRenamed("scan_id", "id"), "id").orderBy(F.desc("id"))
+
+
+def unprepared(scans: DataFrame, stats: DataFrame) -> DataFrame:
+    """Completed scans out of the trash whose results are not marked as prepared."""
+    marked = stats.select(F.col("scan_id").alias("id"), "results_materialized")
+    out = scans.where((~F.coalesce("trashed", F.lit(False))) & F.col("status").isin(*COMPLETED)).join(marked, "id", "left")
+    return out.where(~F.coalesce("results_materialized", F.lit(False)))
+
+
+def preparation(scans: DataFrame, stats: DataFrame, recorded: DataFrame) -> DataFrame:
+    """id, step of each unprepared scan: its groups were recorded or it is known to have none (mark), or they must be made (materialize).
+
+    recorded: scan_id of each stored group.  A count of no groups says something only beside other results.
+    """
+    own = recorded.groupBy(F.col("scan_id").alias("id")).agg(F.count(F.lit(1)).alias("groups"))
+    known = stats.select(F.col("scan_id").alias("id"), "groups_found", "files_scanned", "bytes_hashed")
+    none = (F.col("groups_found") == 0) & ((F.col("files_scanned") > 0) | (F.col("bytes_hashed") > 0))
+    out = unprepared(scans, stats).select("id").join(own, "id", "left").join(known, "id", "left")
+    return out.select("id", F.when(F.col("groups").isNotNull() | F.coalesce(none, F.lit(False)), "mark").otherwise("materialize").alias("step"))
+
+
+def begun(scans: DataFrame, config_json: str, now: str) -> DataFrame:
+    """The row of a new scan: the next id, walking."""
+    return scans.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select("id", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit("walking").alias("status"), F.lit(config_json).alias("config_json"), F.lit(False).alias("trashed"))
+
+
+def with_status(scans: DataFrame, scan_id: int, status: str, now: str) -> DataFrame:
+    here = F.col("id") == scan_id
+    return scans.withColumns({"status": F.when(here, status).otherwise(F.col("status")), "updated_at": F.when(here, now).otherwise(F.col("updated_at"))})
+
+
+def created_at(scans: DataFrame, scan_id: int) -> DataFrame:
+    return scans.where(F.col("id") == scan_id).select("created_at")
+
+
+def with_trash(scans: DataFrame, scan_ids: DataFrame, trashed: bool) -> DataFrame:
+    """scans with the flag of some (id) set or lifted."""
+    some = scan_ids.select("id").distinct().withColumn("here", F.lit(True))
+    return scans.join(some, "id", "left").withColumn("trashed", F.when(F.col("here"), F.lit(trashed)).otherwise(F.coalesce("trashed", F.lit(False)))).drop("here").select(*scans.columns)
+
+
+def updated(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """stats with changes (scan_id and some of its columns) written over; elapsed_seconds is added.  Missing rows are made."""
+    new = changes.withColumnsRenamed({c: f"new_{c}" for c in changes.columns if c != "scan_id"})
+    both = stats.join(new, "scan_id", "full")
+    cols = {}
+    for f in stats.schema.fields:
+        zero = F.lit(0).cast(f.dataType) if f.dataType.typeName() in ("long", "double", "integer") else F.lit(False) if f.dataType.typeName() == "boolean" else F.lit(None).cast(f.dataType)
+        old = F.coalesce(f.name, zero)
+        if f.name == "scan_id" or f.name not in changes.columns:
+            cols[f.name] = F.col(f.name) if f.name == "scan_id" else old
+        elif f.name == "elapsed_seconds":
+            cols[f.name] = old + F.coalesce(f"new_{f.name}", F.lit(0.0))
+        else:
+            cols[f.name] = F.coalesce(f"new_{f.name}", old)
+    return both.select(*[c.alias(n) for n, c in cols.items()])
+
+
+def summary(stats: DataFrame, scan_id: int) -> DataFrame:
+    return stats.where(F.col("scan_id") == scan_id).select("files_scanned", "bytes_hashed", "groups_found", "reclaimable_bytes", "hash_failures")
+
+
+def compacted(store, files: int = 1) -> tuple[list[int], int, int]:
+    """Scans in the trash are purged and the tables rewritten; ids purged, files before and after."""
+    ids = sorted(r["id"] for r in store.read("scan").where("trashed").select("id").collect())  # a number for each session
+    store.purge(ids)
+    done = [store.compact(name, files) for name in ("scan", "file", "scan_stats", "file_mark", "file_group", "dir_dedup", "move_event")]
+    return ids, sum(b for b, _ in done), sum(a for _, a in done)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules, text
 from ..operators import diff, dirs, export, files, groups, panels, plan, sessions
+from ..sources import config
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,8 @@ def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return groups.members(*_groups(spark, d))
+    m = fx.manifest(spark, d)
+    return groups.members(m, groups.sets(m))
 
 
 def _marks(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +177,13 @@ def group_summary_for_hash(spark, d):
 
 @_query("reclaim_total", G, "SELECT CAST(coalesce(sum(reclaim), 0) AS BIGINT) AS reclaim, count(*) AS groups FROM g")
 def reclaim_total(spark, d):
-    return _groups(spark, d)[1].agg(F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim"), F.count(F.lit(1)).alias("groups"))
+    return groups.sets(fx.manifest(spark, d)).agg(F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim"), F.count(F.lit(1)).alias("groups"))
 
 
 @_query("scan_summary", G, "SELECT (SELECT count(*) FROM a) AS files, (SELECT count(*) FROM g) AS groups, CAST((SELECT coalesce(sum(reclaim), 0) FROM g) AS BIGINT) AS reclaim, (SELECT count(hash) FROM a) AS hashed")
 def scan_summary(spark, d):
-    m, g = _groups(spark, d)
+    m = fx.manifest(spark, d)
+    g = groups.sets(m)
     return m.agg(F.count(F.lit(1)).alias("files"), F.count("hash").alias("hashed")).join(g.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim")))
 
 
@@ -218,7 +221,7 @@ def verify_groups(spark, d):
     m = fx.unblanked(spark, d)
     docs = fx.table(spark, d, "documents")
     content = docs.select(F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    return groups.verified(groups.members(fx.manifest(spark, d), groups.summaries(m)).drop("file_count"), content).select("hash", "path", "file_count")
+    return groups.verified(groups.members(fx.manifest(spark, d), groups.sets(m)).drop("file_count"), content).select("hash", "path", "file_count")
 
 
 @_query("name_palette", G + ", n AS (SELECT a.hash, regexp_extract(path, '[^/]*$') AS name, min(path) AS seen FROM a JOIN g USING (hash) GROUP BY ALL)", "SELECT hash, name, CAST((row_number() OVER (PARTITION BY hash ORDER BY seen) - 1) % 5 AS BIGINT) AS colour FROM n QUALIFY count(*) OVER (PARTITION BY hash) >= 2")
@@ -228,7 +231,7 @@ def name_palette(spark, d):
 
 @_query("csv_rows", G, "SELECT rank AS \"group\", row_number() OVER (PARTITION BY a.hash ORDER BY mtime DESC, path DESC) = 1 AS keep, a.size AS size_bytes, a.hash, a.path FROM a JOIN g USING (hash)")
 def csv_rows(spark, d):
-    return export.csv_rows(_members(spark, d))
+    return export.csv_rows(groups.members(*_groups(spark, d)))
 
 
 # -- status -------------------------------------------------------------------------------------
@@ -243,10 +246,9 @@ def dedup_status(spark, d):
 
 @_query("directory_status", A, "SELECT path, CASE WHEN count(*) OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1), hash) >= 2 THEN 'verified_dup' ELSE 'hashed_unique' END AS status FROM a WHERE hash IS NOT NULL")
 def directory_status(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(paths.parent(F.col("path")), "hash")
-    return fx.manifest(spark, d).where("hash is not null").select("path", F.when(F.count(F.lit(1)).over(w) >= 2, "verified_dup").otherwise("hashed_unique").alias("status"))
+    here = fx.manifest(spark, d).where("hash is not null").select("path", "hash", paths.parent(F.col("path")).alias("dir"))
+    copies = here.groupBy("dir", "hash").agg(F.count(F.lit(1)).alias("copies"))
+    return here.join(copies, ["dir", "hash"]).select("path", F.when(F.col("copies") >= 2, "verified_dup").otherwise("hashed_unique").alias("status"))
 
 
 _PANELS = A + f", l AS ({_listing('/corpus/en/src1')}), r AS ({_listing('/corpus/fr/src1')}), cmp AS (SELECT l.name, l.kind, CASE WHEN l.kind <> 'file' THEN ' ' WHEN r.name IS NULL THEN '+' WHEN l.hash IS NOT NULL AND r.hash IS NOT NULL THEN CASE WHEN l.hash = r.hash THEN '=' ELSE '~' END WHEN l.size = r.size AND l.mtime = r.mtime THEN '≈' ELSE '~' END AS glyph FROM l LEFT JOIN r USING (name))"
@@ -311,7 +313,7 @@ def dir_group_summaries(spark, d):
 
 @_query("dir_groups_merkle", C0 + SIG, "SELECT paths, file_count, size_per_dir FROM (SELECT array_to_string(list(dir ORDER BY dir), ' ') AS paths, min(file_count) AS file_count, min(size_per_dir) AS size_per_dir FROM s GROUP BY signature HAVING count(*) >= 2)")
 def dir_groups_merkle(spark, d):
-    return dirs.groups(dirs.merkle(fx.tree(spark, d, incomplete=True), 3)).select(F.array_join("paths", " ").alias("paths"), "file_count", "size_per_dir")
+    return dirs.groups(dirs.merkle(fx.tree(spark, d, incomplete=True))).select(F.array_join("paths", " ").alias("paths"), "file_count", "size_per_dir")
 
 
 @_query("dir_incomplete", C0 + UP.format(t="c"), "SELECT dir FROM up GROUP BY dir HAVING count(*) > count(hash)")
@@ -327,8 +329,8 @@ def dir_twins(spark, d):
 
 @_query("dup_files_inside", G, "SELECT path, hash FROM a WHERE path >= '/corpus/de/' AND path < '/corpus/de0' AND hash IN (SELECT hash FROM g)")
 def dup_files_inside(spark, d):
-    m, g = _groups(spark, d)
-    return dirs.duplicates_inside(m, g, "/corpus/de").select("path", "hash")
+    m = fx.manifest(spark, d)
+    return dirs.duplicates_inside(m, groups.sets(m), "/corpus/de").select("path", "hash")
 
 
 @_query("path_in_scan", A0, "SELECT path, path IN ('/corpus', '/corpus/en', '/') OR path IN (SELECT path FROM a0) AS covered FROM (VALUES ('/corpus'), ('/corpus/en'), ('/corp'), ('/'), ('/nowhere/x')) v(path)")
@@ -365,7 +367,7 @@ def scan_diff_counts(spark, d):
     return diff.changes(*fx.snapshots(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
 
 
-@_query("new_dup_peers", D, "SELECT n.path AS new_path, o.path AS peer FROM d JOIN new n ON d.new_path = n.path JOIN old o ON o.hash = n.hash WHERE kind = 'new_dup'")
+@_query("new_dup_peers", D, "SELECT n.path AS new_path, count(*) AS peers, min(o.path) AS first_peer FROM d JOIN new n ON d.new_path = n.path JOIN old o ON o.hash = n.hash WHERE kind = 'new_dup' GROUP BY n.path")
 def new_dup_peers(spark, d):
     return diff.peers(*fx.snapshots(spark, d))
 
@@ -505,6 +507,166 @@ def throughput_ema(spark, d):
     return files.progress(rows.withColumn("at", F.col("us") / 1e6), "user_id", "at", "done", "total")
 
 
+ST = T + """, st AS (SELECT id AS scan_id, files AS cand_files_total, files // 2 AS cand_files_hashed, bytes AS cand_bytes_total, bytes // 2 AS cand_bytes_hashed, CASE WHEN id % 3 = 0 THEN 0 ELSE files END AS files_scanned,
+  CASE WHEN id % 3 = 0 THEN 0 ELSE bytes END AS bytes_hashed, id % 2 AS groups_found, bytes // 3 AS reclaimable_bytes, id % 4 = 0 AS results_materialized FROM t WHERE id % 11 <> 0)"""
+
+
+@_query("session_statistics", ST, "SELECT id, status, coalesce(cand_files_total, 0) AS files, coalesce(cand_files_hashed, 0) AS hashed, coalesce(reclaimable_bytes, 0) AS reclaimable FROM t LEFT JOIN st ON scan_id = id WHERE NOT trashed")
+def session_statistics(spark, d):
+    out = sessions.with_statistics(fx.sessions(spark, d), fx.statistics(spark, d))
+    return out.select("id", "status", F.col("cand_files_total").alias("files"), F.col("cand_files_hashed").alias("hashed"), F.col("reclaimable_bytes").alias("reclaimable"))
+
+
+@_query("statistics_report", ST, "SELECT id, status, files_scanned, bytes_hashed, groups_found, reclaimable_bytes FROM t JOIN st ON scan_id = id")
+def statistics_report(spark, d):
+    return sessions.report(fx.sessions(spark, d), fx.statistics(spark, d)).select("id", "status", "files_scanned", "bytes_hashed", "groups_found", "reclaimable_bytes")
+
+
+@_query("unprepared_scans", ST, f"SELECT id FROM t LEFT JOIN st ON scan_id = id WHERE {DONE} AND NOT trashed AND NOT coalesce(results_materialized, false)")
+def unprepared_scans(spark, d):
+    return sessions.unprepared(fx.sessions(spark, d), fx.statistics(spark, d)).select("id")
+
+
+@_query("result_preparation", ST, f"SELECT id, CASE WHEN id % 7 = 1 OR (groups_found = 0 AND (files_scanned > 0 OR bytes_hashed > 0)) THEN 'mark' ELSE 'materialize' END AS step FROM t LEFT JOIN st ON scan_id = id WHERE {DONE} AND NOT trashed AND NOT coalesce(results_materialized, false)")
+def result_preparation(spark, d):
+    s = fx.sessions(spark, d)
+    return sessions.preparation(s, fx.statistics(spark, d), s.where("id % 7 = 1").select(F.col("id").alias("scan_id")))
+
+
+@_query("begin_scan", T, "SELECT max(id) + 1 AS id, '2024-05-01 00:00:00' AS created_at, 'walking' AS status, false AS trashed FROM t")
+def begin_scan(spark, d):
+    return sessions.begun(fx.sessions(spark, d), "{}", "2024-05-01 00:00:00").select("id", "created_at", "status", "trashed")
+
+
+@_query("scan_status_update", T, "SELECT id, CASE WHEN id = 7 THEN 'complete' ELSE status END AS status, CASE WHEN id = 7 THEN '2024-05-01' ELSE created_at END AS updated_at FROM t")
+def scan_status_update(spark, d):
+    return sessions.with_status(fx.sessions(spark, d).withColumn("updated_at", F.col("created_at")), 7, "complete", "2024-05-01").select("id", "status", "updated_at")
+
+
+@_query("scan_created_at", T, "SELECT created_at FROM t WHERE id = 7")
+def scan_created_at(spark, d):
+    return sessions.created_at(fx.sessions(spark, d), 7)
+
+
+@_query("trash_scans", T, f"SELECT id, trashed OR id % 5 = 4 AS trashed FROM t")
+def trash_scans(spark, d):
+    s = fx.sessions(spark, d)
+    return sessions.with_trash(s, s.where("id % 5 = 4").select("id"), True).select("id", "trashed")
+
+
+@_query("restore_scans", T, "SELECT id, trashed AND id % 2 = 1 AS trashed FROM t")
+def restore_scans(spark, d):
+    s = fx.sessions(spark, d)
+    return sessions.with_trash(s, s.where("id % 2 = 0").select("id"), False).select("id", "trashed")
+
+
+@_query("statistics_update", ST, "SELECT id AS scan_id, CASE WHEN id % 2 = 0 THEN id ELSE coalesce(files_scanned, 0) END AS files_scanned, coalesce(bytes_hashed, 0) AS bytes_hashed, CAST(CASE WHEN id % 2 = 0 THEN 1.5 ELSE 0.0 END + CASE WHEN scan_id IS NULL THEN 0.0 ELSE 2.0 END AS DOUBLE) AS elapsed_seconds FROM t LEFT JOIN st ON scan_id = id WHERE scan_id IS NOT NULL OR id % 2 = 0")
+def statistics_update(spark, d):
+    changes = fx.sessions(spark, d).where("id % 2 = 0").select(F.col("id").alias("scan_id"), F.col("id").alias("files_scanned"), F.lit(1.5).alias("elapsed_seconds"))
+    return sessions.updated(fx.statistics(spark, d).withColumn("elapsed_seconds", F.lit(2.0)), changes).select("scan_id", "files_scanned", "bytes_hashed", "elapsed_seconds")
+
+
+@_query("scan_result_summary", ST, "SELECT files_scanned, bytes_hashed, groups_found, reclaimable_bytes, 0 AS hash_failures FROM st WHERE scan_id = 7")
+def scan_result_summary(spark, d):
+    return sessions.summary(fx.statistics(spark, d).withColumn("hash_failures", F.lit(0)), 7)
+
+
+@_query("config_round_trip", T, "SELECT id, root, 4096 AS min_size, id % 2 = 0 AS reuse_hashes, CASE WHEN id % 3 = 0 THEN 'Idle' ELSE 'Balanced' END AS hash_profile, 0 AS extensions FROM t")
+def config_round_trip(spark, d):
+    """Configurations written as JSON by an older version, read with defaults."""
+    i = F.col("id")
+    old = F.struct("roots", F.lit(4096).cast("long").alias("min_size"), F.when(i % 2 == 0, True).alias("reuse_hashes"), F.when(i % 3 == 0, "Idle").alias("hash_profile"))
+    c = config.decoded(F.to_json(old))
+    return fx.sessions(spark, d).select("id", c["roots"][0].alias("root"), c["min_size"].cast("int").alias("min_size"), c["reuse_hashes"].alias("reuse_hashes"), c["hash_profile"].alias("hash_profile"), F.size(c["include_extensions"]).alias("extensions"))
+
+
+@_query("preset_list", "", "SELECT * FROM (VALUES ('All', 0), ('Images', 20), ('Office documents', 11), ('Mine', 2)) v(name, extensions)")
+def preset_list(spark, d):
+    user = spark.createDataFrame([('[{"name": "Mine", "extensions": [" .TXT", "md"]}]',)], "value string")
+    return config.presets(spark, user).select("name", F.size("extensions").alias("extensions"))
+
+
+@_query("dataset_listing", "", "SELECT DISTINCT 'pool/' || source AS name, '/' || source AS mountpoint FROM documents WHERE source IS NOT NULL AND doc_id % 3 <> 1")
+def dataset_listing(spark, d):
+    i = F.col("doc_id")
+    line = F.concat_ws("\t", F.concat(F.lit("pool/"), "source"), F.when(i % 3 == 1, F.element_at(F.array(F.lit("none"), F.lit("legacy"), F.lit("-")), (i % 9 / 3 + 1).cast("int"))).otherwise(F.concat(F.lit("/"), "source")), F.lit("yes"))
+    lines = fx.table(spark, d, "documents").where("source is not null").select(line.alias("value")).distinct()
+    return config.datasets(lines.union(spark.createDataFrame([("broken",), ("pool/x\t/x\tno",)], "value string")))
+
+
+# -- marks and plans from groups and panels -------------------------------------------------------
+
+
+@_query("plan_from_groups", P, "SELECT kind, target, keeper, size, hash FROM p")
+def plan_from_groups(spark, d):
+    m, g = _groups(spark, d)
+    rows = groups.members(m, g, fx.marks(m, g)).withColumn("place", F.col("path"))
+    return plan.from_groups(rows).select("kind", "target", "keeper", "size", "hash")
+
+
+@_query("plan_from_panels", P, "SELECT kind, target, keeper FROM p")
+def plan_from_panels(spark, d):
+    m = fx.manifest(spark, d)
+    return plan.from_panels(m.drop("hash").join(_marks(spark, d), "path"), m)[0].select("kind", "target", "keeper")
+
+
+@_query("panel_marks_without_hash", A, "SELECT count(*) - count(hash) AS no_hash FROM a WHERE inode % 2 = 0")
+def panel_marks_without_hash(spark, d):
+    m = fx.manifest(spark, d)
+    marked = m.where("inode % 2 = 0").drop("hash").withColumns({"is_keeper": F.lit(False), "action": F.lit("delete")})
+    return plan.from_panels(marked, m)[1]
+
+
+_FIRST = ", f AS (SELECT path, row_number() OVER (ORDER BY path) AS place FROM a WHERE hash = (SELECT hash FROM g WHERE rank = 0))"
+
+
+@_query("mark_default_keeper", G + _FIRST, "SELECT path, place = 2 AS is_keeper, CASE WHEN place = 1 THEN 'delete' END AS action FROM f WHERE place <= 2")
+def mark_default_keeper(spark, d):
+    m, g = _groups(spark, d)
+    group = m.join(g.where("rank = 0").select("hash"), "hash", "left_semi").select(F.col("path").alias("place"), "path")
+    first = group.agg(F.min("path")).first()[0]
+    return plan.mark(_marks(spark, d).limit(0), group, first, "delete")
+
+
+@_query("set_keeper", M, "SELECT m.path, CASE WHEN rank = 0 THEN m.path = x.path ELSE is_keeper END AS is_keeper, CASE WHEN m.path = x.path THEN NULL ELSE action END AS action FROM m JOIN m0 USING (path), (SELECT max(path) AS path FROM m0 WHERE rank = 0) x WHERE CASE WHEN rank = 0 THEN m.path = x.path ELSE is_keeper END OR (action IS NOT NULL AND m.path <> x.path) UNION SELECT max(path), true, NULL FROM m0 WHERE rank = 0")
+def set_keeper(spark, d):
+    m, g = _groups(spark, d)
+    group = m.join(g.where("rank = 0").select("hash"), "hash", "left_semi").select("path")
+    return plan.set_keeper(fx.marks(m, g), group, group.agg(F.max("path")).first()[0])
+
+
+@_query("hash_for_path", A, "SELECT hash FROM a WHERE path = (SELECT min(path) FROM a WHERE hash IS NOT NULL)")
+def hash_for_path(spark, d):
+    m = fx.manifest(spark, d)
+    return files.hash_of(m, m.where("hash is not null").agg(F.min("path")).first()[0])
+
+
+@_query("cursor_resolution", C0 + SIG + """, gr AS (SELECT hash, count(*) AS n FROM c WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) >= 2), tw AS (SELECT dir, count(*) OVER (PARTITION BY signature) AS dirs FROM s QUALIFY dirs >= 2),
+  inn AS (SELECT dir, count(*) AS n FROM up JOIN gr USING (hash) GROUP BY dir), asked AS (SELECT path, false AS is_dir FROM c UNION ALL SELECT DISTINCT dir, true FROM up UNION ALL SELECT '/nowhere', true)""",
+  "SELECT path, CASE WHEN NOT is_dir THEN CASE WHEN hash IS NULL THEN 'not_in_scan' WHEN gr.n IS NOT NULL THEN 'file_group' ELSE 'no_duplicates' END WHEN dirs IS NOT NULL THEN 'dir_group' WHEN inn.n IS NOT NULL THEN 'inner_dupes' WHEN path = '/nowhere' THEN 'not_in_scan' ELSE 'no_duplicates' END AS outcome, CASE WHEN is_dir THEN coalesce(dirs, inn.n) ELSE gr.n END AS size FROM asked LEFT JOIN c USING (path) LEFT JOIN gr USING (hash) LEFT JOIN tw ON tw.dir = path LEFT JOIN inn ON inn.dir = path")
+def cursor_resolution(spark, d):
+    m = fx.tree(spark, d, incomplete=True)
+    asked = m.select("path", F.lit(False).alias("is_dir")).union(dirs.contained(m).select("dir").distinct().select("dir", F.lit(True))).union(spark.createDataFrame([("/nowhere", True)], "path string, is_dir boolean"))
+    return dirs.resolved(m, groups.sets(m), dirs.signatures(m), asked)
+
+
+@_query("signatures_of_dirs", C0 + SIG, "SELECT dir, signature FROM s WHERE dir IN ('/conv/1', '/conv/2/2', '/conv/3')")
+def signatures_of_dirs(spark, d):
+    asked = spark.createDataFrame([("/conv/1",), ("/conv/2/2",), ("/conv/3",), ("/none",)], "dir string")
+    return dirs.signatures_of(fx.tree(spark, d, incomplete=True), asked)
+
+
+@_query("live_dir_size", A0, "SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM a0 WHERE path LIKE '/corpus/en/%' AND inode % 4 <> 0")
+def live_dir_size(spark, d):
+    return dirs.live_size(fx.unblanked(spark, d).withColumn("is_symlink", F.col("inode") % 4 == 0), "/corpus/en", 64)
+
+
+@_query("hex_functions", "", "SELECT doc_id, lower(hex(source)) AS encoded, CASE WHEN doc_id % 2 = 0 THEN source END AS decoded FROM documents WHERE source IS NOT NULL")
+def hex_functions(spark, d):
+    h = text.hex_encode(F.col("source").cast("binary"))
+    return fx.table(spark, d, "documents").where("source is not null").select("doc_id", h.alias("encoded"), text.hex_decode(F.when(F.col("doc_id") % 2 == 0, h).otherwise(F.concat(h, F.lit("x")))).cast("string").alias("decoded"))
+
+
 # -- moves and formats --------------------------------------------------------------------------
 
 _MOVE = A0 + """, mv AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, size, hash FROM a0 WHERE path LIKE '/corpus/en/%'),
@@ -538,7 +700,7 @@ def move_undo(spark, d):
     return panels.undone(moves).select("seq", "source", "target")
 
 
-@_query("csv_guard", "", """SELECT doc_id, CASE WHEN regexp_matches(g, '[",\\n\\r]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS g FROM (SELECT doc_id, list_extract(['', '=', '+', '-', '@', chr(9)], doc_id % 6 + 1) || substr(text, 1, 40) AS c FROM documents))""")
+@_query("csv_guard", "", """SELECT doc_id, CASE WHEN regexp_matches(g, '[",\\n\\r]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS g FROM (SELECT doc_id, list_extract(['', '=', '+', '-', '@', chr(9)], doc_id % 6 + 1) || text AS c FROM documents))""")
 def csv_guard(spark, d):
     lead = F.element_at(F.array(*map(F.lit, ("", "=", "+", "-", "@", "\t"))), (F.col("doc_id") % 6 + 1).cast("int"))
     return fx.table(spark, d, "documents").select("doc_id", text.csv_cell(F.concat(lead, F.col("text"))).alias("cell"))

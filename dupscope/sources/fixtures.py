@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,9 @@ def unblanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, hashed only where a size occurs twice."""
-    same = F.count(F.lit(1)).over(Window.partitionBy("size"))
-    return unblanked(spark, sf_dir).withColumn("hash", F.when(same >= 2, F.col("hash")))
+    every = unblanked(spark, sf_dir)
+    twice = every.groupBy("size").agg(F.count(F.lit(1)).alias("same")).where("same >= 2")
+    return every.join(twice, "size", "left").select("path", "size", "mtime", "device", "inode", F.when(F.col("same").isNotNull(), F.col("hash")).alias("hash"))
 
 
 def tree(spark: SparkSession, sf_dir: str, incomplete: bool = False) -> DataFrame:
@@ -59,8 +60,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def marks(manifest_: DataFrame, groups: DataFrame) -> DataFrame:
     """path, is_keeper, action: a keeper in most groups, the other members by inode."""
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("path")) == 1
-    m = manifest_.join(groups.select("hash", "rank"), "hash").withColumn("first", first)
+    one = manifest_.groupBy("hash").agg(F.min("path").alias("one"))
+    m = manifest_.join(groups.select("hash", "rank"), "hash").join(one, "hash").withColumn("first", F.col("path") == F.col("one"))
     keeper = F.col("first") & (F.col("rank") % 4 != 3)
     action = F.when(F.col("first"), None).when(F.col("inode") % 4 == 0, "delete").when(F.col("inode") % 4 == 1, "hardlink").when(F.col("inode") % 4 == 2, "reflink")
     return m.select("path", keeper.alias("is_keeper"), action.alias("action")).where("is_keeper or action is not null")
@@ -77,3 +78,21 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("walking", "hashing", "complete", "complete_with_warnings", "aborted"))), (u % 5 + 1).cast("int"))
     root = F.element_at(F.array(*map(F.lit, ("/corpus", "/conv", "/corpus/en"))), (u % 3 + 1).cast("int"))
     return own.select(u.alias("id"), "created_at", status.alias("status"), F.array(root).alias("roots"), (u % 7 == 0).alias("trashed"), "files", "bytes")
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of most of the sessions."""
+    i, f, b = F.col("id"), F.col("files"), F.col("bytes")
+    some = lambda c: F.when(i % 3 == 0, F.lit(0)).otherwise(c)
+    return sessions(spark, sf_dir).where(i % 11 != 0).select(
+        i.alias("scan_id"),
+        f.alias("cand_files_total"),
+        F.expr("files div 2").alias("cand_files_hashed"),
+        b.alias("cand_bytes_total"),
+        F.expr("bytes div 2").alias("cand_bytes_hashed"),
+        some(f).alias("files_scanned"),
+        some(b).alias("bytes_hashed"),
+        (i % 2).alias("groups_found"),
+        F.expr("bytes div 3").alias("reclaimable_bytes"),
+        (i % 4 == 0).alias("results_materialized"),
+    )

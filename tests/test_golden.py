@@ -29,7 +29,7 @@ def test_grouping_and_rank(spark):
 
 def test_twin_directories(spark):
     m = spark.createDataFrame([("/x/a/f1", 100, "1"), ("/x/a/f2", 200, "2"), ("/x/b/f1", 100, "1"), ("/x/b/f2", 200, "2"), ("/x/c/f1", 100, "1")], FILE)
-    flat, tree = dirs.groups(dirs.signatures(m)).collect(), dirs.groups(dirs.merkle(m, 2)).collect()
+    flat, tree = dirs.groups(dirs.signatures(m)).collect(), dirs.groups(dirs.merkle(m)).collect()
     assert [(r.paths, r.file_count, r.size_per_dir) for r in flat] == [(["/x/a", "/x/b"], 2, 300)] == [(r.paths, r.file_count, r.size_per_dir) for r in tree]
     more = m.union(spark.createDataFrame([("/x/b/z", 5, None)], FILE))
     assert not [r for r in dirs.groups(dirs.signatures(more)).collect() if "/x/b" in r.paths]
@@ -37,7 +37,7 @@ def test_twin_directories(spark):
 
 def test_incomplete_ancestors(spark):
     m = spark.createDataFrame([("/p/a/x", 1, "1"), ("/p/a/sub/deep", 1, None), ("/p/b/x", 1, "1")], FILE)
-    assert rows(dirs.signatures(m, only_twins=False), "dir") == [("/p/b",)] == rows(dirs.merkle(m, 3), "dir")
+    assert rows(dirs.signatures(m, only_twins=False), "dir") == [("/p/b",)] == rows(dirs.merkle(m), "dir")
     assert rows(dirs.signatures(spark.createDataFrame([("/foo", 1, "1")], FILE), only_twins=False), "dir") == [("/",)]
 
 
@@ -70,7 +70,11 @@ def test_plan_needs_keeper_and_target(spark):
     m = spark.createDataFrame([("/a1", 1, "A", 1, 1), ("/a2", 1, "A", 1, 2), ("/b1", 1, "B", 1, 3), ("/c1", 1, "C", 1, 4), ("/a3", 1, "A", 1, 1)], "path string, size long, hash string, device long, inode long")
     marks = spark.createDataFrame([("/a1", True, None), ("/a2", False, "delete"), ("/a3", False, "delete"), ("/b1", True, None), ("/c1", False, "delete")], "path string, is_keeper boolean, action string")
     assert rows(plan.rows(m, marks), "target", "keeper") == [("/a2", "/a1")]
-    assert plan.set_keeper(marks, "/a2").where("is_keeper").first()["path"] == "/a2"
+    kept = plan.set_keeper(marks, m.where("hash = 'A'"), "/a2")
+    assert rows(kept, "path", "is_keeper", "action") == [("/a2", True, None), ("/a3", False, "delete"), ("/b1", True, None), ("/c1", False, "delete")]
+    marked = plan.mark(marks, spark.createDataFrame([(0, "/c1"), (1, "/c2"), (2, "/c3")], "place int, path string"), "/c3", "delete")
+    assert set(rows(marked, "path", "is_keeper", "action")) >= {("/c1", True, "delete"), ("/c3", False, "delete")}
+    assert sorted(rows(plan.mark(marks, m.where("hash = 'A'").withColumn("place", F.col("path")), "/a1", "delete"), "path")) == sorted(rows(marks, "path"))
     assert plan.reconcile(marks, plan.rows(m, marks), cancelled=False).count() == 0
 
 
