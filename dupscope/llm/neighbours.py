@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from . import scratch
 from .ngram_jaccard import sorted_groups
 
-#: Vectors of the sample that centroids are fitted on; centroids of each half.
-SAMPLE, CENTROIDS = 16_000, 64
+#: Vectors of the sample that centroids are fitted on; centroids of each half, at least and at most: with four times as many
+#: vectors than FEW there are twice as many, so that cells keep their size.
+SAMPLE, CENTROIDS, MOST, FEW = 16_000, 64, 512, 50_000
 #: Sampled vectors that the length of the walk is set by, and the share of their true neighbours it must meet.
 CALIBRATED, RECALL = 64, 0.95
 #: Entries in one block of a first-half centroid.
@@ -132,7 +133,12 @@ def calibrated(index: DataFrame, taken: np.ndarray, held: dict[int, int], books,
     return int(np.quantile(reach, recall)) if reach else 1
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, centroids: int = CENTROIDS, sample: int = SAMPLE) -> DataFrame:
+def grown(n: int) -> int:
+    """Centroids of each half for an index of n vectors."""
+    return min(MOST, CENTROIDS << max(0, (n // FEW).bit_length() - 1) // 2)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vectors, queries: id, v (from :func:`usable`) -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].to_pylist()
@@ -140,6 +146,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = Counter(map(len, taken)).most_common(1)[0][0]
     x = np.array([v for v in taken if len(v) == dim])
+    if centroids is None:
+        centroids = grown(vectors.count())
     books = (kmeans(x[:, : dim // 2], centroids), kmeans(x[:, dim // 2 :], centroids)) if dim > 1 else (np.zeros((1, 0)), kmeans(x, centroids))
     width = len(books[1])
 
@@ -152,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((one * width + two).astype(np.int64))], ["id", "v", "cell"])
 
     index = scratch.cut(numbered.mapInArrow(assign, "id long, v array<double>, cell long"), "index")
-    held = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # centroids ** 2 rows at most
+    held = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST ** 2 rows at most
     entries = calibrated(index, x, held, books, k, recall)
 
     asked = queries.where(F.size("v") == dim)

@@ -156,3 +156,21 @@ def test_pipeline_on_odd_inputs(spark, odd, tmp_path, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert (out.count() == 0) == empty
+
+
+def test_centroids_grow_with_the_index():
+    assert [neighbours.grown(n) for n in (0, 51_282, 199_999, 200_000, 800_000, 10**9)] == [64, 64, 64, 128, 256, 512]
+
+
+def test_recall_on_the_table(spark):
+    v = neighbours.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    rows = v.orderBy("id").collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.v for r in rows])
+    out = neighbours.search(v, v.where("id % 20 = 0")).toPandas()
+    hits = asked = 0
+    for q, g in out.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
+        asked += 10
+    assert asked == 10 * int((ids % 20 == 0).sum()) and hits / asked >= 0.9
