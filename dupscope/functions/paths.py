@@ -85,3 +85,15 @@ def excluded(path: Column, globs: list[str]) -> Column:
     for g in globs:
         hit = hit | path.rlike(glob_regex(g))
     return hit
+
+
+#: Trees that aren't on a disk.
+PSEUDO = ("/proc", "/sys", "/dev", "/run")
+
+
+def pseudo(path: Column) -> Column:
+    """Whether a path is in a tree that isn't on a disk."""
+    out = F.lit(False)
+    for root in PSEUDO:
+        out = out | under_root(path, root)
+    return out

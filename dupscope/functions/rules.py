@@ -60,6 +60,15 @@ def memory_estimate(hashed_files: Column) -> Column:
     return hashed_files * 2560
 
 
+#: Files on a page, and files shown of a group at most.
+PAGE, SHOWN = 200, 50_000
+
+
+def page_due(cursor: Column, loaded: Column, total: Column) -> Column:
+    """Whether the next page is to be read: the cursor is within a page of the end of what is loaded."""
+    return (loaded < F.least(total, F.lit(SHOWN))) & (cursor + PAGE >= loaded)
+
+
 def reduced(values: Column) -> Column:
     """One word for a group's values: unknown, the value, or mixed.  An aggregate."""
     return F.when(F.count(values) == 0, "unknown").when(F.min(values) == F.max(values), F.min(values)).otherwise("mixed")

@@ -1,8 +1,7 @@
 """Directory signatures, twins and sizes.
 
 Ancestors are exploded once and joined by equality, never by range.  Entries are collected only
-for directories that can have a twin: complete ones whose file count and total size occur
-twice, which the root and most upper directories do not survive.
+for one directory of each class of twins, which the root and most upper directories are not in.
 """
 
 from __future__ import annotations
@@ -29,12 +28,23 @@ def totals(manifest: DataFrame) -> DataFrame:
 
 
 def signatures(manifest: DataFrame, only_twins: bool = True) -> DataFrame:
-    """dir, signature, file_count, size_per_dir from the sorted (relative path, hash) entries."""
-    whole = totals(manifest)
-    if only_twins:
-        twice = whole.groupBy("file_count", "size_per_dir").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-        whole = whole.join(twice, ["file_count", "size_per_dir"], "left_semi")
-    inside = contained(manifest).join(whole, "dir")
+    """dir, signature, file_count, size_per_dir from the sorted (relative path, hash) entries.
+
+    For twins alone, classes are found by sums that combine before the shuffle (two 64-bit hashes of the entries, which are
+    distinct within a directory), and entries are collected for one directory of each class.
+    """
+    if not only_twins:
+        return _signed(contained(manifest).join(totals(manifest), "dir"))
+    entry = [paths.relative(F.col("path"), F.col("dir")), F.col("hash")]
+    sums = [F.bit_xor(F.xxhash64(*entry)).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), *entry)).alias("y")]
+    whole = contained(manifest).groupBy("dir").agg(F.count(F.lit(1)).alias("file_count"), F.count("hash").alias("hashed"), F.sum("size").alias("size_per_dir"), *sums).where("file_count = hashed")
+    classes = whole.groupBy("file_count", "size_per_dir", "x", "y").agg(F.min("dir").alias("one"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    first = classes.select(F.col("one").alias("dir"), "file_count", "size_per_dir")
+    signed = _signed(contained(manifest).join(first, "dir")).select(F.col("dir").alias("one"), "signature")
+    return whole.join(classes.join(signed, "one"), ["file_count", "size_per_dir", "x", "y"]).select("dir", "signature", "file_count", "size_per_dir")
+
+
+def _signed(inside: DataFrame) -> DataFrame:
     entry = F.struct(paths.relative(F.col("path"), F.col("dir")).alias("r"), F.col("hash").alias("h"))
     listed = inside.groupBy("dir", "file_count", "size_per_dir").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: F.concat(e["r"], F.lit("\0"), e["h"], F.lit("\0"))), "")

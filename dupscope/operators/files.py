@@ -12,14 +12,19 @@ DEFAULT_EXCLUDES = ["**/.zfs/**", "**/.snapshots/**", "**/.quarantine/**"]
 IDENTITY = ("path", "size", "mtime", "mtime_nsec", "ctime_sec", "ctime_nsec")
 
 
+def directories(rows: DataFrame) -> DataFrame:
+    """Of a listing, the directories."""
+    return rows.where("kind = 'dir'")
+
+
 def filtered(manifest: DataFrame, min_size: int = 4096, max_size: int | None = None, extensions: tuple[str, ...] = (), exclude: list[str] | None = None) -> DataFrame:
     out = manifest.where(F.col("size") >= min_size)
     if max_size is not None:
         out = out.where(F.col("size") <= max_size)
     if extensions:
         out = out.where(paths.extension(F.col("path")).isin(*extensions))
-    if exclude:
-        out = out.where(~paths.excluded(F.col("path"), exclude))
+    if exclude is None or exclude:
+        out = out.where(~paths.excluded(F.col("path"), DEFAULT_EXCLUDES if exclude is None else exclude))
     return out
 
 

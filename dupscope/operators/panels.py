@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.rules import compare_glyph
 
 
@@ -77,6 +78,23 @@ def numbered_names(rows: DataFrame, there: DataFrame) -> DataFrame:
     return out.withColumn("new_name", new).drop("head_", "tail_", "place_", "k_", "number_")
 
 
+def merged(manifest: DataFrame, source: str, target: str) -> DataFrame:
+    """path, new_path, decision of the files below source when it is merged into a directory target of the same name.
+
+    A file whose place is taken is a duplicate where size and hash agree, else renamed; new_path is the place it asks for.
+    """
+    asked = manifest.where(paths.below(F.col("path"), source)).withColumn("new_path", F.concat(F.lit(target), F.substr(F.col("path"), F.lit(len(source) + 1))))
+    there = manifest.select(F.col("path").alias("new_path"), F.col("size").alias("t_size"), F.col("hash").alias("t_hash"))
+    out = asked.join(there, "new_path", "left")
+    decision = F.when(F.col("t_size").isNull(), "moved").when((F.col("size") == F.col("t_size")) & (F.col("hash") == F.col("t_hash")), "duplicate").otherwise("renamed")
+    return out.select("path", "new_path", decision.alias("decision"))
+
+
+def to_snapshot(sources: DataFrame, done: DataFrame) -> DataFrame:
+    """dataset, seq: the datasets (of seq, dataset rows) that still need their one snapshot, by first use."""
+    return sources.groupBy("dataset").agg(F.min("seq").alias("seq")).join(done.select("dataset"), "dataset", "left_anti").orderBy("seq")
+
+
 def undone(moves: DataFrame) -> DataFrame:
     """seq, source, target of the moves that take a batch back, in order."""
     last = moves.groupBy("batch").agg(F.max("seq").alias("last"))

@@ -700,6 +700,36 @@ def move_undo(spark, d):
     return panels.undone(moves).select("seq", "source", "target")
 
 
+@_query("directory_merge", A0, "SELECT path, '/corpus/fr' || substr(path, 11) AS new_path, CASE WHEN t IS NULL THEN 'moved' WHEN t = hash THEN 'duplicate' ELSE 'renamed' END AS decision FROM a0 LEFT JOIN (SELECT path AS p, hash AS t FROM a0) ON p = '/corpus/fr' || substr(path, 11) WHERE path LIKE '/corpus/en/%'")
+def directory_merge(spark, d):
+    return panels.merged(fx.unblanked(spark, d), "/corpus/en", "/corpus/fr")
+
+
+@_query("snapshots_needed", "", "SELECT source AS dataset, min(doc_id) AS seq FROM documents WHERE source IS NOT NULL GROUP BY source HAVING min(doc_id) % 2 = 0")
+def snapshots_needed(spark, d):
+    rows = fx.table(spark, d, "documents").where("source is not null").select(F.col("source").alias("dataset"), F.col("doc_id").alias("seq"))
+    done = rows.groupBy("dataset").agg(F.min("seq").alias("seq")).where("seq % 2 <> 0")
+    return panels.to_snapshot(rows, done)
+
+
+@_query("directories_only", A, f"SELECT name, size FROM ({_listing('/corpus/en')}) WHERE kind = 'dir'")
+def directories_only(spark, d):
+    return files.directories(files.listing(fx.manifest(spark, d), "/corpus/en")).select("name", "size")
+
+
+@_query("pseudo_paths", "", "SELECT doc_id, doc_id % 3 = 0 AS pseudo FROM documents")
+def pseudo_paths(spark, d):
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, F.concat(F.element_at(F.array(*map(F.lit, paths.PSEUDO)), (i % 4 + 1).cast("int")), F.lit("/x"))).when(i % 3 == 1, "/process/x").otherwise("/home/proc")
+    return fx.table(spark, d, "documents").select("doc_id", paths.pseudo(path).alias("pseudo"))
+
+
+@_query("page_policy", "", "SELECT doc_id, doc_id * 40 < least(doc_id * 50 + 10, 50000) AND doc_id * 39 + 200 >= doc_id * 40 AS due FROM documents")
+def page_policy(spark, d):
+    i = F.col("doc_id")
+    return fx.table(spark, d, "documents").select("doc_id", rules.page_due(i * 39, i * 40, i * 50 + 10).alias("due"))
+
+
 @_query("csv_guard", "", """SELECT doc_id, CASE WHEN regexp_matches(g, '[",\\n\\r]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS g FROM (SELECT doc_id, list_extract(['', '=', '+', '-', '@', chr(9)], doc_id % 6 + 1) || text AS c FROM documents))""")
 def csv_guard(spark, d):
     lead = F.element_at(F.array(*map(F.lit, ("", "=", "+", "-", "@", "\t"))), (F.col("doc_id") % 6 + 1).cast("int"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import stat
 from collections.abc import Iterator
@@ -13,6 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MANIFEST = "path string, size long, mtime long, mtime_nsec long, ctime_sec long, ctime_nsec long, device long, inode long"
 
+#: Directories are opened for partitions up to so many levels, while there are fewer partitions than this.
+LEVELS, PARTS = 4, 256
+
 
 class _Part(InputPartition):
     def __init__(self, path: str):
@@ -24,23 +28,40 @@ class _Reader(DataSourceReader):
         self.roots, self.follow = roots, follow
 
     def partitions(self) -> list[_Part]:
-        out = []
-        for root in self.roots:
-            try:
-                out += [_Part(e.path) for e in os.scandir(root)]
-            except OSError:
-                continue
-        return out or [_Part("")]
+        """The roots' entries; directories are opened, level by level, while there are few."""
+        out = list(self.roots)
+        for _ in range(LEVELS):
+            if len(out) >= PARTS:
+                break
+            opened = []
+            for path in out:
+                try:
+                    opened += [e.path for e in os.scandir(path)] if os.path.isdir(path) and (self.follow or not os.path.islink(path)) else [path]
+                except OSError:
+                    continue
+            out = opened
+        return [_Part(path) for path in out] or [_Part("")]
+
+    def _above(self, path: str) -> frozenset:
+        """The directories above a path, which a followed link must not open again."""
+        above = set()
+        while self.follow and path != os.path.dirname(path):
+            path = os.path.dirname(path)
+            s = os.stat(path)
+            above.add((s.st_dev, s.st_ino))
+        return frozenset(above)
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        stack = [part.path] if part.path else []
+        stack = [(part.path, self._above(part.path))] if part.path else []
         while stack:
-            path = stack.pop()
+            path, above = stack.pop()
             try:
                 s = os.stat(path, follow_symlinks=self.follow)
                 if stat.S_ISDIR(s.st_mode):
-                    if not os.path.islink(path) or self.follow:
-                        stack += [e.path for e in os.scandir(path)]
+                    own = (s.st_dev, s.st_ino)
+                    if own not in above:
+                        below = above | {own} if self.follow else above
+                        stack += [(e.path, below) for e in os.scandir(path)]
                 elif stat.S_ISREG(s.st_mode):
                     path.encode("utf-8")
                     yield (path, s.st_size, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, s.st_ctime_ns // 10**9, s.st_ctime_ns % 10**9, s.st_dev, s.st_ino)
@@ -49,7 +70,10 @@ class _Reader(DataSourceReader):
 
 
 class Walk(DataSource):
-    """``spark.read.format("walk").option("roots", "/a:/b").load()``; symbolic links as ``followSymlinks`` says."""
+    """``spark.read.format("walk").option("roots", '["/a", "/b"]').load()``; symbolic links as ``followSymlinks`` says.
+
+    roots is a JSON list, or paths without colons between colons.  A root may be a file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -59,7 +83,8 @@ class Walk(DataSource):
         return MANIFEST
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["roots"].split(":"), self.options.get("followSymlinks", "false") == "true")
+        roots = self.options["roots"]
+        return _Reader(json.loads(roots) if roots.startswith("[") else roots.split(":"), self.options.get("followSymlinks", "false") == "true")
 
 
 def hashed(files: DataFrame) -> DataFrame:

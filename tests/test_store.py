@@ -93,3 +93,20 @@ def test_plan_from_groups_skips_the_same_physical_file(spark):
     rows = [("A", 0, "/a", 1, 1, 1, True, None), ("A", 1, "/b", 1, 1, 1, False, "delete"), ("A", 2, "/c", 1, 1, 2, False, "hardlink"), ("A", 3, "/d", 1, 1, 3, False, None), ("B", 0, "/e", 1, 1, 4, False, "delete"), ("A", 4, "/f", 1, 1, 5, False, "melt")]
     files = spark.createDataFrame(rows, "hash string, place int, path string, size long, device long, inode long, is_keeper boolean, action string")
     assert [(r.kind, r.target, r.keeper) for r in plan.from_groups(files).collect()] == [("hardlink", "/c", "/a")]
+
+
+def test_walk_of_odd_roots(spark, tmp_path):
+    import json
+    import os
+
+    from dupscope.sources.walker import Walk
+
+    spark.dataSource.register(Walk)
+    base = tmp_path / "a:b"
+    (base / "d" / "e").mkdir(parents=True)
+    (base / "d" / "e" / "f").write_text("x")
+    (tmp_path / "one").write_text("yy")
+    os.symlink(base, base / "d" / "loop")
+    read = lambda roots, follow="false": sorted(r.path for r in spark.read.format("walk").option("roots", json.dumps([str(r) for r in roots])).option("followSymlinks", follow).load().collect())
+    assert read([base, tmp_path / "one"]) == sorted([f"{base}/d/e/f", f"{tmp_path}/one"])
+    assert f"{base}/d/e/f" in read([base], "true")
