@@ -58,7 +58,9 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return let(_worded(lines), keyed)
 
     t1, t2 = _hashes(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.explode(let(_lines(F.col("text")), of)).alias("w")).select("doc_id", "t1", "t2", "w.*")
+    # Hashes and windows are made once for each text, before the rows of its windows, which would each carry the text.
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), let(_lines(F.col("text")), of).alias("w"))
+    return hashed.select("doc_id", "t1", "t2", F.explode("w").alias("w")).select("doc_id", "t1", "t2", "w.*")
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
