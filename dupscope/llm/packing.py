@@ -26,7 +26,7 @@ from . import scratch, tokens, words
 
 #: Rows of one ranking task.
 RANKED = 50_000
-#: Runs up to which they are broadcast (40 bytes each); beyond, lengths join in a shuffle.
+#: Runs up to which they are broadcast (48 bytes each); beyond, lengths join in a shuffle.
 BROADCAST = 200_000
 
 
@@ -51,13 +51,14 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def sweep(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Supersteps over run-length coded items and gaps.
 
-    Returns runs (length, first rank, end rank, first bin, offset): items of that length with
-    rank r in [first, end) go to bin ``first bin + r - first rank`` at offset.
+    Returns runs (length, first rank, end rank, first bin, bins, offset): of the items of that length, rank r in
+    [first, end) goes to bin ``first bin + (r - first) % bins`` at ``offset + (r - first) // bins * length``.
+    A step uses up a run of gaps or the items of a length, and has two runs at most.
     """
-    runs: list[tuple[int, int, int, int, int]] = []
+    runs: list[tuple[int, int, int, int, int, int]] = []
     gaps: list[int] = []  # distinct gaps, ascending
     bins: dict[int, list[list[int]]] = {}  # gap -> runs of bins [first, count]
     made = 0
@@ -87,15 +88,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             deep = gap // length
             full = min(count, left // deep)
             part = left - full * deep if full < count else 0  # the last bin takes what is left
-            for j in range(deep):
-                if full:
-                    runs.append((length, rank, rank + full, first, capacity - gap + j * length))
-                    rank += full
+            if full:
+                runs.append((length, rank, rank + full * deep, first, full, capacity - gap))
+                rank += full * deep
             put(gap - deep * length, first, full)
-            for j in range(part):
-                runs.append((length, rank, rank + 1, first + full, capacity - gap + j * length))
-                rank += 1
             if part:
+                runs.append((length, rank, rank + part, first + full, 1, capacity - gap))
+                rank += part
                 put(gap - part * length, first + full, 1)
                 full += 1
             put(gap, first + full, count - full)
@@ -103,21 +102,35 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """The runs of :func:`sweep` with one item for each bin: (length, first rank, end rank, first bin, offset)."""
+    return [
+        (length, r, r + bins, first, offset + j * length)
+        for length, r0, r1, first, bins, offset in sweep(histogram, capacity)
+        for j, r in enumerate(range(r0, r1, bins))
+    ]
+
+
 def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
     """items (doc_id, piece, length, ...), written tables best -> items with sequence_id and offset."""
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    runs = plan(counts, capacity)
+    runs = sweep(counts, capacity)
     salts = spark.createDataFrame([(k, -(-v // RANKED)) for k, v in counts.items()], "length long, salts long")
     salted = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = ranked.join(before, ["length", "salt"]).withColumn("r", F.col("r") + F.col("before")).drop("salt", "before")
-    table = spark.createDataFrame(runs, "run_length long, r0 long, r1 long, bin0 long, offset long")
+    table = spark.createDataFrame(runs, "run_length long, r0 long, r1 long, bin0 long, bins long, offset0 long")
     if len(runs) <= BROADCAST:
         table = F.broadcast(table)
     placed = ranked.join(table, (F.col("length") == F.col("run_length")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")))
-    return placed.withColumn("sequence_id", F.col("bin0") + F.col("r") - F.col("r0")).drop("run_length", "r0", "r1", "bin0", "r")
+    at = F.col("r") - F.col("r0")
+    return (
+        placed.withColumn("sequence_id", F.col("bin0") + at % F.col("bins"))
+        .withColumn("offset", F.col("offset0") + F.expr("(r - r0) div bins") * F.col("length"))
+        .drop("run_length", "r0", "r1", "bin0", "bins", "offset0", "r")
+    )
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
