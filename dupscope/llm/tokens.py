@@ -2,10 +2,13 @@
 
 The tokenizer cuts at white space and never joins across it, so a text's ids are its
 white-space-free chunks' ids in order.  Chunks are split at ASCII white space only; whatever
-else a chunk holds goes to the tokenizer whole.  For chunks of Latin letters and closing
-punctuation the normaliser and splitter have nothing to do, and the file's model is asked at
+else a chunk holds goes to the tokenizer whole.  For chunks of Latin letters and closing ASCII
+marks other than the apostrophe the normaliser and splitter have nothing to do, and the file's model is asked at
 once, which gives the same ids (tests compare both) in less time.  Ids stay little-endian uint32 bytes until a text
 is joined.
+
+A worker remembers chunks and stems from the second time on: a table of bits tells which hashes it has seen, so that words
+that come once (more than half of all) take no room.
 """
 
 from __future__ import annotations
@@ -13,14 +16,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 DEFAULT = "word_bpe_49k.json"
-#: Chunks and stems (lower-cased letters of a chunk) that a worker remembers; beyond, they are encoded each time.
-CHUNKS, STEMS = 100_000, 150_000
-PLAIN = re.compile(r"([A-Za-zÀ-ɏ]+)([.,!?;:]*)\Z")
+#: Chunks, stems (lower-cased letters of a chunk) and closing marks that a worker remembers; beyond, they are encoded each time.
+CHUNKS, STEMS, MARKS = 150_000, 250_000, 1_000
+#: Hashes told apart by the table of seen ones; words that share one are remembered a time earlier.
+SEEN = 1 << 21
+PLAIN = re.compile(r"([A-Za-zÀ-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def default_path() -> str:
@@ -51,16 +55,19 @@ class Encoder(dict):
         self.merges = self.whole.model
         self.stems: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.seen, self.seen_stems = bytearray(SEEN), bytearray(SEEN)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the printable stand-ins of byte-level vocabularies
         extra = iter(range(256, 512))
         self.stand_in = [chr(b) if b in set(kept) else chr(next(extra)) for b in range(256)]
 
     def _slow(self, chunk: str) -> bytes:
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.whole.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merge(self, stem: str) -> bytes:
         stands = stem if stem.isascii() else "".join([self.stand_in[b] for b in stem.encode()])
-        return np.array([x.id for x in self.merges.tokenize(stands)], "<u4").tobytes()
+        ids = [x.id for x in self.merges.tokenize(stands)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
@@ -73,16 +80,23 @@ class Encoder(dict):
                 out = self.stems.get(stem)
                 if out is None:
                     out = self._merge(stem)
-                    if len(self.stems) < STEMS:
+                    at = hash(stem) % SEEN
+                    if self.seen_stems[at] and len(self.stems) < STEMS:
                         self.stems[stem] = out
+                    self.seen_stems[at] = 1
                 if mark:
-                    if mark not in self.marks:
-                        self.marks[mark] = self._slow(mark)
-                    out += self.marks[mark]
+                    tail = self.marks.get(mark)
+                    if tail is None:
+                        tail = self._slow(mark)
+                        if len(self.marks) < MARKS:
+                            self.marks[mark] = tail
+                    out += tail
         else:
             out = self._slow(text)
-        if len(self) < CHUNKS and len(chunk) < 64:
+        at = hash(chunk) % SEEN
+        if self.seen[at] and len(self) < CHUNKS and len(chunk) < 64:
             self[chunk] = out
+        self.seen[at] = 1
         return out
 
     def text(self, data: bytes) -> bytes:

@@ -1,6 +1,9 @@
 """Rows that the operators must treat whole and apart: null and shared ids, repeats."""
 
 import collections
+import random
+
+import numpy as np
 
 from dupscope.llm import html_text, line_dedup, mixing, url_filter
 
@@ -44,3 +47,19 @@ def test_urls_that_differ_by_suffix_are_told_apart(spark):
     pages = spark.createDataFrame([(0, "http://h999.biz/a"), (1, "http://h999.edu/a"), (2, "http://h999.gov/a")], "page_id long, url string")
     out = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled).collect()}
     assert out == {0: "block", 1: "allow", 2: "allow"}
+
+
+def test_chunks_with_closing_marks_have_the_tokenizer_ids():
+    from tokenizers import Tokenizer
+
+    from dupscope.llm import tokens
+
+    rng = random.Random(3)
+    chunks = ["".join(rng.choices("abcXYZéÉßæſ×÷İı", k=rng.randint(1, 5))) + "".join(rng.choices("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", k=rng.randint(0, 4))) for _ in range(3000)]
+    chunks += ["<|endoftext|>", "a<|endoftext|>", "endoftext|>", "a<|", "it's", "a's!", "x'", "a_b", "%%%"]
+    tok = Tokenizer.from_file(tokens.default_path())
+    enc = tokens.Encoder(tokens.default_path())
+    for chunk in chunks * 3:  # met, seen again, remembered
+        ids = tok.encode(chunk, add_special_tokens=False).ids
+        assert enc[chunk.encode()] == np.array(ids, "<u4").tobytes()
+    assert len(enc) > 2500 and len(enc.marks) <= tokens.MARKS
