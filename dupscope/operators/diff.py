@@ -5,18 +5,19 @@ Ties are paired by path order within the key, so the result doesn't depend on st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import ranks
 
 COLUMNS = ["path", "size", "mtime", "device", "inode", "hash"]
 
 
 def _paired(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*key).orderBy("path"))
-    a = old.where(" and ".join(f"{k} is not null" for k in key)).withColumn("n", n)
-    b = new.where(" and ".join(f"{k} is not null" for k in key)).withColumn("n", n)
+    known = " and ".join(f"{k} is not null" for k in key)
+    a = ranks.within(old.where(known).select("path", *key), key, "path", "n")
+    b = ranks.within(new.where(known).select("path", *key), key, "path", "n")
     return a.select("n", *key, F.col("path").alias("old_path")).join(b.select("n", *key, F.col("path").alias("new_path")), ["n", *key]).select("old_path", "new_path")
 
 

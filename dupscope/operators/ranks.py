@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 64
+#: Rows that cut points are taken from.
+SAMPLE = 4096
 
 
 def by_benefit(rows: DataFrame, value: str, digest: str, start: int) -> DataFrame:
@@ -24,3 +26,29 @@ def by_benefit(rows: DataFrame, value: str, digest: str, start: int) -> DataFram
     before = F.aggregate(F.filter("sums_", lambda s: s["cell_"] > F.col("cell_")), F.lit(start).cast("long"), lambda a, s: a + s["n"])
     place = F.row_number().over(Window.partitionBy("cell_").orderBy(F.desc(value), digest)) - 1
     return celled.join(F.broadcast(sums)).withColumn("rank", before + place).drop("cell_", "sums_")
+
+
+def _celled(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with key_ (the order) and cell_: cells keep the order.  Cut points come from the SAMPLE rows of smallest hash, so reruns agree."""
+    keyed = rows.withColumn("key_", order)
+    sample = keyed.select("key_").orderBy(F.xxhash64("key_")).limit(SAMPLE).agg(F.sort_array(F.collect_list("key_")).alias("sample_"))  # one row
+    cuts = sample.select(F.transform(F.sequence(F.lit(1), F.lit(CELLS - 1)), lambda i: F.get("sample_", F.floor(i * F.size("sample_") / CELLS).cast("int"))).alias("cuts_"))
+    return keyed.join(F.broadcast(cuts)).withColumn("cell_", F.size(F.filter("cuts_", lambda c: c < F.col("key_")))).drop("cuts_")
+
+
+def by_order(rows: DataFrame, order: Column, name: str, start: int = 1) -> DataFrame:
+    """rows with their place in the order, which no two rows share."""
+    celled = _celled(rows, order)
+    sums = celled.groupBy("cell_").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("cell_", "n")).alias("sums_"))  # one row of at most CELLS
+    before = F.aggregate(F.filter("sums_", lambda s: s["cell_"] < F.col("cell_")), F.lit(start).cast("long"), lambda a, s: a + s["n"])
+    place = F.row_number().over(Window.partitionBy("cell_").orderBy("key_")) - 1
+    return celled.join(F.broadcast(sums)).withColumn(name, before + place).drop("key_", "cell_", "sums_")
+
+
+def within(rows: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
+    """rows with their place (from 1) among the rows of a key, which isn't null; a key that holds many rows is dealt over CELLS tasks."""
+    celled = _celled(rows, F.col(order))
+    sums = celled.groupBy(*key, "cell_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sums.withColumn("before_", F.sum("n_").over(Window.partitionBy(*key).orderBy("cell_")) - F.col("n_")).drop("n_")
+    place = F.row_number().over(Window.partitionBy(*key, "cell_").orderBy("key_"))
+    return celled.withColumn("place_", place).join(before, [*key, "cell_"]).withColumn(name, F.col("place_") + F.col("before_")).drop("key_", "cell_", "place_", "before_")

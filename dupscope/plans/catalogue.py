@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules, text
-from ..operators import diff, dirs, export, files, groups, panels, plan, sessions
+from ..operators import diff, dirs, export, files, groups, panels, plan, ranks, sessions
 from ..sources import config
 from ..sources import fixtures as fx
 
@@ -139,9 +139,7 @@ def path_parts(spark, d):
 
 @_query("path_order", A0, "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM a0")
 def path_order(spark, d):
-    from pyspark.sql import Window
-
-    return fx.unblanked(spark, d).select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("place"))
+    return ranks.by_order(fx.unblanked(spark, d).select("path"), F.split("path", "/"), "place")
 
 
 @_query("listing_sorted", A, f"SELECT name, kind, size, mtime FROM ({_listing('/corpus/en')})")
@@ -497,11 +495,18 @@ def environment_reduction(spark, d):
     return fx.sessions(spark, d).groupBy(F.col("roots")[0].alias("root")).agg(rules.reduced(F.col("status")).alias("status"))
 
 
-@_query("throughput_ema")
+EMA = """w AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS d,
+    CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id) AS DOUBLE) AS total FROM events WHERE value IS NOT NULL),
+  s AS (SELECT user_id, list({'ema': CAST(NULL AS DOUBLE), 't': t, 'd': d} ORDER BY t, d) AS l, max(total) AS total FROM w GROUP BY user_id),
+  f AS (SELECT user_id, total, list_reduce(l, lambda a, x: {'ema': CASE WHEN a.ema IS NULL THEN CASE WHEN x.t - a.t <= 0.5 THEN 0 ELSE (x.d - a.d) / (x.t - a.t) END
+    ELSE a.ema * 0.7 + CASE WHEN x.t - a.t <= 0.5 THEN 0 ELSE (x.d - a.d) / (x.t - a.t) END * 0.3 END, 't': x.t, 'd': x.d}) AS e FROM s)"""
+
+
+@_query("throughput_ema", EMA, "SELECT user_id, coalesce(e.ema, 0) AS rate, CASE WHEN coalesce(e.ema, 0) > 1 THEN (total - e.d) / e.ema END AS eta FROM f")
 def throughput_ema(spark, d):
     from pyspark.sql import Window
 
-    e = fx.table(spark, d, "events").where("value is not null")
+    e = fx.table(spark, d, "events").where("value is not null").withColumn("value", F.col("value").cast("decimal(18,2)"))  # sums don't depend on their order
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.sum("value").over(w).alias("done"), F.sum("value").over(Window.partitionBy("user_id")).alias("total"))
     return files.progress(rows.withColumn("at", F.col("us") / 1e6), "user_id", "at", "done", "total")

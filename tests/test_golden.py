@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dupscope.functions import paths, rules, text
-from dupscope.operators import diff, dirs, files, groups, panels, plan, sessions
+from dupscope.operators import diff, dirs, files, groups, panels, plan, ranks, sessions
 from dupscope.sources.store import Store
 from dupscope.sources.walker import Walk, hashed
 
@@ -138,3 +138,16 @@ def test_walk_store_and_hash(spark, tmp_path):
     store.record_files(m, 2)
     store.record_files(m.limit(1), 1)
     assert {r["scan_id"]: r["count"] for r in store.read("file").groupBy("scan_id").count().collect()} == {1: 1, 2: 2}
+
+
+def test_places_without_a_task_that_sees_all_rows(spark):
+    rows = [(i, "hot" if i % 3 else str(i % 7), f"/d{i * 37 % 11}/{i * 7919 % 6007:05d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, k string, path string")
+    order = sorted(rows, key=lambda r: r[2].split("/"))
+    whole = ranks.by_order(df, F.split("path", "/"), "n")
+    assert {r.id: r.n for r in whole.collect()} == {r[0]: n for n, r in enumerate(order, 1)}
+    want, seen = {}, {}
+    for i, k, _ in sorted(rows, key=lambda r: r[2]):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert {r.id: r.n for r in ranks.within(df, ["k"], "path", "n").collect()} == want
+    assert ranks.by_order(df.limit(0), F.col("path"), "n").isEmpty() and ranks.within(df.limit(0), ["k"], "path", "n").isEmpty()
