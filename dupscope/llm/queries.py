@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, neighbours, ngram_jaccard, packing, quality_classifier, quality_rules, token_counts, url_filter
+from . import byte_bpe, clustering, html_text, line_dedup, mixing, neighbours, ngram_jaccard, packing, quality_classifier, quality_rules, token_counts, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_ngram_jaccard, op2_html_text, op3_url_filter, op4_quality_classifier, op5_best_fit_packing, op6_nearest_neighbours, op7_source_mix, op8_line_dedup, op9_token_counts, op10_quality_rules)
+    made = (op1_ngram_jaccard, op2_html_text, op3_url_filter, op4_quality_classifier, op5_best_fit_packing, op6_nearest_neighbours, op7_source_mix, op8_line_dedup, op9_token_counts, op10_quality_rules, op11_whitening, op12_byte_bpe, op13_centroid_clustering)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.SQL.format(docs="documents")}
+    return {"op8_line_dedup": line_dedup.SQL.format(docs="documents"), "op13_centroid_clustering": clustering.sql()}
