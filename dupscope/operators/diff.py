@@ -1,6 +1,8 @@
 """Two snapshots compared, as sets: by path, then device and inode and size, then hash; each row is used once.
 
-Ties are paired by path order within the key, so the result doesn't depend on storage order.
+Both snapshots are read once, by one full outer join on the path.  What it leaves on either side is written, and paired by the keys in turn: rows
+are numbered by path within key and side, and the rows of one key and number are a pair.  Ties are so paired by path order, and the
+result doesn't depend on storage order.  Paths are unique within a snapshot; rows without a key stay for the next one.
 """
 
 from __future__ import annotations
@@ -9,39 +11,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources import scratch
 from . import ranks
 
 COLUMNS = ["path", "size", "mtime", "device", "inode", "hash"]
+LEFT = ["is_new", "path", "size", "device", "inode", "hash"]
 
 
-def _paired(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+def _paired(left: DataFrame, key: list[str]) -> DataFrame:
+    """old, new: the rows of a written table left over on both sides, paired by key; one of the two is null where none is left."""
     known = " and ".join(f"{k} is not null" for k in key)
-    a = ranks.within(old.where(known).select("path", *key), key, "path", "n")
-    b = ranks.within(new.where(known).select("path", *key), key, "path", "n")
-    return a.select("n", *key, F.col("path").alias("old_path")).join(b.select("n", *key, F.col("path").alias("new_path")), ["n", *key]).select("old_path", "new_path")
+    row = F.struct(*LEFT)
+    numbered = ranks.within(left.where(known), [*key, "is_new"], "path", "n")
+    pairs = numbered.groupBy(*key, "n").agg(F.max(F.when(~F.col("is_new"), row)).alias("old"), F.max(F.when(F.col("is_new"), row)).alias("new"))
+    keyless = left.where(f"not ({known})").select(F.when(~F.col("is_new"), row).alias("old"), F.when(F.col("is_new"), row).alias("new"))
+    return scratch.cut(pairs.select("old", "new").union(keyless), "paired")
 
 
 def changes(old: DataFrame, new: DataFrame, root: str = "/") -> DataFrame:
     """kind, old_path, new_path: unchanged, modified, moved_inode, moved_hash, deleted, new, new_dup."""
-    old = old.select(*COLUMNS).where(paths.under_root(F.col("path"), root))
-    new = new.select(*COLUMNS).where(paths.under_root(F.col("path"), root))
-    o, n = old.alias("o"), new.alias("n")
+    side = lambda rows: rows.select(*COLUMNS).where(paths.under_root(F.col("path"), root)).select("path", F.struct(*COLUMNS).alias("row"))
+    o, n = side(old).withColumnRenamed("row", "o"), side(new).withColumnRenamed("row", "n")
     same = (F.col("o.size") == F.col("n.size")) & (F.col("o.mtime") == F.col("n.mtime"))
-    both = o.join(n, "path").select(F.when(same, "unchanged").otherwise("modified").alias("kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
-    old1, new1 = old.join(new.select("path"), "path", "left_anti"), new.join(old.select("path"), "path", "left_anti")
-    by_inode = _paired(old1, new1, ["device", "inode", "size"])
-    old2 = old1.join(by_inode.select(F.col("old_path").alias("path")), "path", "left_anti")
-    new2 = new1.join(by_inode.select(F.col("new_path").alias("path")), "path", "left_anti")
-    by_hash = _paired(old2, new2, ["hash"])
-    gone = old2.join(by_hash.select(F.col("old_path").alias("path")), "path", "left_anti")
-    fresh = new2.join(by_hash.select(F.col("new_path").alias("path")), "path", "left_anti")
-    known = old.where("hash is not null").select("hash").distinct().withColumn("known", F.lit(True))
-    fresh = fresh.join(known, "hash", "left")
-    none = F.lit(None).cast("string")
+    kind = F.when(F.col("o").isNull() | F.col("n").isNull(), F.lit(None)).when(same, "unchanged").otherwise("modified")
+    one = F.coalesce("n", "o")
+    joined = scratch.cut(o.join(n, "path", "full").select(kind.alias("kind"), F.col("o").isNull().alias("is_new"), "path", *[one[c].alias(c) for c in LEFT[2:]], F.col("o.hash").alias("old_hash")), "joined")
+
+    by_inode = _paired(joined.where("kind is null"), ["device", "inode", "size"])
+    single = by_inode.where("old is null or new is null").select(F.explode(F.array_compact(F.array("old", "new"))).alias("r")).select("r.*")
+    by_hash = _paired(single, ["hash"])
+    known = joined.where("old_hash is not null").select(F.col("old_hash").alias("hash")).distinct().withColumn("known", F.lit(True))
+    fresh = by_hash.where("old is null").select("new.path", "new.hash").join(known, "hash", "left")
+    both, none = "old is not null and new is not null", F.lit(None).cast("string")
     return (
-        both.union(by_inode.select(F.lit("moved_inode"), "old_path", "new_path"))
-        .union(by_hash.select(F.lit("moved_hash"), "old_path", "new_path"))
-        .union(gone.select(F.lit("deleted"), "path", none))
+        joined.where("kind is not null").select("kind", F.col("path").alias("old_path"), F.col("path").alias("new_path"))
+        .union(by_inode.where(both).select(F.lit("moved_inode"), "old.path", "new.path"))
+        .union(by_hash.where(both).select(F.lit("moved_hash"), "old.path", "new.path"))
+        .union(by_hash.where("new is null").select(F.lit("deleted"), "old.path", none))
         .union(fresh.select(F.when(F.col("known"), "new_dup").otherwise("new"), none, "path"))
     )
 

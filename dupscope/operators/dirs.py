@@ -1,16 +1,18 @@
 """Directory signatures, twins and sizes.
 
-Ancestors are exploded once and joined by equality, never by range.  Entries are collected only
-for one directory of each class of twins, which the root and most upper directories are not in.
+Ancestors are exploded once and joined by equality, never by range.  A signature is a digest carried over the sorted entries of a
+directory; entries are never gathered.  For twins, only one directory of each class is signed, which the root and most upper
+directories are not in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import ranks
+from ..sources import scratch
+from . import folds, prefixes, ranks
 
 
 def contained(manifest: DataFrame) -> DataFrame:
@@ -31,46 +33,102 @@ def signatures(manifest: DataFrame, only_twins: bool = True) -> DataFrame:
     """dir, signature, file_count, size_per_dir from the sorted (relative path, hash) entries.
 
     For twins alone, classes are found by sums that combine before the shuffle (two 64-bit hashes of the entries, which are
-    distinct within a directory), and entries are collected for one directory of each class.
+    distinct within a directory), and one directory of each class is signed.
     """
     if not only_twins:
-        return _signed(contained(manifest).join(totals(manifest), "dir"))
+        return _signed(contained(manifest)).join(totals(manifest), "dir")
     entry = [paths.relative(F.col("path"), F.col("dir")), F.col("hash")]
     sums = [F.bit_xor(F.xxhash64(*entry)).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), *entry)).alias("y")]
     whole = contained(manifest).groupBy("dir").agg(F.count(F.lit(1)).alias("file_count"), F.count("hash").alias("hashed"), F.sum("size").alias("size_per_dir"), *sums).where("file_count = hashed")
     classes = whole.groupBy("file_count", "size_per_dir", "x", "y").agg(F.min("dir").alias("one"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    first = classes.select(F.col("one").alias("dir"), "file_count", "size_per_dir")
-    signed = _signed(contained(manifest).join(first, "dir")).select(F.col("dir").alias("one"), "signature")
+    signed = _signed(contained(manifest).join(classes.select(F.col("one").alias("dir")), "dir", "left_semi")).withColumnRenamed("dir", "one")
     return whole.join(classes.join(signed, "one"), ["file_count", "size_per_dir", "x", "y"]).select("dir", "signature", "file_count", "size_per_dir")
 
 
 def _signed(inside: DataFrame) -> DataFrame:
-    entry = F.struct(paths.relative(F.col("path"), F.col("dir")).alias("r"), F.col("hash").alias("h"))
-    listed = inside.groupBy("dir", "file_count", "size_per_dir").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    text = F.array_join(F.transform("entries", lambda e: F.concat(e["r"], F.lit("\0"), e["h"], F.lit("\0"))), "")
-    return listed.select("dir", F.sha2(text.cast("binary"), 256).alias("signature"), "file_count", "size_per_dir")
+    """dir, signature: the digest of a directory's sorted (relative path, hash) entries, carried from row to row; none for incomplete ones."""
+    rows = inside.select("dir", paths.relative(F.col("path"), F.col("dir")).alias("r"), F.col("hash").alias("h"))
+    return folds.digests(rows, "dir", ["r", "h"], F.concat("r", F.lit("\0"), "h", F.lit("\0"))).where("digest is not null").withColumnRenamed("digest", "signature")
 
 
-def merkle(manifest: DataFrame) -> DataFrame:
-    """The same classes bottom-up: a directory's signature from its children's names and signatures.
+#: A table of levels: every directory with its depth (the root's is 0); sign is null where a file below has no hash.
+LEVELS = ["dir", "sign", "files", "size", "depth"]
+
+
+def _entries(manifest: DataFrame) -> DataFrame:
+    """Files as entries (name, sign, files, size) of their directory (dir, depth)."""
+    parent = paths.parent(F.col("path"))
+    return manifest.select(parent.alias("dir"), paths.name(F.col("path")).alias("name"), F.col("hash").alias("sign"), F.lit(1).cast("long").alias("files"), "size", _depth(parent).alias("depth"))
+
+
+def _depth(directory: Column) -> Column:
+    return F.when(directory == "/", 0).otherwise(F.size(F.split(directory, "/")) - 1)
+
+
+def _carried(level: DataFrame) -> DataFrame:
+    """Directories of a level as entries of the directories above them."""
+    return level.where("dir <> '/'").select(paths.parent(F.col("dir")).alias("dir"), paths.name(F.col("dir")).alias("name"), "sign", "files", "size")
+
+
+def _level(entries: DataFrame, depth: int) -> DataFrame:
+    """The written directories of one depth from their entries."""
+    entry = F.concat("name", F.lit("\0"), "sign", F.lit("\0"))
+    signed = folds.digests(entries.select("dir", "name", "sign"), "dir", ["name", "sign"], entry).withColumnRenamed("digest", "sign")
+    sums = entries.groupBy("dir").agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
+    return scratch.cut(signed.join(sums, "dir").select("dir", "sign", "files", "size", F.lit(depth).alias("depth")), "level")
+
 
-    One grouping for each level of the deepest directory (one number, asked for first); a level is hung on the one
-    below by the parent path, and reuses its exchange.
+def _together(levels: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """The tables of levels as one scan."""
+    if not levels:
+        return spark.createDataFrame([], "dir string, sign string, files long, size long, depth int")
+    return spark.read.schema(levels[0].schema).parquet(*[f for x in levels for f in x.inputFiles()])
+
+
+def merkle_levels(manifest: DataFrame) -> DataFrame:
+    """The table of levels, bottom-up: a directory's signature comes from its children's names and signatures.
+
+    The files are written once, apart by depth; each level is a job of its own over its files and the written level below, so plans are
+    as small for deep trees as for flat ones.
     """
-    name, parent = paths.name(F.col("path")), paths.parent(F.col("path"))
-    depth = F.when(parent == "/", 0).otherwise(F.size(F.split(parent, "/")) - 1)
-    files = manifest.select(parent.alias("dir"), depth.alias("depth"), name.alias("name"), F.col("hash").alias("sign"), F.lit(1).cast("long").alias("files"), "size")
-    done, carried = None, None
-    deepest = files.agg(F.max("depth")).first()[0]
-    for level in range(deepest or 0, -1, -1):
-        here = files.where(F.col("depth") == level).select("dir", "name", "sign", "files", "size")
-        rows = here if carried is None else here.unionByName(carried)
-        entry = F.struct("name", "sign")
-        text = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.concat(e["name"], F.lit("\0"), e["sign"], F.lit("\0"))), "")
-        own = rows.groupBy("dir").agg(F.when(F.count(F.lit(1)) == F.count("sign"), F.sha2(text.cast("binary"), 256)).alias("sign"), F.sum("files").alias("files"), F.sum("size").alias("size"))
-        done = own if done is None else done.unionByName(own)
-        carried = own.where("dir <> '/'").select(paths.parent(F.col("dir")).alias("dir"), paths.name(F.col("dir")).alias("name"), "sign", "files", "size")
-    return done.where("sign is not null").select("dir", F.col("sign").alias("signature"), F.col("files").alias("file_count"), F.col("size").alias("size_per_dir"))
+    files = scratch.cut(_entries(manifest), "entries", by=("depth",))
+    levels: list[DataFrame] = []
+    for depth in range(files.agg(F.max("depth")).first()[0] or 0, -1, -1):  # one number
+        here = files.where(F.col("depth") == depth).drop("depth")
+        rows = here.unionByName(_carried(levels[-1])) if levels else here
+        made = _level(rows, depth)
+        if made.inputFiles():
+            levels.append(made)
+    return _together(levels, manifest.sparkSession)
+
+
+def merkle_updated(levels: DataFrame, manifest: DataFrame, changed: DataFrame) -> DataFrame:
+    """The table of levels after a change: only directories above the changed paths (added, removed or modified) are signed again.
+
+    levels: the table before.  manifest: the files now.  A directory is signed from its direct children: its files, and its
+    sub-directories as the level below has them, signed again or not.  Directories left without files go.
+    """
+    touched = scratch.cut(changed.select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).distinct().withColumn("depth", _depth(F.col("dir"))), "touched", by=("depth",))
+    files = scratch.cut(_entries(manifest).join(touched, ["dir", "depth"], "left_semi"), "entries", by=("depth",))
+    kept = levels.join(touched.select("dir"), "dir", "left_anti")
+    again: list[DataFrame] = []
+    for depth in range(touched.agg(F.max("depth")).first()[0] if not touched.isEmpty() else -1, -1, -1):  # one number
+        own = touched.where(F.col("depth") == depth).select("dir")
+        still = _carried(kept.where(F.col("depth") == depth + 1)).join(own, "dir", "left_semi")
+        rows = files.where(F.col("depth") == depth).drop("depth").unionByName(still)
+        made = _level(rows.unionByName(_carried(again[-1])) if again else rows, depth)
+        again.append(made)
+    return kept.select(*LEVELS).unionByName(_together([x for x in again if x.inputFiles()], levels.sparkSession).select(*LEVELS))
+
+
+def complete(levels: DataFrame) -> DataFrame:
+    """dir, signature, file_count, size_per_dir of the complete directories of a table of levels."""
+    return levels.where("sign is not null").select("dir", F.col("sign").alias("signature"), F.col("files").alias("file_count"), F.col("size").alias("size_per_dir"))
+
+
+def merkle(manifest: DataFrame) -> DataFrame:
+    """The same classes bottom-up."""
+    return complete(merkle_levels(manifest))
 
 
 def twins(signed: DataFrame) -> DataFrame:
@@ -139,5 +197,4 @@ def duplicates_inside(manifest: DataFrame, group_rows: DataFrame, directory: str
 
 def covered(manifest: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (path) with whether it is a file of the manifest or has any below it."""
-    known = manifest.select("path").union(contained(manifest).select(F.col("dir").alias("path"))).distinct().withColumn("covered", F.lit(True))
-    return asked.join(known, "path", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    return prefixes.covered(prefixes.index(manifest), asked)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import folds
 
 #: What a scan leaves out unless told otherwise.
 DEFAULT_EXCLUDES = ["**/.zfs/**", "**/.snapshots/**", "**/.quarantine/**"]
@@ -85,23 +86,12 @@ def sorted_listing(rows: DataFrame, key: str = "name") -> DataFrame:
 
 
 def progress(rows: DataFrame, by: str, at: str, done: str, total: str) -> DataFrame:
-    """Smoothed rate and time left of each series: a fold over its ordered rows.
+    """Smoothed rate and time left of each series: a fold over its ordered rows, however long it is.
 
     inst = bytes since the last row / seconds (0 within half a second); ema = inst first, then 0.7 ema + 0.3 inst.
     """
-    series = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(done).alias("d")))).alias("s"), F.max(total).alias("total"))
-    start = F.struct(F.lit(None).cast("double").alias("ema"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("d"))
-
-    def step(a, x):
-        dt = x["t"].cast("double") - a["t"]
-        inst = F.when(a["t"].isNull() | (dt <= 0.5), 0.0).otherwise((x["d"].cast("double") - a["d"]) / dt)
-        ema = F.when(a["t"].isNull(), F.lit(None).cast("double")).when(a["ema"].isNull(), inst).otherwise(a["ema"] * 0.7 + inst * 0.3)
-        return F.struct(ema.alias("ema"), x["t"].cast("double").alias("t"), x["d"].cast("double").alias("d"))
-
-    end = F.aggregate("s", start, step)
-    out = series.select(by, end.alias("e"), F.col("total").cast("double").alias("total"))
-    rate = F.coalesce(F.col("e.ema"), F.lit(0.0))
-    return out.select(by, rate.alias("rate"), F.when(rate > 1, (F.col("total") - F.col("e.d")) / rate).alias("eta"))
+    rate = F.coalesce(F.col("ema"), F.lit(0.0))
+    return folds.rates(rows, by, at, done, total).select(by, rate.alias("rate"), F.when(rate > 1, (F.col("total") - F.col("d")) / rate).alias("eta"))
 
 
 def dedup_attributes(manifest: DataFrame) -> DataFrame:

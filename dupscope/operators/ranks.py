@@ -1,54 +1,59 @@
-"""Places in a whole order, without a task that sees all rows."""
+"""Places in a whole order, without a task that sees all rows.
+
+Rows are sorted by ranges into a written table, where each takes the number of its partition and its place there.  A place in the whole order is
+then the rows of the partitions before, one count for each partition, plus the place within.  There are as many ranges as shuffle partitions, so they
+grow with the cluster's setting, and a value that many rows share is cut by the rest of the order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 64
-#: Rows that cut points are taken from.
-SAMPLE = 4096
+from ..sources import scratch
 
+#: A key with more rows than this has its places from the sorted table, others from a window over the key.
+LARGE = 1_000_000
 
-def by_benefit(rows: DataFrame, value: str, digest: str, start: int) -> DataFrame:
-    """rows with rank: largest value (a long) first, ties by digest (unique hexadecimal text of even spread).
 
-    Rows are cut into cells by percentiles of the value; where one value holds several percentiles,
-    its rows are cut by the head of the digest.  Cells keep the order, so a rank is the rows of the cells before
-    and the place within the cell.
-    """
-    cuts = rows.agg(F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10_000).alias("cuts_"))  # one row
-    below: Column = F.size(F.filter("cuts_", lambda c: c < F.col(value)))
-    equal = F.size(F.filter("cuts_", lambda c: c == F.col(value)))
-    head = F.conv(F.substr(F.col(digest), F.lit(1), F.lit(7)), 16, 10).cast("double") / float(1 << 28)
-    celled = rows.join(F.broadcast(cuts)).withColumn("cell_", below + equal - F.floor(head * (equal + 1)).cast("int")).drop("cuts_")
-    sums = celled.groupBy("cell_").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("cell_", "n")).alias("sums_"))  # one row of at most 2 * CELLS
-    before = F.aggregate(F.filter("sums_", lambda s: s["cell_"] > F.col("cell_")), F.lit(start).cast("long"), lambda a, s: a + s["n"])
-    place = F.row_number().over(Window.partitionBy("cell_").orderBy(F.desc(value), digest)) - 1
-    return celled.join(F.broadcast(sums)).withColumn("rank", before + place).drop("cell_", "sums_")
+def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """rows with their place in the order, which no two rows share; a written table with its partitions in cell_ is read."""
+    at = F.monotonically_increasing_id()
+    table = scratch.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"cell_": F.shiftright(at, 33), "in_": at.bitwiseAND((1 << 33) - 1)}), "ranked")
+    counts = table.groupBy("cell_").agg(F.count(F.lit(1)).alias("n_"))  # a row for each partition
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return table.join(F.broadcast(counts.select("cell_", before.alias("before_"))), "cell_").withColumn(name, F.col("before_") + F.col("in_") + start).drop("before_", "in_")
 
 
-def _celled(rows: DataFrame, order: Column) -> DataFrame:
-    """rows with key_ (the order) and cell_: cells keep the order.  Cut points come from the SAMPLE rows of smallest hash, so reruns agree."""
-    keyed = rows.withColumn("key_", order)
-    sample = keyed.select("key_").orderBy(F.xxhash64("key_")).limit(SAMPLE).agg(F.sort_array(F.collect_list("key_")).alias("sample_"))  # one row
-    cuts = sample.select(F.transform(F.sequence(F.lit(1), F.lit(CELLS - 1)), lambda i: F.get("sample_", F.floor(i * F.size("sample_") / CELLS).cast("int"))).alias("cuts_"))
-    return keyed.join(F.broadcast(cuts)).withColumn("cell_", F.size(F.filter("cuts_", lambda c: c < F.col("key_")))).drop("cuts_")
+def by_benefit(rows: DataFrame, value: str, digest: str, start: int) -> DataFrame:
+    """rows with rank: largest value first, ties by digest."""
+    return numbered(rows, [F.desc(value), F.asc(digest)], "rank", start).drop("cell_")
 
 
 def by_order(rows: DataFrame, order: Column, name: str, start: int = 1) -> DataFrame:
     """rows with their place in the order, which no two rows share."""
-    celled = _celled(rows, order)
-    sums = celled.groupBy("cell_").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("cell_", "n")).alias("sums_"))  # one row of at most CELLS
-    before = F.aggregate(F.filter("sums_", lambda s: s["cell_"] < F.col("cell_")), F.lit(start).cast("long"), lambda a, s: a + s["n"])
-    place = F.row_number().over(Window.partitionBy("cell_").orderBy("key_")) - 1
-    return celled.join(F.broadcast(sums)).withColumn(name, before + place).drop("key_", "cell_", "sums_")
-
-
-def within(rows: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
-    """rows with their place (from 1) among the rows of a key, which isn't null; a key that holds many rows is dealt over CELLS tasks."""
-    celled = _celled(rows, F.col(order))
-    sums = celled.groupBy(*key, "cell_").agg(F.count(F.lit(1)).alias("n_"))
-    before = sums.withColumn("before_", F.sum("n_").over(Window.partitionBy(*key).orderBy("cell_")) - F.col("n_")).drop("n_")
-    place = F.row_number().over(Window.partitionBy(*key, "cell_").orderBy("key_"))
-    return celled.withColumn("place_", place).join(before, [*key, "cell_"]).withColumn(name, F.col("place_") + F.col("before_")).drop("key_", "cell_", "place_", "before_")
+    return numbered(rows.withColumn("key_", order), [F.asc("key_")], name, start).drop("key_", "cell_")
+
+
+def within(rows: DataFrame, key: list[str], order: str, name: str, large: int | None = None) -> DataFrame:
+    """rows with their place (from 1) among the rows of a key.
+
+    Rows are used twice and should come from a table.  The keys of more than LARGE rows, of which there is at most one for so many rows,
+    are told to all tasks; their rows are numbered in the sorted table, so none of them meets in a task.
+    """
+    large = LARGE if large is None else large
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    many = scratch.cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > large).select(*key, F.lit(True).alias("many_")), "large")
+    if many.isEmpty():
+        return rows.withColumn(name, place)
+    marked = _null_safe(rows, F.broadcast(many), key, "left")
+    few = marked.where("many_ is null").drop("many_").withColumn(name, place)
+    sorted_ = numbered(marked.where("many_").drop("many_"), [F.asc(k) for k in key] + [F.asc(order)], "at_").drop("cell_")
+    first = sorted_.groupBy(*key).agg(F.min("at_").alias("first_"))  # a row for each large key
+    return few.unionByName(_null_safe(sorted_, F.broadcast(first), key, "inner").withColumn(name, (F.col("at_") - F.col("first_") + 1).cast("int")).drop("at_", "first_"))
+
+
+def _null_safe(rows: DataFrame, other: DataFrame, key: list[str], how: str) -> DataFrame:
+    named = other.withColumnsRenamed({k: f"{k}__" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in key]
+    return rows.join(named, same, how).drop(*[f"{k}__" for k in key])

@@ -119,9 +119,9 @@ def summary(stats: DataFrame, scan_id: int) -> DataFrame:
     return stats.where(F.col("scan_id") == scan_id).select("files_scanned", "bytes_hashed", "groups_found", "reclaimable_bytes", "hash_failures")
 
 
-def compacted(store, files: int = 1) -> tuple[list[int], int, int]:
+def compacted(store) -> tuple[list[int], int, int]:
     """Scans in the trash are purged and the tables rewritten; ids purged, files before and after."""
     ids = sorted(r["id"] for r in store.read("scan").where("trashed").select("id").collect())  # a number for each session
     store.purge(ids)
-    done = [store.compact(name, files) for name in ("scan", "file", "scan_stats", "file_mark", "file_group", "dir_dedup", "move_event")]
+    done = [store.compact(name) for name in ("scan", "file", "scan_stats", "file_mark", "file_group", "dir_dedup", "move_event")]
     return ids, sum(b for b, _ in done), sum(a for _, a in done)
