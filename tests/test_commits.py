@@ -84,8 +84,8 @@ def test_compaction_beside_other_writers(spark, store, monkeypatch):
     store.append("file", rows(spark, "/x"))
     own = Store._written
     for what, want in ((lambda: Store(spark, store.root).append("file", rows(spark, "/y")), None), (lambda: Store(spark, store.root).clear("file", 1), Conflict)):
-        def busy(self, name, df, what=what):
-            made = own(self, name, df)
+        def busy(self, name, df, most=0, what=what):
+            made = own(self, name, df, most)
             monkeypatch.setattr(Store, "_written", own)
             what()
             return made
