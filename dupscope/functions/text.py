@@ -101,8 +101,15 @@ def reflink_gate(version: Column, cloning: Column) -> Column:
 
 
 def layout(block: Column) -> Column:
-    found = F.regexp_extract(block, r"(raidz3|raidz2|raidz|mirror)", 1)
-    return F.when(block.contains("raidz3"), "raidz3").when(block.contains("raidz2"), "raidz2").when(block.contains("raidz"), "raidz1").when(found == "mirror", "mirror").otherwise("stripe")
+    """The kind of the first line of a pool's status that names one: raidz3, raidz2, raidz1 or mirror; else stripe."""
+    found = F.regexp_extract(block, r"(?m)^\s*(raidz3|raidz2|raidz|mirror)", 1)
+    return F.when(found == "", "stripe").when(found == "raidz", "raidz1").otherwise(found)
+
+
+def pool_layouts(status: Column) -> Column:
+    """An array of (pool, layout), one for each ``pool:`` block of a status."""
+    blocks = F.filter(F.split(status, r"(?m)^(?=[ \t]*pool:)"), lambda b: F.ltrim(b).startswith("pool:"))
+    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"pool:[ \t]*(\S*)", 1).alias("pool"), layout(b).alias("layout")))
 
 
 def base_device(device: Column) -> Column:

@@ -79,10 +79,18 @@ def listing(manifest: DataFrame, directory: str) -> DataFrame:
     return inside.groupBy("name", "is_file").agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.max(F.when(F.col("is_file"), F.col("hash"))).alias("hash")).select("name", F.when(F.col("is_file"), "file").otherwise("dir").alias("kind"), "size", "mtime", "hash")
 
 
+def with_parent(rows: DataFrame, directory: str) -> DataFrame:
+    """A listing with the row ``..`` of the directory above, which the root doesn't have."""
+    if directory == "/":
+        return rows
+    up = {"name": F.lit(".."), "kind": F.lit("parent")}
+    return rows.union(rows.sparkSession.range(1).select(*[up.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+
+
 def sorted_listing(rows: DataFrame, key: str = "name") -> DataFrame:
-    """Directories first, then by name, size (largest first), type or date (newest first)."""
+    """The row of the directory above, directories, then files; each by name, size (largest first), type or date (newest first)."""
     order = {"name": [], "size": [F.desc("size")], "type": [paths.extension(F.col("name"))], "date": [F.desc("mtime")]}[key]
-    return rows.orderBy(F.when(F.col("kind") == "dir", 0).otherwise(1), *order, "name")
+    return rows.orderBy(F.when(F.col("kind") == "parent", 0).when(F.col("kind") == "dir", 1).otherwise(2), *order, "name")
 
 
 def progress(rows: DataFrame, by: str, at: str, done: str, total: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import ranks
 
 
@@ -27,6 +30,7 @@ def members(manifest: DataFrame, groups: DataFrame, marks: DataFrame | None = No
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of rows that aren't indexed (operators.pages has the index)."""
     return rows.orderBy("path").offset(offset).limit(limit)
 
 
@@ -51,12 +55,53 @@ def auto_marks(members_: DataFrame) -> DataFrame:
     return keep.select("path", is_keeper.alias("is_keeper"), F.when(~is_keeper, "delete").alias("action"))
 
 
-def verified(members_: DataFrame, content: DataFrame) -> DataFrame:
-    """Members equal, byte for byte, to the first of their group; groups of two or more.  content: path, content."""
-    whole = members_.join(content, "path")
-    first = whole.groupBy("hash").agg(F.min_by("content", "path").alias("reference"))
-    kept = whole.join(first, "hash").where(F.col("content") == F.col("reference")).drop("content", "reference")
-    return kept.join(kept.groupBy("hash").agg(F.count(F.lit(1)).alias("file_count")).where("file_count >= 2"), "hash")
+#: Bytes in a block; members whose blocks are compared with one copy of the reference's.
+BLOCK, SPREAD = 1 << 20, 256
+
+#: rows (path, size and more), first block, end -> a row for each block of those that is there: the rows' columns, block, data.
+Blocks = Callable[[DataFrame, int, int], DataFrame]
+
+
+def content_blocks(content: DataFrame, size: int = BLOCK) -> Blocks:
+    """Blocks of contents (path, content) in a table; only the bytes of the blocks asked for leave it."""
+
+    def blocks(rows: DataFrame, low: int, high: int) -> DataFrame:
+        data = F.col("content").cast("binary")
+        count = F.greatest(F.ceil(F.octet_length(data) / size), F.lit(1))
+        own = content.withColumn("block", F.explode(F.when(count > low, F.sequence(F.lit(low).cast("long"), F.least(count, F.lit(high)) - 1))))
+        return own.select("path", "block", F.substr(data, (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data")).join(rows, "path")
+
+    return blocks
+
+
+def verified(members_: DataFrame, content: DataFrame | Blocks, size: int = BLOCK) -> DataFrame:
+    """Members equal, byte for byte, to the first of their group; groups of two or more, with file_count.
+
+    content: a table (path, content), or blocks of files as from walker.file_blocks.  Members without content take no part.
+    Blocks are compared by rounds of doubling length, and only members still equal go on, so most unequal ones cost one block.  A block
+    moves once, to the reference's of the same number; a group of many members is dealt over tasks, each with a copy of the reference's block.
+    """
+    blocks = content if callable(content) else content_blocks(content, size)
+    there = blocks(members_.select("path", "size", "hash"), 0, 1).select("path")
+    found = members_.join(there, "path", "left_semi")
+    of = found.groupBy("hash").agg(F.min("path").alias("first_"), F.min_by("size", "path").alias("bytes_"), F.count(F.lit(1)).alias("n_")).where("n_ >= 2")
+    alive = scratch.cut(found.select("hash", "path", "size").join(of, "hash").where("size = bytes_").drop("bytes_"), "verify")
+    last = -(-(alive.agg(F.max("size")).first()[0] or 0) // size) or 1  # one number
+    low, high = 0, 1
+    while low < last:
+        high = min(high, last)
+        count = F.greatest(F.ceil(F.col("size") / size), F.lit(1))
+        here = alive.where(count > low)
+        salts = F.ceil(F.col("n_") / SPREAD)
+        one = blocks(here.where("path = first_"), low, high).select("hash", "block", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("data").alias("reference"))
+        each = blocks(here.where("path <> first_"), low, high).withColumn("salt", F.pmod(F.xxhash64("path"), salts))
+        same = each.join(one, ["hash", "block", "salt"]).where(F.col("data") == F.col("reference")).groupBy("path").agg(F.count(F.lit(1)).alias("same_"))
+        whole = alive.join(same, "path", "left").where((F.col("path") == F.col("first_")) | (count <= low) | (F.col("same_") == F.least(count, F.lit(high)) - low)).drop("same_")
+        left = whole.drop("n_").join(whole.groupBy("hash").agg(F.count(F.lit(1)).alias("n_")).where("n_ >= 2"), "hash")
+        after = scratch.cut(left.select(*alive.columns), "verify")
+        scratch.drop(alive)
+        alive, low, high = after, high, 2 * high + 1
+    return members_.join(alive.select("path", F.col("n_").alias("file_count")), "path").select(*members_.columns, "file_count")
 
 
 def palette(members_: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.rules import compare_glyph
+from ..sources import scratch
+from . import ranks
 
 
 def compared(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -31,10 +33,23 @@ def match_count(active: DataFrame, other: DataFrame) -> DataFrame:
     return active.join(other.select("hash"), "hash", "left_semi").agg(F.count(F.lit(1)).alias("matches"))
 
 
-def across(panels: DataFrame) -> DataFrame:
-    """hash, panels: content in at least two panels."""
-    once = panels.where("hash is not null").select("panel", "hash").distinct()
-    return once.groupBy("hash").agg(F.count(F.lit(1)).alias("panels")).where("panels >= 2")
+def signed(listing: DataFrame, directory: str, signatures: DataFrame) -> DataFrame:
+    """Entries of a listing with what tells their content: the hash of a file, the signature (of dir) of a directory."""
+    path = F.concat(F.lit("" if directory == "/" else directory), F.lit("/"), "name")
+    own = signatures.select(F.col("dir").alias("path_"), "signature")
+    return listing.withColumn("path_", path).join(own, "path_", "left").withColumn("content", F.when(F.col("kind") == "file", F.col("hash")).otherwise(F.col("signature"))).drop("path_", "signature")
+
+
+def matches(active: DataFrame, other: DataFrame) -> DataFrame:
+    """files, dirs: entries of the active listing (kind, content) whose content the other has in an entry of the same kind."""
+    found = active.join(other.where("content is not null").select("kind", "content").distinct(), ["kind", "content"], "left_semi")
+    return found.agg(F.count(F.when(F.col("kind") == "file", 1)).alias("files"), F.count(F.when(F.col("kind") == "dir", 1)).alias("dirs"))
+
+
+def across(panels: DataFrame, content: str = "hash") -> DataFrame:
+    """hash (or another column that tells the content), panels: content in at least two panels, counted once in each."""
+    once = panels.where(f"`{content}` is not null").select("panel", content).distinct()
+    return once.groupBy(content).agg(F.count(F.lit(1)).alias("panels")).where("panels >= 2")
 
 
 def move_decisions(moved: DataFrame, there: DataFrame) -> DataFrame:
@@ -58,36 +73,45 @@ def _numbered(name):
 
 
 def numbered_names(rows: DataFrame, there: DataFrame) -> DataFrame:
-    """rows (path, name, decision) with new_name: the first free ``stem.dupN.ext`` for duplicates, ``name.N`` for renamed."""
+    """rows (path, name, decision) with new_name: the first free ``stem.dupN.ext`` for duplicates, ``name.N`` for renamed.
+
+    With a column dir in both, names are free or taken in their directory.  The k-th row of a form gets the k-th free number.  Used number u, the i-th in
+    order, has u - i free ones before it; sorted among the rows by that, a row's place is its number.  Neither rows nor
+    numbers of a form are gathered, so any number of files may ask for one name.
+    """
+    local = "dir" in rows.columns
+    key = ["dir_", "head_", "tail_"]
     stem, ext = F.regexp_extract("name", r"(?s)^(.+)\.[^.]*$", 1), F.regexp_extract("name", r"(?s)^.+(\.[^.]*)$", 1)
     stem = F.when(stem == "", F.col("name")).otherwise(stem)
     head = F.when(F.col("decision") == "duplicate", F.concat(stem, F.lit(".dup"))).otherwise(F.concat("name", F.lit(".")))
     tail = F.when(F.col("decision") == "duplicate", ext).otherwise(F.lit(""))
-    place = F.row_number().over(Window.partitionBy("head_", "tail_").orderBy("path"))
-    wanted = rows.withColumn("head_", head).withColumn("tail_", tail)
-    wanted = wanted.withColumn("place_", place)
-    most = F.max("place_").over(Window.partitionBy("head_", "tail_"))
-    # Free numbers: as many candidates as there are rows and taken names of the same form together.
-    forms = wanted.where("decision <> 'moved'").withColumn("rows_", most).select("head_", "tail_", "rows_").distinct()
-    used = there.select("name").distinct().select(F.explode(_numbered(F.col("name"))).alias("f")).select("f.*").join(forms, ["head_", "tail_"], "left_semi").where("n_ > 0")
-    held = used.groupBy("head_", "tail_").agg(F.collect_set("n_").alias("held_"))
-    free = forms.join(held, ["head_", "tail_"], "left").withColumn("held_", F.coalesce("held_", F.array().cast("array<int>")))
-    free = free.select("head_", "tail_", F.posexplode(F.array_except(F.sequence(F.lit(1), F.col("rows_") + F.size("held_")), F.col("held_"))).alias("k_", "number_")).withColumn("place_", F.col("k_") + 1)
-    out = wanted.join(free, ["head_", "tail_", "place_"], "left")
-    new = F.when(F.col("decision") == "moved", F.col("name")).otherwise(F.concat("head_", F.col("number_").cast("string"), "tail_"))
-    return out.withColumn("new_name", new).drop("head_", "tail_", "place_", "k_", "number_")
+    at = (lambda df: df.withColumn("dir_", F.col("dir"))) if local else (lambda df: df.withColumn("dir_", F.lit("")))
+    held = scratch.cut(at(rows).withColumns({"head_": head, "tail_": tail, "row_": F.struct(*rows.columns)}), "names")
+    asking = ranks.within(held.where("decision <> 'moved'").select(*key, "path", "row_"), key, "path", "k_")
+    names = at(there).select("dir_", "name").distinct().select("dir_", F.explode(_numbered(F.col("name"))).alias("f")).select("dir_", "f.*").where("n_ > 0")
+    used = scratch.cut(names.join(held.where("decision <> 'moved'").select(*key).distinct(), key, "left_semi").distinct(), "used")
+    before = ranks.within(used, key, "n_", "i_").select(*key, F.struct((F.col("n_") - F.col("i_") + 1).alias("at"), F.lit(0).alias("kind"), F.col("n_").cast("string").alias("tie")).alias("order_"), F.lit(None).cast(held.schema["row_"].dataType).alias("row_"))
+    both = scratch.cut(asking.select(*key, F.struct(F.col("k_").alias("at"), F.lit(1).alias("kind"), F.col("path").alias("tie")).alias("order_"), "row_").union(before), "numbers")
+    numbered = ranks.within(both, key, "order_", "number_").where("row_ is not null")
+    new = numbered.select("row_.*", F.concat("head_", F.col("number_").cast("string"), "tail_").alias("new_name"))
+    return held.where("decision = 'moved'").select(*rows.columns, F.col("name").alias("new_name")).union(new.select(*rows.columns, "new_name"))
 
 
 def merged(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """path, new_path, decision of the files below source when it is merged into a directory target of the same name.
 
-    A file whose place is taken is a duplicate where size and hash agree, else renamed; new_path is the place it asks for.
+    A file whose place is free is moved there; where it is taken, the file is a duplicate if the target's directory has the same size and hash, else
+    renamed, and gets the first free name in that directory.
     """
     asked = manifest.where(paths.below(F.col("path"), source)).withColumn("new_path", F.concat(F.lit(target), F.substr(F.col("path"), F.lit(len(source) + 1))))
-    there = manifest.select(F.col("path").alias("new_path"), F.col("size").alias("t_size"), F.col("hash").alias("t_hash"))
+    asked = asked.withColumns({"dir": paths.parent(F.col("new_path")), "name": paths.name(F.col("new_path"))})
+    there = manifest.where(paths.below(F.col("path"), target)).select(F.col("path").alias("new_path"), F.col("size").alias("t_size"), F.col("hash").alias("t_hash"))
     out = asked.join(there, "new_path", "left")
     decision = F.when(F.col("t_size").isNull(), "moved").when((F.col("size") == F.col("t_size")) & (F.col("hash") == F.col("t_hash")), "duplicate").otherwise("renamed")
-    return out.select("path", "new_path", decision.alias("decision"))
+    taken = there.select(F.col("new_path").alias("p")).select(paths.parent(F.col("p")).alias("dir"), paths.name(F.col("p")).alias("name"))
+    arriving = asked.select("dir", "name")  # files that move to a free place take their names too
+    named = numbered_names(out.select("path", "dir", "name", decision.alias("decision")), taken.union(arriving).distinct())
+    return named.select("path", F.concat(F.when(F.col("dir") == "/", "").otherwise(F.col("dir")), F.lit("/"), "new_name").alias("new_path"), "decision")
 
 
 def to_snapshot(sources: DataFrame, done: DataFrame) -> DataFrame:

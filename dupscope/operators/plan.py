@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -18,11 +18,23 @@ def rows(manifest: DataFrame, marks: DataFrame) -> DataFrame:
     return out.select(F.col("action").alias("kind"), F.col("path").alias("target"), F.col("k.path").alias("keeper"), "size", "hash", F.col("device").alias("target_device"), F.col("k.device").alias("keeper_device"))
 
 
+#: Fixed value: rows that a digest quotes.
+SAMPLES = 5
+
+
 def digest(plan: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("kind"))
     return plan.groupBy("kind").agg(F.count(F.lit(1)).alias("actions"), F.sum("size").alias("bytes")).withColumn("place", place)
 
 
+def samples(plan: DataFrame) -> DataFrame:
+    """place (from 1), kind, target of the first rows by target, and hidden: how many a digest leaves out."""
+    first = plan.select("target", "kind").orderBy("target", "kind").limit(SAMPLES)
+    hidden = plan.agg(F.greatest(F.count(F.lit(1)) - SAMPLES, F.lit(0)).alias("hidden"))  # one row
+    placed = first.select(F.row_number().over(Window.orderBy("target", "kind")).alias("place"), "kind", "target")  # SAMPLES rows
+    return placed.crossJoin(F.broadcast(hidden))
+
+
 def verify_bytes(plan: DataFrame) -> DataFrame:
     """Bytes that checking the plan reads: everything twice, or each keeper once."""
     keepers = plan.groupBy("keeper").agg(F.max("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("k"))
@@ -44,19 +56,40 @@ def legality(plan: DataFrame, datasets: DataFrame, reflink_safe: bool) -> DataFr
     return named.withColumn("reason", reason)
 
 
-def revalidated(plan: DataFrame, current: DataFrame) -> DataFrame:
-    """plan with mismatch: what differs now at the target or keeper, null if nothing.  current: path, size, hash."""
-    at = lambda side: current.select(F.col("path").alias(side), F.col("size").alias(f"{side}_size"), F.col("hash").alias(f"{side}_hash"))
+def revalidated(plan: DataFrame, current: DataFrame, strict: bool = True) -> DataFrame:
+    """plan with mismatch, what differs now at the target or keeper (null if nothing), and read, the bytes that finding it reads.
+
+    current: path, size, hash and, if there, is_symlink.  Links and sizes are always looked at, then contents, the target's first; what fails ends a
+    row's checks.  Strict: every row reads its keeper.  Else a keeper whose content was right for the first row that reads it isn't
+    read for the others.
+    """
+    link = F.col("is_symlink") if "is_symlink" in current.columns else F.lit(False)
+    at = lambda side: current.select(F.col("path").alias(side), F.col("size").alias(f"{side}_size"), F.col("hash").alias(f"{side}_hash"), F.coalesce(link, F.lit(False)).alias(f"{side}_link"))
     out = plan.join(at("target"), "target", "left").join(at("keeper"), "keeper", "left")
     found = F.lit(None).cast("string")
     for side in ("keeper", "target"):
-        found = F.when(F.col(f"{side}_size").isNull(), f"{side} missing").when(F.col(f"{side}_size") != F.col("size"), f"{side} size").when(~F.col(f"{side}_hash").eqNullSafe(F.col("hash")), f"{side} content").otherwise(found)
-    return out.withColumn("mismatch", found)
+        found = F.when(F.col(f"{side}_size").isNull(), f"{side} missing").when(F.col(f"{side}_link"), f"{side} link").when(F.col(f"{side}_size") != F.col("size"), f"{side} size").when(~F.col(f"{side}_hash").eqNullSafe(F.col("hash")), f"{side} content").otherwise(found)
+    return _read(out.withColumn("mismatch", found), strict)
+
+
+def _read(out: DataFrame, strict: bool) -> DataFrame:
+    """out with read: each side's size where its content is read; not strict, a keeper of one identity is read by its first row only."""
+    whole = lambda side: F.when(F.col(f"{side}_size").eqNullSafe(F.col("size")) & ~F.col(f"{side}_link"), F.col("size")).otherwise(F.lit(0))
+    if strict:
+        return out.withColumn("read", whole("target") + F.when(F.coalesce(F.col("mismatch").startswith("target"), F.lit(False)), F.lit(0)).otherwise(whole("keeper")))
+    ready = F.when(F.coalesce(F.col("mismatch").startswith("target"), F.lit(False)), F.lit(None)).otherwise(F.col("target"))
+    first = out.select("keeper", ready.alias("ready")).groupBy("keeper").agg(F.min("ready").alias("first_"))
+    again = out.join(first, "keeper", "left")
+    bad = F.coalesce(F.col("mismatch") == "keeper content", F.lit(False))  # what failed isn't taken as checked
+    once = F.when(ready.isNotNull() & ((F.col("target") == F.col("first_")) | bad), whole("keeper")).otherwise(F.lit(0))
+    return again.withColumn("read", whole("target") + once).drop("first_")
 
 
-def outcome_totals(outcomes: DataFrame) -> DataFrame:
+def outcome_totals(outcomes: DataFrame, cancelled: bool = False) -> DataFrame:
+    """succeeded, failed, bytes_reclaimed, bytes_planned; of a batch that was cancelled, outcomes has the rows that were tried (ok) and those that weren't (ok null)."""
     ok = F.col("ok")
-    return outcomes.agg(F.count(F.when(ok, 1)).alias("succeeded"), F.count(F.when(~ok, 1)).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0)).alias("bytes_reclaimed"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_planned"))
+    out = outcomes.agg(F.count(F.when(ok, 1)).alias("succeeded"), F.count(F.when(~ok, 1)).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0)).alias("bytes_reclaimed"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_planned"))
+    return out.withColumn("cancelled", F.lit(True)) if cancelled else out
 
 
 def affected_datasets(plan: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -85,6 +118,42 @@ def script_lines(plan: DataFrame, stamp: str, datasets: DataFrame) -> DataFrame:
     return plan.join(one, "target_device", "left").select("target", line.alias("line"))
 
 
+def script(plan: DataFrame, stamp: str, datasets: DataFrame, snapshot_tool: str | None = None) -> DataFrame:
+    """section, target, step, line: a whole shell script, in the order of these columns.
+
+    0: what begins every script.  1: a snapshot of each dataset that a target is on, by the tool's absolute path.  2: the actions by target, a
+    comment, the checks and the command for each.  Where snapshots are needed and there is no tool, the script refuses and has no action.
+    An empty plan says so.
+    """
+    spark = plan.sparkSession
+    q = text.shell_quote
+    rows = lambda section, lines: spark.createDataFrame([(section, "", i, x) for i, x in enumerate(lines)], "section int, target string, step int, line string")
+    head = rows(0, ["#!/usr/bin/env bash", f"# Plan of {stamp}: files are moved to quarantine unchecked; links and copies are made if the size is still the same.", "set -euo pipefail"])
+    size = plan.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()  # one row
+    if not size["n"]:
+        return head.union(rows(2, ["# The plan is empty."]))
+    one = datasets.groupBy(F.col("device_id").alias("target_device")).agg(F.min(F.struct("name", "mountpoint")).alias("d"))
+    placed = plan.join(one, "target_device", "left")
+    named = placed.where("d is not null").groupBy("d.name").agg(F.min("target").alias("first"))
+    if snapshot_tool is None and not named.isEmpty():
+        return head.union(rows(1, ["# Refused: snapshots come first, and there is no trusted tool to make them.", "exit 1"]))
+    snapshots = named.select(F.lit(1).alias("section"), F.col("first").alias("target"), F.lit(1).alias("step"), F.concat(F.lit(f"{snapshot_tool} snapshot "), q(F.concat("name", F.lit(f"@{stamp}")))).alias("line"))
+    total = spark.createDataFrame([(2, "", 0, size["bytes"])], "section int, target string, step int, b long").select("section", "target", "step", F.concat(F.lit(f"# {size['n']} actions free about "), text.human_bytes(F.col("b")), F.lit(".")).alias("line"))
+    t, k = F.col("target"), F.col("keeper")
+    aside = quarantine_path(F.col("d.mountpoint"), F.lit(stamp), t)
+    label = text.shell_label(t)
+    same = F.concat(F.lit('[ "$(stat -c%s -- '), q(t), F.lit(')" = '), F.col("size").cast("string"), F.lit(' ] || { echo '), q(F.concat(F.lit("changed: "), label)), F.lit(" >&2; exit 1; }"))
+    lost = F.col("d").isNull()
+    lines = (
+        F.when((F.col("kind") == "delete") & lost, F.array(F.concat(F.lit("# skip: "), label)))
+        .when(F.col("kind") == "delete", F.array(F.concat(F.lit("# delete: "), label), F.concat(F.lit("mkdir -p -- "), q(paths.parent(aside))), F.concat(F.lit("mv -n -- "), q(t), F.lit(" "), q(aside))))
+        .when(F.col("kind") == "hardlink", F.array(F.concat(F.lit("# hardlink: "), label), same, F.concat(F.lit("ln -f -- "), q(k), F.lit(" "), q(t))))
+        .otherwise(F.array(F.concat(F.lit("# reflink: "), label), same, F.concat(F.lit("cp --reflink=always -- "), q(k), F.lit(" "), q(t))))
+    )
+    actions = placed.select(F.lit(2).alias("section"), "target", F.posexplode(lines).alias("at", "line")).select("section", "target", (F.col("at") + 1).alias("step"), "line")
+    return head.union(rows(1, ["# Snapshots."])).union(snapshots).union(total).union(actions)
+
+
 def save_marks(stored: DataFrame, changed: DataFrame) -> DataFrame:
     """Upsert by path; a row back at its default (no keeper, no action) is dropped."""
     new = changed.select("path", F.struct("is_keeper", "action").alias("new"))

@@ -13,12 +13,16 @@ def listed(scans: DataFrame, trashed: bool = False) -> DataFrame:
     return scans.where((F.coalesce("trashed", F.lit(False)) == trashed) & F.col("status").isin(*STATUSES))
 
 
-def retention(scans: DataFrame, keep: int = 2) -> DataFrame:
-    """scans not in the trash with to_trash: unfinished ones, and completed ones beyond the newest `keep` with the same roots."""
+def retention(scans: DataFrame, keep: int = 2, current: int | None = None) -> DataFrame:
+    """scans not in the trash with to_trash: unfinished ones, and completed ones beyond the newest `keep` with the same roots.
+
+    The current scan counts among the completed ones and is never trashed.
+    """
     live = listed(scans)
-    done = F.col("status").isin(*COMPLETED)
+    here = F.lit(False) if current is None else F.col("id") == current
+    done = F.col("status").isin(*COMPLETED) | here
     newest = Window.partitionBy("roots").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return live.withColumn("place", F.sum(done.cast("long")).over(newest)).withColumn("to_trash", ~done | (F.col("place") > keep))
+    return live.withColumn("place", F.sum(done.cast("long")).over(newest)).withColumn("to_trash", ~here & (~done | (F.col("place") > keep)))
 
 
 def resume_probe(scans: DataFrame) -> DataFrame:
@@ -54,6 +58,20 @@ def with_statistics(scans: DataFrame, stats: DataFrame, trashed: bool = False) -
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in figures}).orderBy(F.desc("id"))
 
 
+def with_progress(scans: DataFrame, stats: DataFrame, files: DataFrame, trashed: bool = False) -> DataFrame:
+    """with_statistics, where scans that are hashing and have no figures of candidates get them from their files (scan_id, size, hash).
+
+    Candidates are files whose size another file of the scan has.  Only the files of those scans are read.
+    """
+    out = with_statistics(scans, stats, trashed)
+    old = out.where("status = 'hashing' and cand_bytes_total = 0").select("id")
+    own = files.join(F.broadcast(old.withColumnRenamed("id", "scan_id")), "scan_id", "left_semi")  # a row for each session
+    sizes = own.groupBy("scan_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("h")).where("n >= 2")
+    found = sizes.groupBy(F.col("scan_id").alias("id")).agg(F.sum("n").alias("cand_files_total_"), F.sum("h").alias("cand_files_hashed_"), F.sum(F.col("n") * F.col("size")).alias("cand_bytes_total_"), F.sum(F.col("h") * F.col("size")).alias("cand_bytes_hashed_"))
+    both = out.join(found, "id", "left")
+    return both.withColumns({c: F.coalesce(f"{c}_", c) for c in CANDIDATES}).select(*out.columns).orderBy(F.desc("id"))
+
+
 def report(scans: DataFrame, stats: DataFrame) -> DataFrame:
     """All scans that have statistics, in the trash or not, newest first."""
     return scans.join(stats.withColumnRenamed("scan_id", "id"), "id").orderBy(F.desc("id"))

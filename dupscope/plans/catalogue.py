@@ -5,14 +5,15 @@ Every query runs over its whole derived table.  Limits stand only where paging i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules, text
-from ..operators import diff, dirs, export, files, groups, panels, plan, ranks, sessions
-from ..sources import config
+from ..operators import diff, dirs, export, files, groups, pages, panels, plan, ranks, sessions
+from ..sources import config, identity, scratch
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -751,6 +752,179 @@ def format_functions(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", text.human_bytes(b).alias("human"), text.duration(s).alias("took"), text.short_date(s * 86400 + 1700000000).alias("day"), text.truncate_right(F.concat("source", "lang"), 5).alias("short"))
 
 
+# -- indexes, updates and whole plans -----------------------------------------------------------
+
+
+@_query("paths_covered", A0, """SELECT DISTINCT q.path, q.path IN (SELECT path FROM a0 WHERE inode % 3 <> 0) OR EXISTS (SELECT 1 FROM a0 WHERE inode % 3 <> 0 AND starts_with(a0.path, q.path || '/')) AS covered
+  FROM (SELECT path FROM a0 UNION ALL SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM a0 WHERE inode % 5 = 0 UNION ALL SELECT path || '/x' FROM a0 WHERE inode % 7 = 0 UNION ALL SELECT replace(path, '.txt', '') FROM a0 WHERE inode % 11 = 0) q""")
+def paths_covered(spark, d):
+    every = fx.unblanked(spark, d)
+    p, i = F.col("path"), F.col("inode")
+    asked = every.select("path").union(every.where(i % 5 == 0).select(paths.parent(p))).union(every.where(i % 7 == 0).select(F.concat(p, F.lit("/x")))).union(every.where(i % 11 == 0).select(F.regexp_replace(p, r"\.txt$", ""))).distinct()
+    return dirs.covered(every.where(i % 3 != 0), asked)
+
+
+_AFTER = """c AS (SELECT '/conv/' || CAST(conv_id % 10 AS VARCHAR) || '/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path, CAST(octet_length(encode(role)) AS BIGINT) AS size,
+  CASE WHEN conv_id % 6 = 1 AND turn = 0 THEN 'rewritten' WHEN NOT (conv_id % 7 = 0 AND turn = 0) THEN sha256(role) END AS hash FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn = 1))"""
+
+
+@_query("merkle_update", _AFTER + SIG, "SELECT paths, file_count, size_per_dir FROM (SELECT array_to_string(list(dir ORDER BY dir), ' ') AS paths, min(file_count) AS file_count, min(size_per_dir) AS size_per_dir FROM s GROUP BY signature HAVING count(*) >= 2)")
+def merkle_update(spark, d):
+    before, after, changed = fx.changed_tree(spark, d)
+    levels = dirs.merkle_updated(dirs.merkle_levels(before), after, changed)
+    return dirs.groups(dirs.complete(levels)).select(F.array_join("paths", " ").alias("paths"), "file_count", "size_per_dir")
+
+
+_HIST = S + """, f6 AS (SELECT path, size, mtime, (inode % 1000000) * 7 % 1000 AS mn, mtime + (inode % 1000000) % 3 AS cs, (inode % 1000000) % 11 AS cn, hash, verified, inode FROM old),
+  hist AS (SELECT path, size, mtime, mn, cs, cn, 1 AS scan, 'stale' || hash AS hash FROM f6 UNION ALL SELECT path, size, mtime, mn, cs, cn, 2, hash FROM f6 WHERE verified AND inode % 9 <> 0),
+  best AS (SELECT path, size, mtime, mn, cs, cn, arg_max(hash, scan) AS hash FROM hist GROUP BY path, size, mtime, mn, cs, cn),
+  tgt AS (SELECT path, size, mtime, (inode % 1000000) * 7 % 1000 AS mn, mtime + (inode % 1000000) % 3 AS cs, CASE WHEN (inode % 1000000) % 13 = 0 THEN 99 ELSE (inode % 1000000) % 11 END AS cn, device, inode AS ino FROM new)"""
+
+
+@_query("inherit_indexed", _HIST, "SELECT t.path, b.hash, b.hash IS NOT NULL AS inherited FROM tgt t LEFT JOIN best b USING (path, size, mtime, mn, cs, cn)")
+def inherit_indexed(spark, d):
+    history, target = fx.histories(spark, d)
+    index = identity.IdentityIndex(spark, f"{scratch.root(spark)}/identity-{uuid.uuid4().hex[:12]}", 8)
+    for scan in (1, 2):
+        index.add(history.where(F.col("scan_id") == scan))
+    return index.inherit(target.withColumn("hash", F.lit(None).cast("string"))).select("path", "hash", "inherited")
+
+
+@_query("commit_identity", _HIST + ", seen AS (SELECT path, size, mtime, mn, cs, cn, 1 AS device, inode AS ino FROM f6)", "SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM tgt JOIN seen USING (path, size, mtime, mn, cs, cn, device, ino)")
+def commit_identity(spark, d):
+    history, target = fx.histories(spark, d)
+    key = (*files.IDENTITY, "device", "inode")
+    done = files.commit(target.withColumn("hash", F.lit(None).cast("string")), history.where("scan_id = 1").select(*key, F.col("hash").alias("new_hash")), key)
+    return done.where("committed").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+@_query("group_pages", G, "SELECT hash, CAST((row_number() OVER (PARTITION BY hash ORDER BY path) - 1) // 2 AS BIGINT) AS page, path FROM a JOIN g USING (hash)")
+def group_pages(spark, d):
+    return pages.numbered(pages.index(_members(spark, d).select("hash", "path")), 2).select("hash", "page", "path")
+
+
+@_query("verify_blocks", G + """, k AS (SELECT a.hash, a.path, CASE WHEN inode % 3 = 1 THEN substr(text, 1, length(text) - 1) || 'x' ELSE text END AS t FROM a JOIN g USING (hash) JOIN documents ON doc_id = inode),
+  v AS (SELECT hash, path FROM k QUALIFY encode(t) = encode(first_value(t) OVER (PARTITION BY hash ORDER BY path)) AND octet_length(encode(t)) >= 0)""", "SELECT hash, path, count(*) OVER (PARTITION BY hash) AS file_count FROM v QUALIFY file_count >= 2")
+def verify_blocks(spark, d):
+    """Copies whose last character was changed behind the scan's back, read in blocks of 256 bytes."""
+    m = fx.manifest(spark, d)
+    changed = F.when(F.col("doc_id") % 3 == 1, F.concat(F.substr("text", F.lit(1), F.length("text") - 1), F.lit("x"))).otherwise(F.col("text"))
+    content = fx.table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), changed.alias("content"))
+    members = groups.members(m, groups.sets(m)).select("hash", "path", "size")
+    return groups.verified(members, groups.content_blocks(content, 256), 256).select("hash", "path", "file_count")
+
+
+_SCRIPT = P + ", " + DS + """, q AS (SELECT p.*, ds.name, ds.mountpoint FROM p LEFT JOIN ds ON device = target_device),
+  same AS (SELECT *, '[ "$(stat -c%s -- ''' || target || ''')" = ' || CAST(size AS VARCHAR) || ' ] || { echo ''changed: ' || target || ''' >&2; exit 1; }' AS line FROM q),
+  tot AS (SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM q)"""
+
+
+@_query("script_text", _SCRIPT, """SELECT 0 AS section, '' AS target, 0 AS step, '#!/usr/bin/env bash' AS line UNION ALL SELECT 0, '', 1, '# Plan of 20240101: files are moved to quarantine unchecked; links and copies are made if the size is still the same.' UNION ALL SELECT 0, '', 2, 'set -euo pipefail'
+  UNION ALL SELECT 1, '', 0, '# Snapshots.' UNION ALL SELECT 1, min(target), 1, '/sbin/zfs snapshot ''' || name || '@20240101''' FROM q GROUP BY name
+  UNION ALL SELECT 2, '', 0, '# ' || CAST(n AS VARCHAR) || ' actions free about ' || CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) ELSE printf('%.1f GiB', b / 1073741824.0) END || '.' FROM tot
+  UNION ALL SELECT 2, target, 1, '# ' || kind || ': ' || target FROM q
+  UNION ALL SELECT 2, target, 2, CASE kind WHEN 'delete' THEN 'mkdir -p -- ''' || regexp_extract('/corpus/.quarantine/20240101/' || substr(target, 9), '^(.*)/[^/]*$', 1) || '''' ELSE line END FROM same
+  UNION ALL SELECT 2, target, 3, CASE kind WHEN 'delete' THEN 'mv -n -- ''' || target || ''' ''/corpus/.quarantine/20240101/' || substr(target, 9) || '''' WHEN 'hardlink' THEN 'ln -f -- ''' || keeper || ''' ''' || target || '''' ELSE 'cp --reflink=always -- ''' || keeper || ''' ''' || target || '''' END FROM q""")
+def script_text(spark, d):
+    return plan.script(_plan(spark, d), "20240101", fx.datasets(spark), "/sbin/zfs")
+
+
+@_query("plan_samples", P, "SELECT row_number() OVER (ORDER BY target, kind) AS place, kind, target, greatest((SELECT count(*) FROM p) - 5, 0) AS hidden FROM p QUALIFY place <= 5")
+def plan_samples(spark, d):
+    return plan.samples(_plan(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+_NOW = P + """, cur AS (SELECT path, size, inode % 7 = 0 AS link, CASE WHEN inode % 5 = 1 THEN 'x' ELSE hash END AS hash FROM a WHERE inode % 6 <> 5),
+  chk AS (SELECT p.target, p.keeper, p.size, p.hash, CASE WHEN t.path IS NULL THEN 'target missing' WHEN t.link THEN 'target link' WHEN t.hash IS DISTINCT FROM p.hash THEN 'target content' WHEN k.path IS NULL THEN 'keeper missing' WHEN k.link THEN 'keeper link' WHEN k.hash IS DISTINCT FROM p.hash THEN 'keeper content' END AS mismatch,
+    t.path IS NOT NULL AND NOT t.link AS rt, k.path IS NOT NULL AND NOT k.link AS rk FROM p LEFT JOIN cur t ON t.path = p.target LEFT JOIN cur k ON k.path = p.keeper),
+  rdy AS (SELECT *, CASE WHEN coalesce(mismatch, '') NOT LIKE 'target%' THEN target END AS ready FROM chk)"""
+
+
+@_query("plan_revalidation_strict", _NOW, "SELECT target, mismatch, CASE WHEN rt THEN size ELSE 0 END + CASE WHEN ready IS NOT NULL AND rk THEN size ELSE 0 END AS read FROM rdy")
+def plan_revalidation_strict(spark, d):
+    return plan.revalidated(_plan(spark, d), _now(spark, d), strict=True).select("target", "mismatch", "read")
+
+
+@_query("plan_revalidation_once", _NOW, "SELECT target, mismatch, CASE WHEN rt THEN size ELSE 0 END + CASE WHEN ready IS NOT NULL AND rk AND (coalesce(mismatch, '') = 'keeper content' OR target = min(ready) OVER (PARTITION BY keeper)) THEN size ELSE 0 END AS read FROM rdy")
+def plan_revalidation_once(spark, d):
+    return plan.revalidated(_plan(spark, d), _now(spark, d), strict=False).select("target", "mismatch", "read")
+
+
+def _now(spark, d):
+    i = F.col("inode")
+    return fx.manifest(spark, d).where(i % 6 != 5).select("path", "size", (i % 7 == 0).alias("is_symlink"), F.when(i % 5 == 1, "x").otherwise(F.col("hash")).alias("hash"))
+
+
+@_query("plan_outcomes_cancelled", P, "SELECT count(CASE WHEN size % 3 = 1 THEN 1 END) AS succeeded, count(CASE WHEN size % 3 = 0 THEN 1 END) AS failed, CAST(coalesce(sum(CASE WHEN size % 3 = 1 THEN size END), 0) AS BIGINT) AS bytes_reclaimed, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_planned, true AS cancelled FROM p")
+def plan_outcomes_cancelled(spark, d):
+    """A batch stopped midway: rows of a size that leaves 2 were never tried."""
+    s = F.col("size") % 3
+    return plan.outcome_totals(_plan(spark, d).withColumn("ok", F.when(s != 2, s == 1)), cancelled=True)
+
+
+@_query("retention_current", T + f", cur AS (SELECT max(id) AS id FROM t WHERE NOT trashed AND NOT ({DONE}))", f"SELECT id, id <> (SELECT id FROM cur) AND (NOT ({DONE}) OR place > 2) AS to_trash FROM (SELECT *, sum(CASE WHEN {DONE} OR id = (SELECT id FROM cur) THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS place FROM t WHERE NOT trashed)")
+def retention_current(spark, d):
+    s = fx.sessions(spark, d)
+    current = s.where(~F.col("trashed") & ~F.col("status").isin(*rules.COMPLETED)).agg(F.max("id")).first()[0]  # one number, the scan that runs
+    return sessions.retention(s, current=current).select("id", "to_trash")
+
+
+_OLD = ST + """, o AS (SELECT * REPLACE (CASE WHEN scan_id % 2 = 0 THEN 0 ELSE cand_bytes_total END AS cand_bytes_total) FROM st),
+  fl AS (SELECT doc_id % (SELECT max(id) + 1 FROM t) AS scan_id, CAST(octet_length(encode(text)) // 100 AS BIGINT) AS size, CASE WHEN doc_id % 3 <> 0 THEN 'h' END AS hash FROM documents),
+  cs AS (SELECT scan_id, sum(n) AS ft, sum(h) AS fh, sum(n * size) AS bt, sum(h * size) AS bh FROM (SELECT scan_id, size, count(*) AS n, count(hash) AS h FROM fl GROUP BY scan_id, size HAVING count(*) >= 2) GROUP BY scan_id),
+  j AS (SELECT t.id, t.status, coalesce(o.cand_files_total, 0) AS a, coalesce(o.cand_files_hashed, 0) AS b, coalesce(o.cand_bytes_total, 0) AS c, coalesce(o.cand_bytes_hashed, 0) AS e, cs.*, t.status = 'hashing' AND coalesce(o.cand_bytes_total, 0) = 0 AND cs.scan_id IS NOT NULL AS old
+    FROM t LEFT JOIN o ON o.scan_id = t.id LEFT JOIN cs ON cs.scan_id = t.id WHERE NOT trashed)"""
+
+
+@_query("session_progress", _OLD, "SELECT id, status, CAST(CASE WHEN old THEN ft ELSE a END AS BIGINT) AS files, CAST(CASE WHEN old THEN fh ELSE b END AS BIGINT) AS hashed, CAST(CASE WHEN old THEN bt ELSE c END AS BIGINT) AS bytes, CAST(CASE WHEN old THEN bh ELSE e END AS BIGINT) AS bytes_hashed FROM j")
+def session_progress(spark, d):
+    """Scans from before progress was kept: figures of candidates come from their files."""
+    s = fx.sessions(spark, d)
+    stats = fx.statistics(spark, d).withColumn("cand_bytes_total", F.when(F.col("scan_id") % 2 == 0, 0).otherwise(F.col("cand_bytes_total")))
+    n = (s.agg(F.max("id")).first()[0] or 0) + 1  # one number
+    i = F.col("doc_id")
+    own = fx.table(spark, d, "documents").select((i % n).alias("scan_id"), F.expr("octet_length(text) div 100").cast("long").alias("size"), F.when(i % 3 != 0, "h").alias("hash"))
+    out = sessions.with_progress(s, stats, own)
+    return out.select("id", "status", F.col("cand_files_total").alias("files"), F.col("cand_files_hashed").alias("hashed"), F.col("cand_bytes_total").alias("bytes"), F.col("cand_bytes_hashed").alias("bytes_hashed"))
+
+
+@_query("merge_names", "", """SELECT '/m/a' || pl AS path, '/m/b' || CASE WHEN NOT there THEN pl WHEN same THEN replace(pl, '.txt', '.dup1.txt') WHEN k % 11 = 0 THEN pl || '.2' ELSE pl || '.1' END AS new_path, CASE WHEN NOT there THEN 'moved' WHEN same THEN 'duplicate' ELSE 'renamed' END AS decision
+  FROM (SELECT d.doc_id // 2 AS k, '/' || CAST(d.doc_id // 2 % 7 AS VARCHAR) || '/' || CAST(d.doc_id // 2 AS VARCHAR) || '.txt' AS pl, e.doc_id IS NOT NULL AND d.doc_id // 2 % 5 <> 0 AS there, d.doc_id // 2 % 3 = 0 OR coalesce(d.text = e.text, false) AS same FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.doc_id % 2 = 0)""")
+def merge_names(spark, d):
+    return panels.merged(fx.merging(spark, d), "/m/a", "/m/b")
+
+
+@_query("panel_matches", C1 + SIG + """, l AS (SELECT DISTINCT split_part(path, '/', 3) AS p, '/conv/' || split_part(path, '/', 3) || '/' || split_part(path, '/', 4) AS dir FROM c)""",
+  "SELECT CAST(0 AS BIGINT) AS files, count(*) AS dirs FROM l JOIN s USING (dir) WHERE p = '1' AND signature IN (SELECT signature FROM l JOIN s USING (dir) WHERE p = '2')")
+def panel_matches(spark, d):
+    m = fx.tree(spark, d).withColumn("mtime", F.lit(0).cast("long"))
+    signs = scratch.cut(dirs.signatures(m), "signs")
+    side = lambda at: panels.signed(files.listing(m, at), at, signs)
+    return panels.matches(side("/conv/1"), side("/conv/2"))
+
+
+@_query("cross_panel_dirs", C1 + SIG, "SELECT signature, count(DISTINCT split_part(dir, '/', 3)) AS panels FROM s WHERE len(string_split(dir, '/')) = 4 GROUP BY signature HAVING count(DISTINCT split_part(dir, '/', 3)) >= 2")
+def cross_panel_dirs(spark, d):
+    signs = dirs.signatures(fx.tree(spark, d)).where(F.size(F.split("dir", "/")) == 4)
+    return panels.across(signs.select(F.split("dir", "/")[2].alias("panel"), "signature"), "signature")
+
+
+@_query("listing_with_parent", A, f"SELECT name, kind, size FROM ({_listing('/corpus/en')}) UNION ALL SELECT '..', 'parent', NULL")
+def listing_with_parent(spark, d):
+    rows = files.with_parent(files.listing(fx.manifest(spark, d), "/corpus/en"), "/corpus/en")
+    return files.sorted_listing(rows).select("name", "kind", "size")
+
+
+@_query("pool_layouts", "", """SELECT doc_id, 'p' || CAST(doc_id AS VARCHAR) || '=' || list_extract(['raidz3', 'raidz2', 'raidz1', 'mirror', 'stripe'], doc_id % 5 + 1) || ',q=' || CASE WHEN doc_id % 2 = 0 THEN 'mirror' ELSE 'stripe' END AS layouts FROM documents""")
+def pool_layouts(spark, d):
+    i = F.col("doc_id")
+    vdev = F.element_at(F.array(*map(F.lit, ("raidz3-0", "raidz2-0", "raidz1-0", "mirror-0", "sda"))), (i % 5 + 1).cast("int"))
+    inner = F.when(i % 5 == 4, "\n\t    sdc").otherwise("\n\t    raidz3x")
+    status = F.concat(F.lit("  pool: p"), i.cast("string"), F.lit("\n state: ONLINE\n\tNAME\n\t  "), vdev, inner, F.lit("\n  pool: q\n\t"), F.when(i % 2 == 0, "mirror-1").otherwise("sdb"), F.lit("\n"))
+    shown = F.transform(text.pool_layouts(status), lambda x: F.concat(x["pool"], F.lit("="), x["layout"]))
+    return fx.table(spark, d, "documents").select("doc_id", F.array_join(shown, ",").alias("layouts"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -96,3 +96,38 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("bytes div 3").alias("reclaimable_bytes"),
         (i % 4 == 0).alias("results_materialized"),
     )
+
+def changed_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The incomplete tree, the tree after some turns went and others were rewritten, and the changed paths."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    before = tree(spark, sf_dir, incomplete=True)
+    c, t = F.col("conv_id"), F.col("turn")
+    path = F.concat(F.lit("/conv/"), (c % 10).cast("string"), F.lit("/"), c.cast("string"), F.lit("/"), t.cast("string"))
+    own = rows.select(path.alias("path"), ((c % 4 == 0) & (t == 1)).alias("gone"), ((c % 6 == 1) & (t == 0)).alias("new"))
+    both = before.join(own, "path")
+    after = both.where("not gone").select("path", "size", F.when(F.col("new"), "rewritten").otherwise(F.col("hash")).alias("hash"))
+    return before, after, own.where("gone or new").select("path")
+
+
+def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(verified rows of two scans with whole identities, a new scan without hashes); the older scan has other hashes."""
+    old, new = snapshots(spark, sf_dir)
+    i = F.col("inode") % 1000000
+    whole = lambda rows: rows.withColumns({"mtime_nsec": i * 7 % 1000, "ctime_sec": F.col("mtime") + i % 3, "ctime_nsec": i % 11})
+    first = whole(old).withColumns({"scan_id": F.lit(1).cast("long"), "hash": F.concat(F.lit("stale"), "hash"), "identity_version": F.lit(1)})
+    second = whole(old).withColumn("scan_id", F.lit(2).cast("long")).where(i % 9 != 0)
+    target = whole(new).withColumn("ctime_nsec", F.when(i % 13 == 0, F.lit(99).cast("long")).otherwise(F.col("ctime_nsec")))
+    return first.unionByName(second), target
+
+
+def merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two directories /m/a and /m/b whose files mostly share names: a file for each document, paired by number, and some names that are taken besides."""
+    d = F.col("doc_id")
+    k = F.floor(d / 2)
+    docs = table(spark, sf_dir, "documents")
+    digest = F.when(k % 3 == 0, F.sha2(k.cast("string").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    size = F.when(k % 3 == 0, k).otherwise(F.octet_length("text").cast("long"))
+    place = F.concat(F.lit("/"), (k % 7).cast("string"), F.lit("/"), k.cast("string"), F.lit(".txt"))
+    rows = docs.where((d % 2 == 0) | (k % 5 != 0)).select(F.concat(F.when(d % 2 == 0, "/m/a").otherwise("/m/b"), place).alias("path"), size.alias("size"), digest.alias("hash"))
+    taken = docs.where((d % 2 == 1) & (k % 11 == 0)).select(F.concat(F.lit("/m/b"), place, F.lit(".1")).alias("path"), F.lit(0).cast("long").alias("size"), F.lit("x").alias("hash"))
+    return rows.union(taken)
