@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from . import scratch, words
 from .ngram_jaccard import sorted_groups
 
@@ -36,6 +37,8 @@ MOST = 3
 SWAPS = 8
 #: Documents of one flight.
 BLOCK = 2048
+#: Equal rows that are numbered in one task.
+COPIES = 1 << 14
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -165,9 +168,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     sized = scratch.cut(keyed.select(F.col("doc_id").cast("long"), "source", "key_", "text").mapInArrow(run, "doc_id long, source string, key long, size long"), "sizes")
     units = mix(sized, weights, most, seed).groupBy(F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("key").alias("key_"))
     taken = scratch.cut(units.agg(F.sum("times").alias("sum_"), F.count(F.lit(1)).alias("rows_")).where("sum_ > 0"), "times")
-    out, times = keyed.join(taken, ["id_", "key_"]), F.col("sum_").cast("int")
+    out = keyed.join(taken, ["id_", "key_"])
+    times = out.where("rows_ = 1").withColumn("times_", F.col("sum_").cast("int")).drop("sum_", "rows_")
     if not taken.where("rows_ > 1").isEmpty():  # equal rows share the sum of their times, the first ones one more than the others
-        w = Window.partitionBy("id_", "key_").orderBy("key_")
-        out, times = out.withColumn("row_", F.row_number().over(w)), F.expr("cast(sum_ div rows_ + if(row_ <= sum_ % rows_, 1, 0) as int)")
-    out = out.withColumn("times_", times).where("times_ > 0")
+        many = out.where("rows_ > 1").withColumn("tie_", F.monotonically_increasing_id())
+        share = F.expr("cast(sum_ div rows_ + if(row_ <= sum_ % rows_, 1, 0) as int)")
+        times = times.union(ranks.within(many, ["id_", "key_"], "tie_", "row_", COPIES).withColumn("times_", share).select(*times.columns))
+    out = times.where("times_ > 0")
     return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import sampling, scratch
 from .ngram_jaccard import sorted_groups
 
 #: Vectors of the sample that centroids are fitted on; centroids of each half, at least and at most: with four times as many
@@ -141,7 +141,7 @@ def grown(n: int) -> int:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vectors, queries: id, v (from :func:`usable`) -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].to_pylist()
+    taken = sampling.first_by_hash(vectors, F.xxhash64("id"), sample, "id").select("v").toArrow()["v"].to_pylist()
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = Counter(map(len, taken)).most_common(1)[0][0]

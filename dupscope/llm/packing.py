@@ -112,12 +112,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
-    """items (doc_id, piece, length, ...), written tables best -> items with sequence_id and offset."""
+    """items (doc_id, piece, length, ...), written tables best -> items with sequence_id and offset.
+
+    A column row_, different in every row, keeps rows that share an id apart: they are ranked in many tasks.
+    """
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = sweep(counts, capacity)
     salts = spark.createDataFrame([(k, -(-v // RANKED)) for k, v in counts.items()], "length long, salts long")
-    salted = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
+    salted = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", *[c for c in ("row_",) if c in items.columns]), F.col("salts"))).drop("salts")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = ranked.join(before, ["length", "salt"]).withColumn("r", F.col("r") + F.col("before")).drop("salt", "before")
@@ -135,5 +138,5 @@ def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    held = scratch.cut(pieces(docs, capacity, tokenizer, end_id), "pieces")
+    held = scratch.cut(pieces(docs, capacity, tokenizer, end_id).withColumn("row_", F.monotonically_increasing_id()), "pieces")
     return place(held, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import sampling, words
 
 HASHED, RANK = 4096, 8
 TRAIN_ROWS, EPOCHS, BATCH, SEED = 6000, 12, 128, 7
@@ -149,7 +149,7 @@ def known(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled rows that aren't held out."""
-    sample = known(labels).groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = sampling.first_by_hash(known(labels).groupBy("doc_id").agg(F.max("quality").alias("y")), F.xxhash64("doc_id"), rows, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting
+from . import boosting, sampling
 
 #: verdict, host, path; the rule's name is host + path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -121,7 +121,7 @@ class Fitted(NamedTuple):
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Fitted:
     """Trees for the odds that a URL is to be blocked, the suffix statistics they read and the cut; labelled: url, bad (0 or 1)."""
     f = features(F.col("url"))
-    known = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows).repartition(1)  # else each partition would send so many rows to the driver
+    known = sampling.first_by_hash(labelled.where("bad is not null"), F.xxhash64("url"), rows, "url", "bad").repartition(1)  # else each partition would send so many rows to the driver
     sample = known.select(F.col("bad").cast("double"), F.coalesce(suffix(F.col("url")), F.lit("")), *[c.alias(k) for k, c in f.items()]).collect()
     pairs = [(r[1], r[0]) for r in sample]
     if not sample:
