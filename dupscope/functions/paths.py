@@ -32,6 +32,11 @@ def normal_extension(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(text), r"^\.+", ""))
 
 
+def extension_list(text: Column) -> Column:
+    """The normal extensions in a text with commas between them, in order; empty ones are dropped."""
+    return F.filter(F.transform(F.split(text, ","), normal_extension), lambda x: x != "")
+
+
 def below(path: Column, directory_: str) -> Column:
     """Strictly below a directory, as a half-open range that file statistics can prune."""
     low, high = ("/", "0") if directory_ == "/" else (f"{directory_}/", f"{directory_}0")

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
 
 
+def _one_decimal(x: Column, unit: str) -> Column:
+    """A number with one decimal and its unit; what lies halfway goes to the even digit."""
+    return F.format_string(f"%.1f {unit}", F.bround(x, 1))
+
+
 def human_bytes(n: Column) -> Column:
-    out = F.format_string(f"%.1f {UNITS[-1]}", n / float(1 << 40))
+    out = _one_decimal(n / float(1 << 40), UNITS[-1])
     for k in (3, 2, 1):
-        out = F.when(n < (1 << 10 * (k + 1)), F.format_string(f"%.1f {UNITS[k]}", n / float(1 << 10 * k))).otherwise(out)
+        out = F.when(n < (1 << 10 * (k + 1)), _one_decimal(n / float(1 << 10 * k), UNITS[k])).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
@@ -28,7 +33,7 @@ def duration(seconds: Column) -> Column:
 
 
 def speed(n: Column, seconds: Column) -> Column:
-    return F.when((n <= 0) | (seconds <= 0), F.lit("—")).otherwise(F.format_string("%.1f MiB/s", n / seconds / 1048576.0))
+    return F.when((n <= 0) | (seconds <= 0), F.lit("—")).otherwise(_one_decimal(n / seconds / 1048576.0, "MiB/s"))
 
 
 def age(created_at: Column, now: Column) -> Column:

@@ -186,6 +186,11 @@ def groups(signed: DataFrame) -> DataFrame:
     return twins(signed).groupBy("signature").agg(F.sort_array(F.collect_list("dir")).alias("paths"), F.min("file_count").alias("file_count"), F.min("size_per_dir").alias("size_per_dir"))
 
 
+def paths_of(signed: DataFrame, asked: DataFrame) -> DataFrame:
+    """dir, signature of the directories that have one of the asked signatures, in order."""
+    return signed.join(asked.select("signature").distinct(), "signature", "left_semi").select("dir", "signature").orderBy("signature", "dir")
+
+
 def twins_of(signed: DataFrame, directory: str) -> DataFrame:
     own = signed.where(F.col("dir") == directory).select("signature")
     return twins(signed).join(own, "signature", "left_semi").select("dir", "signature")

@@ -65,6 +65,13 @@ def joined(spark: SparkSession, folder: str, target: str) -> None:
         stream.close()
 
 
+def report_lines(group_rows: DataFrame, manifest: DataFrame, top: int = 50) -> DataFrame:
+    """rank, path, line: the report of the first groups in this order; a line for each group (its path is empty) and one for each member."""
+    first = group_rows.where(F.col("rank") < top)
+    head = first.select("rank", F.lit("").alias("path"), F.concat(F.lit("#"), (F.col("rank") + 1).cast("string"), F.lit(": "), F.col("file_count").cast("string"), F.lit(" x "), text.human_bytes(F.col("size")), F.lit(", "), text.human_bytes(F.col("reclaim")), F.lit(" to free")).alias("line"))
+    return head.union(report(group_rows, manifest, top).select("rank", "path", F.concat(F.lit("    "), text.terminal(F.col("path")))))
+
+
 def report(group_rows: DataFrame, manifest: DataFrame, top: int = 50) -> DataFrame:
     """Members of the first groups."""
     return groups.members(manifest, group_rows.where(F.col("rank") < top))

@@ -111,6 +111,7 @@ def dedup_attributes(manifest: DataFrame) -> DataFrame:
     return out.select(*manifest.columns, F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("devices", F.lit(1)).alias("devices"), "twins")
 
 
-def hash_of(manifest: DataFrame, path: str) -> DataFrame:
-    """The hash of one path; no row if it isn't known."""
-    return manifest.where((F.col("path") == path) & F.col("hash").isNotNull()).select("hash")
+def hash_of(manifest: DataFrame, path: str | DataFrame) -> DataFrame:
+    """The hash of one path, or of those that a small table (path) holds; no row for one that isn't known."""
+    known = manifest.where("hash is not null")
+    return (known.where(F.col("path") == path) if isinstance(path, str) else known.join(path.select("path").distinct(), "path", "left_semi")).select("hash")

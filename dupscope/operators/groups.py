@@ -22,6 +22,12 @@ def summaries(manifest: DataFrame) -> DataFrame:
     return ranks.by_benefit(sets(manifest), "reclaim", "hash", 0).select("rank", "hash", "file_count", "size", "reclaim")
 
 
+def member_counts(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """hash, members of the asked hashes, 0 for one that no file has."""
+    own = manifest.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("members"))
+    return asked.select("hash").distinct().join(own, "hash", "left").withColumn("members", F.coalesce("members", F.lit(0)))
+
+
 def members(manifest: DataFrame, groups: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     out = manifest.join(groups.select(*[c for c in ("rank", "hash", "file_count", "reclaim") if c in groups.columns]), "hash")
     if marks is not None:

@@ -119,6 +119,15 @@ def to_snapshot(sources: DataFrame, done: DataFrame) -> DataFrame:
     return sources.groupBy("dataset").agg(F.min("seq").alias("seq")).join(done.select("dataset"), "dataset", "left_anti").orderBy("seq")
 
 
+def snapshots_made(due: DataFrame, failed: DataFrame) -> DataFrame:
+    """dataset, seq, outcome of the datasets due (from :func:`to_snapshot`): made up to the first that failed (dataset), which is failed; those after it weren't tried."""
+    broken = due.join(failed.select("dataset").distinct(), "dataset", "left_semi")
+    first = broken.agg(F.min(F.struct("seq", "dataset")).alias("first"))  # one row
+    at = F.struct("seq", "dataset")
+    outcome = F.when(F.col("first").isNull() | (at < F.col("first")), "made").when(at == F.col("first"), "failed").otherwise("not tried")
+    return due.crossJoin(F.broadcast(first)).select("dataset", "seq", outcome.alias("outcome"))
+
+
 def undone(moves: DataFrame) -> DataFrame:
     """seq, source, target of the moves that take a batch back, in order."""
     last = moves.groupBy("batch").agg(F.max("seq").alias("last"))

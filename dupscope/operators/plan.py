@@ -162,23 +162,33 @@ def save_marks(stored: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.where("is_keeper or action is not null")
 
 
-def set_keeper(marks: DataFrame, group: DataFrame, path: str) -> DataFrame:
+def _asked(rows: DataFrame, path: str | DataFrame) -> DataFrame:
+    """rows with asked_: a path, or the one that a table of one row (path) holds, which is joined and not fetched; null if it holds none."""
+    if isinstance(path, str):
+        return rows.withColumn("asked_", F.lit(path))
+    one = path.agg(F.max("path").alias("asked_"))  # one row
+    return rows.crossJoin(F.broadcast(one))
+
+
+def set_keeper(marks: DataFrame, group: DataFrame, path: str | DataFrame) -> DataFrame:
     """marks with path as the only keeper of its group (path of each file), its own action cleared; other groups stay."""
     one = group.select("path").distinct().withColumn("here", F.lit(True))
-    both = marks.join(one, "path", "full")
-    chosen = F.col("path") == path
+    both = _asked(marks.join(one, "path", "full"), path)
+    chosen = F.col("path") == F.col("asked_")
     out = both.select("path", F.when(F.col("here"), chosen).otherwise(F.col("is_keeper")).alias("is_keeper"), F.when(~(F.coalesce("here", F.lit(False)) & chosen), F.col("action")).alias("action"))
     return out.where("is_keeper or action is not null")
 
 
-def mark(marks: DataFrame, group: DataFrame, path: str, action: str | None) -> DataFrame:
+def mark(marks: DataFrame, group: DataFrame, path: str | DataFrame, action: str | None) -> DataFrame:
     """marks with an action for path, a file of group (place, path).
 
     A keeper can't be marked: nothing changes.  An action where the group has no keeper makes its first other file the keeper.
     """
     now = group.select("place", "path").join(marks, "path", "left").select("place", "path", F.coalesce("is_keeper", F.lit(False)).alias("is_keeper"), "action")
-    state = now.agg(F.bool_or("is_keeper").alias("any"), F.bool_or(F.col("is_keeper") & (F.col("path") == path)).alias("kept"), F.min_by(F.when(F.col("path") != path, F.col("path")), F.when(F.col("path") != path, F.col("place"))).alias("default"))
-    here, free = F.col("path") == path, ~F.col("kept")
+    now = _asked(now, path)
+    here = F.col("path") == F.col("asked_")
+    state = now.agg(F.bool_or("is_keeper").alias("any"), F.bool_or(F.col("is_keeper") & here).alias("kept"), F.min_by(F.when(~here, F.col("path")), F.when(~here, F.col("place"))).alias("default"))
+    free = ~F.col("kept")
     keeper = F.col("is_keeper") | (free & ~F.col("any") & F.lit(action is not None) & (F.col("path") == F.col("default")))
     new = now.join(F.broadcast(state)).select("path", keeper.alias("is_keeper"), F.when(here & free, F.lit(action)).otherwise(F.col("action")).alias("action"))
     rest = marks.join(group.select("path"), "path", "left_anti").select("path", "is_keeper", "action")

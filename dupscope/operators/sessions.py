@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.rules import COMPLETED, RESUMABLE, STATUSES
+from . import dirs, files, groups, ranks
 
 
 def listed(scans: DataFrame, trashed: bool = False) -> DataFrame:
@@ -101,6 +102,41 @@ def begun(scans: DataFrame, config_json: str, now: str) -> DataFrame:
     return scans.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select("id", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit("walking").alias("status"), F.lit(config_json).alias("config_json"), F.lit(False).alias("trashed"))
 
 
+def begun_statistics(begun_: DataFrame, stats: DataFrame) -> DataFrame:
+    """The empty row of statistics that comes with a new scan; stats: the table it is for."""
+    return updated(stats.where(F.lit(False)), begun_.select(F.col("id").alias("scan_id")))
+
+
+def totals(manifest: DataFrame) -> DataFrame:
+    """files, groups, reclaim, bytes_hashed, failures of a scan: one row."""
+    seen = files.candidate_stats(manifest).select("bytes_hashed", (F.col("files_total") - F.col("files_hashed")).alias("failures"))
+    found = groups.sets(manifest).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim"))
+    return manifest.agg(F.count(F.lit(1)).alias("files")).crossJoin(found).crossJoin(seen)  # one row each
+
+
+def materialized(store, scan_id: int, algorithm: str = "old") -> None:
+    """The results of a scan take the place of those stored: its groups, its twin directories, and its statistics, which say so.
+
+    Each table is one commit; the statistics come last, so a scan that says its results are there has them.
+    """
+    here = store.read("file").where(F.col("scan_id") == scan_id)
+    own = F.lit(scan_id).cast("long")
+    found = groups.summaries(here).withColumn("scan_id", own)
+    store.replace("file_group", found, scan_id)
+    signed = dirs.merkle(here) if algorithm == "merkle" else dirs.signatures(here)
+    store.replace("dir_dedup", dirs.twins(signed).select(own.alias("scan_id"), "signature", F.col("dir").alias("path"), "file_count", "size_per_dir"), scan_id)
+    stats = store.read("scan_stats").where(F.col("scan_id") == scan_id)
+    t = totals(here)
+    changes = t.select(own.alias("scan_id"), F.col("groups").alias("groups_found"), F.col("reclaim").alias("reclaimable_bytes"), F.col("failures").alias("hash_failures"), F.lit(True).alias("results_materialized"))
+    store.replace("scan_stats", updated(stats, changes), scan_id)
+
+
+def record_moves(store, moves: DataFrame) -> None:
+    """moves (created_at, scan_id, source_path, target_path, hash, duplicate) at the end of the journal, numbered on in the order of their sources."""
+    last = store.read("move_event").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one number
+    store.append("move_event", ranks.numbered(moves, [F.asc("source_path"), F.asc("target_path")], "id", last + 1))
+
+
 def with_status(scans: DataFrame, scan_id: int, status: str, now: str) -> DataFrame:
     here = F.col("id") == scan_id
     return scans.withColumns({"status": F.when(here, status).otherwise(F.col("status")), "updated_at": F.when(here, now).otherwise(F.col("updated_at"))})

@@ -630,21 +630,20 @@ _FIRST = ", f AS (SELECT path, row_number() OVER (ORDER BY path) AS place FROM a
 def mark_default_keeper(spark, d):
     m, g = _groups(spark, d)
     group = m.join(g.where("rank = 0").select("hash"), "hash", "left_semi").select(F.col("path").alias("place"), "path")
-    first = group.agg(F.min("path")).first()[0]
-    return plan.mark(_marks(spark, d).limit(0), group, first, "delete")
+    return plan.mark(_marks(spark, d).limit(0), group, group.agg(F.min("path").alias("path")), "delete")
 
 
 @_query("set_keeper", M, "SELECT m.path, CASE WHEN rank = 0 THEN m.path = x.path ELSE is_keeper END AS is_keeper, CASE WHEN m.path = x.path THEN NULL ELSE action END AS action FROM m JOIN m0 USING (path), (SELECT max(path) AS path FROM m0 WHERE rank = 0) x WHERE CASE WHEN rank = 0 THEN m.path = x.path ELSE is_keeper END OR (action IS NOT NULL AND m.path <> x.path) UNION SELECT max(path), true, NULL FROM m0 WHERE rank = 0")
 def set_keeper(spark, d):
     m, g = _groups(spark, d)
     group = m.join(g.where("rank = 0").select("hash"), "hash", "left_semi").select("path")
-    return plan.set_keeper(fx.marks(m, g), group, group.agg(F.max("path")).first()[0])
+    return plan.set_keeper(fx.marks(m, g), group, group.agg(F.max("path").alias("path")))
 
 
 @_query("hash_for_path", A, "SELECT hash FROM a WHERE path = (SELECT min(path) FROM a WHERE hash IS NOT NULL)")
 def hash_for_path(spark, d):
     m = fx.manifest(spark, d)
-    return files.hash_of(m, m.where("hash is not null").agg(F.min("path")).first()[0])
+    return files.hash_of(m, m.where("hash is not null").agg(F.min("path").alias("path")))
 
 
 @_query("cursor_resolution", C0 + SIG + """, gr AS (SELECT hash, count(*) AS n FROM c WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) >= 2), tw AS (SELECT dir, count(*) OVER (PARTITION BY signature) AS dirs FROM s QUALIFY dirs >= 2),
@@ -925,6 +924,88 @@ def pool_layouts(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.array_join(shown, ",").alias("layouts"))
 
 
+# -- lookups, reports and rules -----------------------------------------------------------------
+
+
+@_query("dir_group_paths", C1 + SIG, "SELECT dir, signature FROM s WHERE signature IN (SELECT signature FROM s GROUP BY signature HAVING count(*) = 3)")
+def dir_group_paths(spark, d):
+    signed = scratch.cut(dirs.signatures(fx.tree(spark, d)), "signed")
+    asked = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n = 3")
+    return dirs.paths_of(signed, asked)
+
+
+@_query("group_member_count", G, "SELECT hash, count(*) AS members FROM a WHERE hash IS NOT NULL GROUP BY hash UNION ALL SELECT 'nobody', 0")
+def group_member_count(spark, d):
+    m = fx.manifest(spark, d)
+    asked = m.where("hash is not null").select("hash").union(spark.createDataFrame([("nobody",)], "hash string"))
+    return groups.member_counts(m, asked)
+
+
+@_query("scan_totals", G + ", am AS (SELECT * REPLACE (CASE WHEN inode % 4 <> 1 THEN hash END AS hash) FROM a), gm AS (SELECT min(size) * (count(*) - 1) AS r FROM am WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) >= 2), cm AS (SELECT * FROM am WHERE size IN (SELECT size FROM am GROUP BY size HAVING count(*) >= 2))",
+  "SELECT (SELECT count(*) FROM am) AS files, (SELECT count(*) FROM gm) AS groups, CAST((SELECT coalesce(sum(r), 0) FROM gm) AS BIGINT) AS reclaim, CAST((SELECT coalesce(sum(size), 0) FROM cm WHERE hash IS NOT NULL) AS BIGINT) AS bytes_hashed, (SELECT count(*) - count(hash) FROM cm) AS failures")
+def scan_totals(spark, d):
+    return sessions.totals(fx.manifest(spark, d).withColumn("hash", F.when(F.col("inode") % 4 != 1, F.col("hash"))))
+
+
+@_query("console_report", G + ", f AS (SELECT * FROM g WHERE rank < 50), hb AS (SELECT rank, file_count, CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN printf('%.1f KiB', size / 1024.0) ELSE printf('%.1f MiB', size / 1048576.0) END AS s, CASE WHEN reclaim < 1024 THEN CAST(reclaim AS VARCHAR) || ' B' WHEN reclaim < 1048576 THEN printf('%.1f KiB', reclaim / 1024.0) ELSE printf('%.1f MiB', reclaim / 1048576.0) END AS r FROM f)",
+  "SELECT rank, '' AS path, '#' || CAST(rank + 1 AS VARCHAR) || ': ' || CAST(file_count AS VARCHAR) || ' x ' || s || ', ' || r || ' to free' AS line FROM hb UNION ALL SELECT rank, path, '    ' || path FROM f JOIN a USING (hash)")
+def console_report(spark, d):
+    m, g = _groups(spark, d)
+    return export.report_lines(g, m)
+
+
+@_query("snapshots_until_failure", "", "WITH x AS (SELECT source AS dataset, min(doc_id) AS seq FROM documents WHERE source IS NOT NULL GROUP BY source), y AS (SELECT min(seq) AS f FROM x WHERE seq % 3 = 2) SELECT dataset, seq, CASE WHEN f IS NULL OR seq < f THEN 'made' WHEN seq = f THEN 'failed' ELSE 'not tried' END AS outcome FROM x, y")
+def snapshots_until_failure(spark, d):
+    rows = fx.table(spark, d, "documents").where("source is not null").select(F.col("source").alias("dataset"), F.col("doc_id").alias("seq"))
+    due = panels.to_snapshot(rows, rows.limit(0))
+    return panels.snapshots_made(due, due.where("seq % 3 = 2"))
+
+
+_AT = "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE (doc_id * doc_id * 37) % 1000000 - 50 END"
+
+
+@_query("rule_functions", "", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS completion, n_chars * 2560 AS memory, doc_id % 3 > 0 AND (doc_id % 5 = 0 OR doc_id % 60 >= doc_id % 3 * 24) AS vacuum_due,
+  CASE WHEN n_chars <= 0 OR doc_id % 7 = 0 THEN '—' ELSE printf('%.1f MiB/s', n_chars * 65536 / (doc_id % 7) / 1048576.0) END AS speed, regexp_matches(dev, '^(loop|ram|zram|dm-|sr|md)') AS virtual,
+  list_extract(['loop0', 'sda', 'ram1', 'dm-3', 'nvme0n1', 'md127', 'sr0', 'zram2', 'vda', 'mmcblk0'], doc_id % 10 + 1) AS base,
+  CASE WHEN doc_id % 4 < 2 THEN 'unsupported' WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 THEN 'unsafe' WHEN doc_id % 2 = 0 AND doc_id % 7 < 4 THEN 'safe' WHEN doc_id % 2 = 1 AND doc_id % 7 < 4 THEN 'safe' ELSE 'unsafe' END AS gate
+  FROM (SELECT *, list_extract(['loop0', 'sda1', 'ram1', 'dm-3', 'nvme0n1p2', 'md127', 'sr0', 'zram2', 'vda', 'mmcblk0p1'], doc_id % 10 + 1) AS dev FROM documents)""")
+def rule_functions(spark, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    dev = F.element_at(F.array(*map(F.lit, ("loop0", "sda1", "ram1", "dm-3", "nvme0n1p2", "md127", "sr0", "zram2", "vda", "mmcblk0p1"))), (i % 10 + 1).cast("int"))
+    version = F.concat(F.lit("zfs-2."), (i % 4).cast("string"), F.lit("."), (i % 3).cast("string"), F.lit("-1"))
+    return fx.table(spark, d, "documents").select(
+        "doc_id",
+        rules.completion(i % 3).alias("completion"),
+        rules.memory_estimate(n).alias("memory"),
+        rules.vacuum_due(i % 3 * 24, F.when(i % 5 != 0, i % 60)).alias("vacuum_due"),
+        text.speed(n * 65536, i % 7).alias("speed"),
+        text.virtual_device(dev).alias("virtual"),
+        text.base_device(dev).alias("base"),
+        text.reflink_gate(version, i % 7 < 4).alias("gate"),
+    )
+
+
+@_query("text_functions", "", """SELECT doc_id, CASE WHEN s IS NULL THEN 'unknown' WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min ago' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || ' h ago' WHEN s < 604800 THEN CAST(s // 86400 AS VARCHAR) || ' d ago' ELSE strftime(make_timestamp((1700000000 - s) * 1000000), '%Y-%m-%d') END AS age,
+  lower(lang) AS extension, CASE WHEN doc_id % 2 = 0 THEN lower(lang) || ' txt' ELSE 'txt' END AS extensions, regexp_replace(source, '''', '?', 'g') || '?' || lang || '?x?' AS label, source || '\\n' || lang || '\\u{1b}x''\\t\\u{85}' AS shown,
+  CASE WHEN length(source || lang) <= 4 THEN source || lang ELSE '…' || right(source || lang, 3) END AS short
+  FROM (SELECT doc_id, coalesce(source, '') AS source, lang, """ + f"greatest({_AT}, CASE WHEN doc_id % 13 <> 0 THEN 0 END) AS s FROM documents)")
+def text_functions(spark, d):
+    i = F.col("doc_id")
+    source = F.coalesce("source", F.lit(""))
+    then = F.when(i % 13 == 0, "never").otherwise(F.date_format(F.timestamp_seconds(F.lit(1700000000) - ((i * i * 37) % 1000000 - 50)), "yyyy-MM-dd HH:mm:ss"))
+    listed = F.concat(F.when(i % 2 == 0, F.concat(F.lit(" ."), F.upper("lang"))).otherwise(F.lit(" . ")), F.lit(",, ..TXT "))
+    odd = F.concat(source, F.lit("\n"), "lang", F.lit("\x1bx'"))
+    return fx.table(spark, d, "documents").select(
+        "doc_id",
+        text.age(then, F.timestamp_seconds(F.lit(1700000000))).alias("age"),
+        paths.normal_extension(F.concat(F.lit(" .."), F.upper("lang"), F.lit(" "))).alias("extension"),
+        F.array_join(paths.extension_list(listed), " ").alias("extensions"),
+        text.shell_label(odd).alias("label"),
+        text.terminal(F.concat(odd, F.lit("\t\x85"))).alias("shown"),
+        text.truncate_left(F.concat(source, "lang"), 4).alias("short"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
