@@ -965,7 +965,7 @@ _AT = "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE (doc_id * doc_id * 37) % 1000000
 
 
 @_query("rule_functions", "", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS completion, n_chars * 2560 AS memory, doc_id % 3 > 0 AND (doc_id % 5 = 0 OR doc_id % 60 >= doc_id % 3 * 24) AS vacuum_due,
-  CASE WHEN n_chars <= 0 OR doc_id % 7 = 0 THEN '—' ELSE printf('%.1f MiB/s', n_chars * 65536 / (doc_id % 7) / 1048576.0) END AS speed, regexp_matches(dev, '^(loop|ram|zram|dm-|sr|md)') AS virtual,
+  CASE WHEN n_chars <= 0 OR doc_id % 7 = 0 THEN '—' ELSE printf('%.1f MiB/s', n_chars * 65537 / (doc_id % 7) / 1048576.0) END AS speed, regexp_matches(dev, '^(loop|ram|zram|dm-|sr|md)') AS virtual,
   list_extract(['loop0', 'sda', 'ram1', 'dm-3', 'nvme0n1', 'md127', 'sr0', 'zram2', 'vda', 'mmcblk0'], doc_id % 10 + 1) AS base,
   CASE WHEN doc_id % 4 < 2 THEN 'unsupported' WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 THEN 'unsafe' WHEN doc_id % 2 = 0 AND doc_id % 7 < 4 THEN 'safe' WHEN doc_id % 2 = 1 AND doc_id % 7 < 4 THEN 'safe' ELSE 'unsafe' END AS gate
   FROM (SELECT *, list_extract(['loop0', 'sda1', 'ram1', 'dm-3', 'nvme0n1p2', 'md127', 'sr0', 'zram2', 'vda', 'mmcblk0p1'], doc_id % 10 + 1) AS dev FROM documents)""")
@@ -978,7 +978,7 @@ def rule_functions(spark, d):
         rules.completion(i % 3).alias("completion"),
         rules.memory_estimate(n).alias("memory"),
         rules.vacuum_due(i % 3 * 24, F.when(i % 5 != 0, i % 60)).alias("vacuum_due"),
-        text.speed(n * 65536, i % 7).alias("speed"),
+        text.speed(n * 65537, i % 7).alias("speed"),
         text.virtual_device(dev).alias("virtual"),
         text.base_device(dev).alias("base"),
         text.reflink_gate(version, i % 7 < 4).alias("gate"),
