@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import folds
+from . import folds, ranks
 
 #: What a scan leaves out unless told otherwise.
 DEFAULT_EXCLUDES = ["**/.zfs/**", "**/.snapshots/**", "**/.quarantine/**"]
@@ -87,10 +87,19 @@ def with_parent(rows: DataFrame, directory: str) -> DataFrame:
     return rows.union(rows.sparkSession.range(1).select(*[up.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
 
 
+def _listing_order(key: str) -> list[Column]:
+    by = {"name": [], "size": [F.desc("size")], "type": [F.asc(paths.extension(F.col("name")))], "date": [F.desc("mtime")]}[key]
+    return [F.asc(F.when(F.col("kind") == "parent", 0).when(F.col("kind") == "dir", 1).otherwise(2)), *by, F.asc("name")]
+
+
 def sorted_listing(rows: DataFrame, key: str = "name") -> DataFrame:
     """The row of the directory above, directories, then files; each by name, size (largest first), type or date (newest first)."""
-    order = {"name": [], "size": [F.desc("size")], "type": [paths.extension(F.col("name"))], "date": [F.desc("mtime")]}[key]
-    return rows.orderBy(F.when(F.col("kind") == "parent", 0).when(F.col("kind") == "dir", 1).otherwise(2), *order, "name")
+    return rows.orderBy(*_listing_order(key))
+
+
+def placed_listing(rows: DataFrame, key: str = "name") -> DataFrame:
+    """rows with their place (from 1) in that order."""
+    return ranks.numbered(rows, _listing_order(key), "place", 1).drop("cell_")
 
 
 def progress(rows: DataFrame, by: str, at: str, done: str, total: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -111,7 +111,11 @@ def verified(members_: DataFrame, content: DataFrame | Blocks, size: int = BLOCK
 
 
 def palette(members_: DataFrame) -> DataFrame:
-    """name, colour: distinct names of a group numbered by first appearance, modulo 5; none for a single name."""
+    """hash, name, colour: distinct names of a group numbered by first appearance, modulo 5; none for a single name.
+
+    Names are numbered without meeting in a task, however many a group has.
+    """
     named = members_.withColumn("name", F.substring_index("path", "/", -1)).groupBy("hash", "name").agg(F.min("path").alias("seen"))
-    w = Window.partitionBy("hash")
-    return named.withColumn("many", F.count(F.lit(1)).over(w)).where("many >= 2").select("hash", "name", ((F.row_number().over(w.orderBy("seen")) - 1) % 5).cast("long").alias("colour"))
+    many = named.groupBy("hash").agg(F.count(F.lit(1)).alias("n_")).where("n_ >= 2").select("hash")
+    placed = ranks.within(scratch.cut(named.join(many, "hash", "left_semi"), "names"), ["hash"], "seen", "place_")
+    return placed.select("hash", "name", ((F.col("place_") - 1) % 5).cast("long").alias("colour"))

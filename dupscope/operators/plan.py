@@ -42,9 +42,16 @@ def verify_bytes(plan: DataFrame) -> DataFrame:
     return own.join(keepers).select("strict", (F.col("t") + F.col("k")).alias("once"))
 
 
+def _first_datasets(datasets: DataFrame, *columns: str) -> DataFrame:
+    """device_id and columns of the first dataset of each device: by place, where the listing says one, else by name."""
+    order = F.struct("place", "name") if "place" in datasets.columns else F.col("name")
+    first = F.min_by(F.struct(*columns), order).alias("d")
+    return datasets.groupBy("device_id").agg(first).select("device_id", *[F.col(f"d.{c}").alias(c) for c in columns])
+
+
 def legality(plan: DataFrame, datasets: DataFrame, reflink_safe: bool) -> DataFrame:
     """plan with reason, null where the action may run."""
-    one = datasets.groupBy("device_id").agg(F.min("name").alias("name"))
+    one = _first_datasets(datasets, "name")
     named = plan.join(one.select(F.col("device_id").alias("target_device"), F.col("name").alias("target_dataset")), "target_device", "left").join(one.select(F.col("device_id").alias("keeper_device"), F.col("name").alias("keeper_dataset")), "keeper_device", "left")
     kind = F.col("kind")
     reason = (
@@ -93,7 +100,7 @@ def outcome_totals(outcomes: DataFrame, cancelled: bool = False) -> DataFrame:
 
 
 def affected_datasets(plan: DataFrame, datasets: DataFrame) -> DataFrame:
-    one = datasets.groupBy(F.col("device_id").alias("target_device")).agg(F.min("name").alias("name"))
+    one = _first_datasets(datasets, "name").withColumnRenamed("device_id", "target_device")
     return plan.join(one, "target_device").groupBy("name").agg(F.min("target").alias("first_target"))
 
 
@@ -105,7 +112,7 @@ def quarantine_path(mountpoint, stamp, path):
 
 def script_lines(plan: DataFrame, stamp: str, datasets: DataFrame) -> DataFrame:
     """target, line: the command of each row."""
-    one = datasets.groupBy(F.col("device_id").alias("target_device")).agg(F.min("mountpoint").alias("mountpoint"))
+    one = _first_datasets(datasets, "mountpoint").withColumnRenamed("device_id", "target_device")
     q = text.shell_quote
     t, k = F.col("target"), F.col("keeper")
     aside = quarantine_path(F.col("mountpoint"), F.lit(stamp), t)
@@ -132,7 +139,7 @@ def script(plan: DataFrame, stamp: str, datasets: DataFrame, snapshot_tool: str
     size = plan.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()  # one row
     if not size["n"]:
         return head.union(rows(2, ["# The plan is empty."]))
-    one = datasets.groupBy(F.col("device_id").alias("target_device")).agg(F.min(F.struct("name", "mountpoint")).alias("d"))
+    one = _first_datasets(datasets, "name", "mountpoint").select(F.col("device_id").alias("target_device"), F.struct("name", "mountpoint").alias("d"))
     placed = plan.join(one, "target_device", "left")
     named = placed.where("d is not null").groupBy("d.name").agg(F.min("target").alias("first"))
     if snapshot_tool is None and not named.isEmpty():

@@ -1006,6 +1006,24 @@ def text_functions(spark, d):
     )
 
 
+_PLACES = " UNION ALL ".join(f"SELECT '{k}' AS key, name, row_number() OVER (ORDER BY CASE WHEN kind = 'dir' THEN 1 ELSE 2 END{by}, name) AS place FROM l" for k, by in {"name": "", "size": ", size DESC", "type": ", CASE WHEN name LIKE '%.%' THEN lower(regexp_extract(name, '[^.]*$')) ELSE '' END", "date": ", mtime DESC"}.items())
+
+
+@_query("listing_places", A + f", l AS ({_listing('/corpus/en/src1')})", _PLACES)
+def listing_places(spark, d):
+    """Where each entry of a listing stands in each of its orders."""
+    rows = scratch.cut(files.listing(fx.manifest(spark, d), "/corpus/en/src1"), "listing")
+    placed = [files.placed_listing(rows, k).select(F.lit(k).alias("key"), "name", "place") for k in ("name", "size", "type", "date")]
+    return placed[0].union(placed[1]).union(placed[2]).union(placed[3])
+
+
+@_query("plan_first_dataset", P + ", dl AS (SELECT * FROM (VALUES (0, 'z/first', 1), (0, 'a/second', 2), (1, 'p/only', 3), (2, 'm/late', 5), (2, 'q/early', 4)) v(device, name, place))", "SELECT target, (SELECT name FROM dl WHERE device = target_device ORDER BY place LIMIT 1) AS name FROM p")
+def plan_first_dataset(spark, d):
+    """Several datasets on a device: the first of the listing is the one."""
+    listed = spark.createDataFrame([("z/first", "/", 0, True, 1), ("a/second", "/", 0, True, 2), ("p/only", "/", 1, True, 3), ("m/late", "/", 2, True, 5), ("q/early", "/", 2, True, 4)], "name string, mountpoint string, device_id long, snapdir_visible boolean, place int")
+    return plan.legality(_plan(spark, d), listed, True).select("target", F.col("target_dataset").alias("name"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
