@@ -7,7 +7,7 @@ end ids before it, and the place of the last end id before it (scanned within ru
 then over the runs, so that one huge file isn't one task).
 
 Blocks come from :func:`write` (a table of raw little-endian uint16 ids made from texts) or from
-:func:`read_files` (flat files of uint16 or uint32 ids in any store that Spark reads).
+:func:`read_files` (flat files of uint16 or uint32 ids in any store that Spark reads, by byte ranges where Arrow opens it).
 :func:`write` refuses tokenizers whose ids need more than 16 bits.
 Null or empty text: no ids, an end id only, count 0.  Repeated rows are counted once each.  Ids after a file's last end id are a
 document that isn't ended; it is returned with ``ended`` false.  Empty files have no rows.
@@ -27,6 +27,8 @@ from . import scratch, tokens, words
 
 #: Ids in a block; blocks in a run of the prefix scan.
 BLOCK, RUN = 1 << 19, 1024
+#: Blocks of a file that one task reads.
+PER_TASK = 64
 END = 49407
 
 
@@ -66,17 +68,76 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END) -> D
     return scratch.cut(made, "tokens")
 
 
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that a path, folder or glob names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for top in fs.globStatus(target) or ():
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else (top,):
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getLen()))
+    return found
+
+
+def _opened(path: str) -> tuple:
+    """(Arrow's view of a path's store, the path in it); raises for stores that Arrow can't open."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":") if ":" in path.split("/", 1)[0] else ("file", "", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _by_ranges(path: str) -> bool:
+    try:
+        _opened(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return False
+
+
 def read_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """file (number by path), path, block, ids of flat files of width-byte ids."""
+    """file (number by path), path, block, ids of flat files of width-byte ids.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Files are read by byte ranges of PER_TASK blocks, each a row that is dealt to any task, so files of any size are many tasks' work, one block in memory.
+    Files in stores that only Spark can open are read whole, each in one task, and may have 2 GB at most.  Empty files have no rows.
+    """
+    size = width * BLOCK
+    ranged, whole = [], []
+    for name, length in _listed(spark, path):
+        if not _by_ranges(name):
+            whole.append(name)
+        else:
+            ranged += [(name, length, at) for at in range(0, -(-length // size), PER_TASK)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, name, length, first in zip(*(c.to_pylist() for c in batch.columns)):
+                store, inner = _opened(name)
+                with store.open_input_file(inner) as f:
+                    for block in range(first, min(first + PER_TASK, -(-length // size))):
+                        data = f.read_at(min(size, length - block * size), block * size)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((file, name, block, data), kinds)], ["file", "path", "block", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for block, k in enumerate(range(0, len(data), width * BLOCK)):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((file, name, block, data[k : k + width * BLOCK]), (pa.int64(), pa.string(), pa.int32(), pa.binary()))], ["file", "path", "block", "ids"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "content")
-    return files.mapInArrow(run, "file long, path string, block int, ids binary")
+                for block, k in enumerate(range(0, len(data), size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((file, name, block, data[k : k + size]), kinds)], ["file", "path", "block", "ids"])
+
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
+    names = "file long, path string, block int, ids binary"
+    parts = spark.createDataFrame(ranged, "path string, length long, first long").repartition(max(1, min(len(ranged), scratch.partitions(spark) * 8)), "path", "first")
+    out = parts.select(F.xxhash64("path").alias("file"), "path", "length", "first").mapInArrow(read, names)
+    if whole:
+        files = spark.read.format("binaryFile").load(whole).select(F.xxhash64("path").alias("file"), "path", "content")
+        out = out.union(files.mapInArrow(cut, names))
+    return out
 
 
 def scan(blocks: DataFrame, end_id: int = END, width: int = 2) -> DataFrame:
