@@ -125,7 +125,7 @@ def snapshots_made(due: DataFrame, failed: DataFrame) -> DataFrame:
     first = broken.agg(F.min(F.struct("seq", "dataset")).alias("first"))  # one row
     at = F.struct("seq", "dataset")
     outcome = F.when(F.col("first").isNull() | (at < F.col("first")), "made").when(at == F.col("first"), "failed").otherwise("not tried")
-    return due.crossJoin(F.broadcast(first)).select("dataset", "seq", outcome.alias("outcome"))
+    return due.join(F.broadcast(first)).select("dataset", "seq", outcome.alias("outcome"))
 
 
 def undone(moves: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def samples(plan: DataFrame) -> DataFrame:
     first = plan.select("target", "kind").orderBy("target", "kind").limit(SAMPLES)
     hidden = plan.agg(F.greatest(F.count(F.lit(1)) - SAMPLES, F.lit(0)).alias("hidden"))  # one row
     placed = first.select(F.row_number().over(Window.orderBy("target", "kind")).alias("place"), "kind", "target")  # SAMPLES rows
-    return placed.crossJoin(F.broadcast(hidden))
+    return placed.join(F.broadcast(hidden))
 
 
 def verify_bytes(plan: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _asked(rows: DataFrame, path: str | DataFrame) -> DataFrame:
     if isinstance(path, str):
         return rows.withColumn("asked_", F.lit(path))
     one = path.agg(F.max("path").alias("asked_"))  # one row
-    return rows.crossJoin(F.broadcast(one))
+    return rows.join(F.broadcast(one))
 
 
 def set_keeper(marks: DataFrame, group: DataFrame, path: str | DataFrame) -> DataFrame:

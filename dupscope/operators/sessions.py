@@ -111,7 +111,7 @@ def totals(manifest: DataFrame) -> DataFrame:
     """files, groups, reclaim, bytes_hashed, failures of a scan: one row."""
     seen = files.candidate_stats(manifest).select("bytes_hashed", (F.col("files_total") - F.col("files_hashed")).alias("failures"))
     found = groups.sets(manifest).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("reclaim"), F.lit(0)).alias("reclaim"))
-    return manifest.agg(F.count(F.lit(1)).alias("files")).crossJoin(found).crossJoin(seen)  # one row each
+    return manifest.agg(F.count(F.lit(1)).alias("files")).join(found).join(seen)  # one row each
 
 
 def materialized(store, scan_id: int, algorithm: str = "old") -> None:
