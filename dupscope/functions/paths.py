@@ -56,8 +56,17 @@ def overlaps(root: Column, at: str) -> Column:
 
 def ancestors(path: Column) -> Column:
     """All directories above a path, the root first."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
+    return F.transform(F.sequence(F.lit(1), levels(path)), lambda n: ancestor(path, n))
+
+
+def levels(path: Column) -> Column:
+    """How many directories are above a path."""
+    return F.size(F.split(path, "/")) - 1
+
+
+def ancestor(path: Column, n: Column) -> Column:
+    """The n-th directory above a path, the root being the first."""
+    return F.when(n == 1, F.lit("/")).otherwise(F.call_function("substring_index", path, F.lit("/"), n))
 
 
 def relative(path: Column, directory_: Column) -> Column:

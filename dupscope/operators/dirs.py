@@ -17,7 +17,9 @@ from . import folds, prefixes, ranks
 
 def contained(manifest: DataFrame) -> DataFrame:
     """dir, path, size, hash: a row for each file and directory above it."""
-    return manifest.select(F.explode(paths.ancestors(F.col("path"))).alias("dir"), "path", "size", "hash")
+    path = F.col("path")
+    numbered = manifest.select("path", "size", "hash", F.explode(F.sequence(F.lit(1), paths.levels(path))).alias("n"))
+    return numbered.select(paths.ancestor(path, F.col("n")).alias("dir"), "path", "size", "hash")
 
 
 def sizes(manifest: DataFrame) -> DataFrame:
@@ -183,7 +185,8 @@ def live_size(entries: DataFrame, root: str, depth: int = 64) -> DataFrame:
 
 def groups(signed: DataFrame) -> DataFrame:
     """signature, paths (sorted), file_count, size_per_dir."""
-    return twins(signed).groupBy("signature").agg(F.sort_array(F.collect_list("dir")).alias("paths"), F.min("file_count").alias("file_count"), F.min("size_per_dir").alias("size_per_dir"))
+    found = signed.groupBy("signature").agg(F.sort_array(F.collect_list("dir")).alias("paths"), F.min("file_count").alias("file_count"), F.min("size_per_dir").alias("size_per_dir"))
+    return found.where(F.size("paths") >= 2)
 
 
 def paths_of(signed: DataFrame, asked: DataFrame) -> DataFrame:

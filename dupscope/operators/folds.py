@@ -34,7 +34,8 @@ def _runs(column: pa.Array) -> Iterator[tuple[object, int, int]]:
 def digests(rows: DataFrame, key: str, order: list[str], entry: Column) -> DataFrame:
     """key, digest: sha-256 (lower-case hexadecimal) of the entries (text) of each key joined in order; null if one of them is null.
 
-    Consecutive entries lie side by side in a batch, so each run goes to the hash as one piece of memory.
+    entry is made of the columns in order, which alone are shuffled.  Consecutive entries lie side by side in a batch, so each run goes to the hash as
+    one piece of memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +61,8 @@ def digests(rows: DataFrame, key: str, order: list[str], entry: Column) -> DataF
         if begun:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([state.hexdigest() if whole else None], pa.string())], [key, "digest"])
 
-    named = rows.select(F.col(key).cast("string").alias(key), entry.alias("entry_"), *[F.col(c).alias(f"o{i}_") for i, c in enumerate(order)])
-    return _dealt(named, key, [f"o{i}_" for i in range(len(order))]).select(key, "entry_").mapInArrow(run, f"`{key}` string, digest string")
+    named = rows.select(F.col(key).cast("string").alias(key), *order)
+    return _dealt(named, key, order).select(key, entry.alias("entry_")).mapInArrow(run, f"`{key}` string, digest string")
 
 
 #: Seconds between two rows up to which no rate is told; the shares of the old and the new rate in the smoothed one.

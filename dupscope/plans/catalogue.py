@@ -77,7 +77,8 @@ def _query(name: str, ctes: str = "", sql: str | None = None):
 
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = fx.manifest(spark, d)
+    """The manifest, written as a scan's would be, and its groups."""
+    m = scratch.cut(fx.manifest(spark, d), "manifest")
     return m, groups.summaries(m)
 
 
@@ -91,7 +92,8 @@ def _marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    return plan.rows(fx.manifest(spark, d), _marks(spark, d))
+    m, g = _groups(spark, d)
+    return plan.rows(m, fx.marks(m, g))
 
 
 # -- manifest -----------------------------------------------------------------------------------
