@@ -10,13 +10,17 @@ UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
 
 
 def _one_decimal(x: Column, unit: str) -> Column:
-    """A number with one decimal and its unit; what lies halfway goes to the even digit."""
-    return F.format_string(f"%.1f {unit}", F.bround(x, 1))
+    """A number with one decimal and its unit, null for null; what lies halfway goes to the even digit."""
+    whole = F.floor(x).cast("double")
+    tenths = F.rint((x - whole) * 10)  # a rounding of x as it is, not of the digits it is shown with
+    return F.when(x.isNotNull(), F.format_string(f"%.1f {unit}", whole + tenths / 10))
 
 
-def human_bytes(n: Column) -> Column:
-    out = _one_decimal(n / float(1 << 40), UNITS[-1])
-    for k in (3, 2, 1):
+def human_bytes(n: Column, largest: str = UNITS[-1]) -> Column:
+    """largest: the unit of whatever is beyond it."""
+    top = UNITS.index(largest)
+    out = _one_decimal(n / float(1 << 10 * top), largest)
+    for k in range(top - 1, 0, -1):
         out = F.when(n < (1 << 10 * (k + 1)), _one_decimal(n / float(1 << 10 * k), UNITS[k])).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
@@ -28,7 +32,7 @@ def duration(seconds: Column) -> Column:
     return (
         F.when(s < 60, F.format_string("%ds", s))
         .when(s < 3600, F.format_string("%dm%02ds", minutes, s % 60))
-        .otherwise(F.format_string("%dh%02dm", hours, minutes))
+        .when(s.isNotNull(), F.format_string("%dh%02dm", hours, minutes))
     )
 
 
@@ -51,7 +55,8 @@ def age(created_at: Column, now: Column) -> Column:
 
 
 def short_date(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+    """Years after 9999 have more digits, without the sign that Spark puts before them."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd"), F.lit("+"))
 
 
 def truncate_right(text: Column, width: int) -> Column:
