@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,9 +72,15 @@ def datasets(spark: SparkSession) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan for each user of events: id, created_at, status, roots, trashed and its figures."""
+    """A scan for each user of events: id, created_at, status, roots, trashed and its figures.
+
+    bytes is the floor of a sum of doubles, and a sum near a whole number falls on either side of it, by the order of its terms.  They are added
+    by event_id, which is the order of the table, however its rows are dealt.
+    """
     u = F.col("user_id")
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("files"), F.floor(F.sum("value")).cast("long").alias("bytes"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    every = Window.partitionBy("user_id").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = table(spark, sf_dir, "events").select("user_id", "ts", F.sum("value").over(every).alias("total"))
+    own = summed.groupBy("user_id").agg(F.count(F.lit(1)).alias("files"), F.floor(F.max("total")).cast("long").alias("bytes"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
     status = F.element_at(F.array(*map(F.lit, ("walking", "hashing", "complete", "complete_with_warnings", "aborted"))), (u % 5 + 1).cast("int"))
     root = F.element_at(F.array(*map(F.lit, ("/corpus", "/conv", "/corpus/en"))), (u % 3 + 1).cast("int"))
     return own.select(u.alias("id"), "created_at", status.alias("status"), F.array(root).alias("roots"), (u % 7 == 0).alias("trashed"), "files", "bytes")
