@@ -62,7 +62,8 @@ def with_statistics(scans: DataFrame, stats: DataFrame, trashed: bool = False) -
 def with_progress(scans: DataFrame, stats: DataFrame, files: DataFrame, trashed: bool = False) -> DataFrame:
     """with_statistics, where scans that are hashing and have no figures of candidates get them from their files (scan_id, size, hash).
 
-    Candidates are files whose size another file of the scan has.  Only the files of those scans are read.
+    Candidates are files whose size another file of the scan has; unknown sizes count as one.  Only the files of those scans are read.  All figures
+    of a scan come from one place: bytes are null where no candidate's size is known.
     """
     out = with_statistics(scans, stats, trashed)
     old = out.where("status = 'hashing' and cand_bytes_total = 0").select("id")
@@ -70,7 +71,8 @@ def with_progress(scans: DataFrame, stats: DataFrame, files: DataFrame, trashed:
     sizes = own.groupBy("scan_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("h")).where("n >= 2")
     found = sizes.groupBy(F.col("scan_id").alias("id")).agg(F.sum("n").alias("cand_files_total_"), F.sum("h").alias("cand_files_hashed_"), F.sum(F.col("n") * F.col("size")).alias("cand_bytes_total_"), F.sum(F.col("h") * F.col("size")).alias("cand_bytes_hashed_"))
     both = out.join(found, "id", "left")
-    return both.withColumns({c: F.coalesce(f"{c}_", c) for c in CANDIDATES}).select(*out.columns).orderBy(F.desc("id"))
+    counted = F.col("cand_files_total_").isNotNull()
+    return both.withColumns({c: F.when(counted, F.col(f"{c}_")).otherwise(F.col(c)) for c in CANDIDATES}).select(*out.columns).orderBy(F.desc("id"))
 
 
 def report(scans: DataFrame, stats: DataFrame) -> DataFrame:
